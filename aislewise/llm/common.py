@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+ROWS_AT_ONCE = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,7 +60,7 @@ def or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 8 << 20) -> DataFrame:
     """df marked for broadcast only where its counted rows fit into limit_bytes; else the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
 
@@ -92,7 +93,9 @@ def with_arrow_columns(df: DataFrame, reads: list[str], added: str, make) -> Dat
     def run(batches):
         work = make()
         for batch in batches:
-            columns = [*batch.columns, *work(*[batch.column(i) for i in at])]
-            yield pa.RecordBatch.from_arrays(columns, names=titles)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):  # results of a few rows at a time: bounded memory
+                part = batch.slice(start, ROWS_AT_ONCE)
+                columns = [*part.columns, *work(*[part.column(i) for i in at])]
+                yield pa.RecordBatch.from_arrays(columns, names=titles)
 
     return plain.mapInArrow(run, schema).toDF(*names, *new)

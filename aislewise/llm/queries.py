@@ -1,6 +1,6 @@
 """Queries of the ten operators, opN_<name>, and the SQL of those that SQL can express."""
 
-from . import langid, radix_dedup, reputation, simhash
+from . import bpe, langid, packing, quality, quotes, radix_dedup, reputation, simhash, warc, wordpiece
 
-QUERIES = {**langid.QUERIES, **reputation.QUERIES, **simhash.QUERIES, **radix_dedup.QUERIES}
-SQL = {"op5_url_reputation": reputation.SQL, "op10_exact_dedup": radix_dedup.SQL}
+QUERIES = {name: query for module in (quotes, wordpiece, langid, warc, reputation, simhash, bpe, quality, packing, radix_dedup) for name, query in module.QUERIES.items()}
+SQL = {"op4_warc_revisits": warc.SQL, "op5_url_reputation": reputation.SQL, "op10_exact_dedup": radix_dedup.SQL}
