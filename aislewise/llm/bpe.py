@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Mapping
 
 import numpy as np
@@ -79,12 +80,17 @@ class Encoder:
         # white space as Unicode's property, which the contract's library takes \s for
         self.split = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.tokens = dict(zip(ranks.values(), ranks))
+        self.name = zlib.crc32(repr((pattern, sorted(self.tokens.items()))).encode())
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         matches = [[m.encode() for m in self.split(p)] for p in parts]
         ids = self.encode_matches(list({m for own in matches for m in own}))
         return [b"".join(map(ids.__getitem__, own)) for own in matches]
 
+    def encode_later(self, parts: list[str]) -> list[bytes]:
+        """Parts that stand behind a space."""
+        return self.encode_parts([" " + p for p in parts])
+
     def encode_matches(self, matches: list[bytes]) -> dict[bytes, bytes]:
         out, buckets = {}, {}
         for m in matches:
@@ -162,7 +168,7 @@ def encode_documents(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str,
     def make():
         own, table, split = shared.value
         encoder = Encoder(own, split, table)
-        remembering = Remembering(encoder.encode_parts)
+        remembering = Remembering(encoder.encode_later, encoder.encode_parts, f"ranks {encoder.name}")
 
         def work(texts: pa.Array) -> list[pa.Array]:
             ids = list(remembering.ids(texts.to_pylist()))

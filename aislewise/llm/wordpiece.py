@@ -82,14 +82,19 @@ class Automaton:
         return total
 
 
+def byte_of_character() -> dict[str, int]:
+    """Bytes by the printable characters that byte-level vocabularies write for them."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def byte_level_pieces(path: str) -> list[bytes]:
     """The vocabulary of a byte-level tokenizer file as pieces: bytes, with the space before a word's first piece."""
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    return [bytes(byte[c] for c in token) for token in vocabulary if all(c in byte for c in token)]
+    byte = byte_of_character()
+    return [bytes(map(byte.__getitem__, token)) for token in vocabulary if all(c in byte for c in token)]
 
 
 def count_pieces(docs: DataFrame, pieces: Iterable[bytes], inner: bytes = b"", before: bytes = b" ", text: str = "text") -> DataFrame:

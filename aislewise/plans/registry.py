@@ -12,8 +12,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from aislewise.plans import billing_queries, event_queries, vision_queries
+
+_MODULES = (billing_queries, event_queries, vision_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -31,6 +34,7 @@ def on_workers(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
 
 
 def ship(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # instants are UTC timestamps without zone
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="aislewise-")
