@@ -64,7 +64,7 @@ def _rounds(rows: DataFrame) -> list[DataFrame]:
         if groups.limit(1).count() == 0:
             alone = rows.select(*carried, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
             return [*finished, alone]
-        joined = rows.select(*carried, *key, F.substring(F.col("rest"), n + 1, 2**31 - 1).alias("left")).join(groups, names, "left")
+        joined = rows.select(*carried, *key, F.substring(F.col("rest"), n + 1, 2**31 - 1).alias("left")).join(groups.hint("merge"), names, "left")
         go_on = F.col("group_size").isNotNull() & ~F.col("ended")
         out = joined.where(~go_on).select(
             *carried,
