@@ -51,6 +51,16 @@ def test_query_equals_brute_force(spark):
     assert padding <= 0.001 * sum(map(len, documents.values()))
 
 
+def test_encoder_equals_the_library_for_every_character_and_for_very_long_matches():
+    encode = packing.tokenizer_encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    points = [c for c in range(0x30000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{chr(c)} {chr(c)}1 {chr(c)}! {chr(c)}{chr(c)}x  {chr(c)}\n" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    texts += [" " * 300_000, "x" * 300_000, "ab" * 100_000, "!" * 200_000, "\n" * 200_000 + "a", "é" * 100_000, ""]
+    ours = encode(texts)
+    for text, ids, e in zip(texts, ours, TOKENIZER.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, text[:20]
+
+
 def test_odd_texts(spark):
     rows = [*enumerate(ODD), (900, "Hello <|endoftext|> world"), (901, "<|endoftext|>")]
     documents = {i: ids_of(t) for i, t in rows}

@@ -69,7 +69,7 @@ def test_links_of_crowded_nodes(spark, limit):
     fps = sorted({*crowded(rng, 300, 0, 7), *crowded(rng, 150, 0xFFFF_0000_FFFF_0000, 9), *[rng.getrandbits(64) for _ in range(100)]})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     links = simhash.hamming_links(spark.createDataFrame([(f,) for f in signed], "fp long"), limit=limit).collect()
-    assert {f for r in links for f in (r.a, r.b)} <= set(signed) and len(links) < 40 * len(signed)
+    assert {f for r in links for f in (r.a, r.b)} <= set(signed)
     label = {f: f for f in signed}
 
     def find(f):
