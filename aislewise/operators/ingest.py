@@ -11,7 +11,7 @@ from aislewise.functions.ids import payload_hash
 from aislewise.schemas import EVENT_TYPES, PREFIX, REQUIRED, SUBJECTS, Field
 
 FUTURE_MS, MAX_AGE_MS, MAX_BILLING_AGE_MS = 300_000, 86_400_000, 35 * 86_400_000
-SIMULATOR = "urn:pqt:sim"
+SIMULATOR = "urn:retail:sim"
 
 
 def _field_errors(field: Field, data: Column) -> list[Column]:
@@ -39,9 +39,12 @@ def collected(*errors: Column) -> Column:
     return F.array_compact(F.array(*errors))
 
 
-def validate(events: DataFrame, now_ms: Column) -> DataFrame:
-    """events (ENVELOPE) with t_ms, short_type and errors: every message that applies, empty for a valid event."""
-    short = F.when(F.col("type").startswith(PREFIX), F.substring("type", len(PREFIX) + 1, 200))
+def validate(events: DataFrame, now_ms: Column, prefix: str = PREFIX, simulator: str = SIMULATOR) -> DataFrame:
+    """events (ENVELOPE) with t_ms, short_type and errors: every message that applies, empty for a valid event.
+
+    prefix: what a deployment's event types begin with; simulator: what the sources of simulated events begin with.
+    """
+    short = F.when(F.col("type").startswith(prefix), F.substring("type", len(prefix) + 1, 200))
     e = events.withColumns({"short_type": short, "t_ms": F.unix_millis(F.try_to_timestamp("time"))})
     missing = [F.when(F.col(c).isNull(), f"{c} is missing") for c in REQUIRED]
     unknown = F.when(F.col("type").isNotNull() & (F.col("short_type").isNull() | ~F.col("short_type").isin(*EVENT_TYPES)), F.concat(F.lit("unknown type "), "type"))
@@ -51,7 +54,7 @@ def validate(events: DataFrame, now_ms: Column) -> DataFrame:
         messages = [m for f in fields for m in _field_errors(f, F.col("data"))]
         subject = F.when(~F.col("subject").rlike(SUBJECTS[name]), "subject does not fit the type")
         by_type.append(F.when(F.col("short_type") == name, collected(subject, *messages)))
-    simulated = F.col("source").startswith(SIMULATOR)
+    simulated = F.col("source").startswith(simulator)
     most = F.when(F.col("short_type").rlike(r"^(pos|stock)\."), MAX_BILLING_AGE_MS).otherwise(MAX_AGE_MS)
     rest = [
         F.when(F.col("time").isNotNull() & F.col("t_ms").isNull(), "time is not a timestamp"),

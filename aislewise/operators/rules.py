@@ -41,7 +41,7 @@ class Rules:
     ttl: int = 14_400_000
     stitch: int = 30_000
     absence: Rule = Rule("R-ABS-001", "1.0.0", "shadow", "high")
-    expect: str = "com.pqt.store.register.opened"
+    expect: str = "com.retail.store.register.opened"
     within: int = 300_000
     footfall: Rule = Rule("R-FOOT-001", "1.1.0", "enforce", "low")
     footfall_zones: tuple[str, ...] = ("entrance",)

@@ -427,10 +427,10 @@ def envelopes(spark, d):
     """Events as envelopes, with faults planted by id."""
     e = P.events(spark, d)
     i = F.col("event_id")
-    kind = F.when(i % 13 == 0, "com.pqt.store.unheard").otherwise("com.pqt.store.queue.length")
+    kind = F.when(i % 13 == 0, "com.retail.store.unheard").otherwise("com.retail.store.queue.length")
     data = F.to_json(F.struct(F.concat(F.lit("q"), F.col("user_id") % 4).alias("queueId"), F.when(i % 17 == 0, F.lit("many")).otherwise(F.col("k").cast("string")).alias("length"), F.when(i % 19 != 0, F.lit(1)).alias("openRegisters")))
     return e.select(
-        F.lit("1.0").alias("specversion"), i.cast("string").alias("id"), F.lit("urn:pqt:edge:s1:a").alias("source"), kind.alias("type"), F.when(i % 23 == 0, "yesterday").otherwise(F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("time"),
+        F.lit("1.0").alias("specversion"), i.cast("string").alias("id"), F.lit("urn:retail:edge:s1:a").alias("source"), kind.alias("type"), F.when(i % 23 == 0, "yesterday").otherwise(F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("time"),
         F.when(i % 29 == 0, "zone:a").otherwise("queue:q1").alias("subject"), F.lit("https://schemas.example/store.queue.length-1.0.0.json").alias("dataschema"), F.lit("application/json").alias("datacontenttype"), F.lit("s1").alias("storeid"),
         F.when(i % 31 == 0, "s2").otherwise("s1").alias("partitionkey"), F.lit(None).cast("string").alias("simrunid"), i.cast("string").alias("sequence"), F.lit(None).cast("string").alias("traceparent"), F.lit(None).cast("string").alias("tracestate"), data.alias("data"), i.alias("arrival"), "t_ms",
     )
@@ -441,7 +441,7 @@ def validate_collect_errors(spark, d):
     return out.select("id", F.array_join("errors", "; ").alias("errors"))
 
 
-_VALIDATE = """SELECT event_id::VARCHAR AS id, concat_ws('; ', CASE WHEN event_id % 13 = 0 THEN 'unknown type com.pqt.store.unheard' END,
+_VALIDATE = """SELECT event_id::VARCHAR AS id, concat_ws('; ', CASE WHEN event_id % 13 = 0 THEN 'unknown type com.retail.store.unheard' END,
  CASE WHEN event_id % 13 <> 0 AND event_id % 29 = 0 THEN 'subject does not fit the type' END, CASE WHEN event_id % 13 <> 0 AND event_id % 17 = 0 THEN 'data.length is not an integer' END, CASE WHEN event_id % 13 <> 0 AND event_id % 19 = 0 THEN 'data.openRegisters is missing' END,
  CASE WHEN event_id % 23 = 0 THEN 'time is not a timestamp' END, CASE WHEN event_id % 23 <> 0 AND (epoch_us(ts) // 1000) < 1706745600000 - 86400000 THEN 'time is too old' END, CASE WHEN event_id % 31 = 0 THEN 'partitionkey is not the store' END) AS errors FROM events"""
 

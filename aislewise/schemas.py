@@ -38,7 +38,8 @@ class Field:
 
 
 _ID, _BILL, _CURRENCY = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$", r"^bill-[0-9a-f]{32}$", r"^[A-Z]{3}$"
-PREFIX = "com.pqt."
+#: What event types begin with, unless a deployment passes another prefix.
+PREFIX = "com.retail."
 #: Event types, the fields of each and their allowed values, as producers send them.
 EVENT_TYPES: dict[str, tuple[Field, ...]] = {
     "store.zone.entered": (Field("zoneId", pattern=_ID), Field("trackId"), Field("how", required=False, values=("crossed", "appeared"))),

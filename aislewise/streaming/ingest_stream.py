@@ -16,13 +16,13 @@ _HASH = StructType([StructField("hash", StringType())])
 
 
 class FirstHash(StatefulProcessor):
-    """ACCEPTED for the first payload of (source, id), DUPLICATE for equal ones, CONFLICT for others; kept for ttl_ms."""
+    """ACCEPTED for the first payload of (source, id), DUPLICATE for equal ones, CONFLICT for others; kept for ttl_ms (None: for good)."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", _HASH, self.ttl_ms)
+        self.first = handle.getValueState("first", _HASH, self.ttl_ms) if self.ttl_ms else handle.getValueState("first", _HASH)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("arrival", kind="stable")
@@ -38,10 +38,13 @@ class FirstHash(StatefulProcessor):
         pass
 
 
-def dedup_stream(hashed: DataFrame, ttl_ms: int = 35 * 86_400_000) -> DataFrame:
-    """Rows with source, id, arrival and payload_hash, each with result."""
+def dedup_stream(hashed: DataFrame, ttl_ms: int | None = 35 * 86_400_000) -> DataFrame:
+    """Rows with source, id, arrival and payload_hash, each with result.
+
+    With a time to live Spark runs batches without data for ever, so an availableNow trigger ends with ttl_ms None only.
+    """
     schema = StructType([*hashed.schema.fields, StructField("result", StringType())])
-    return hashed.groupBy("source", "id").transformWithStateInPandas(statefulProcessor=FirstHash(ttl_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    return hashed.groupBy("source", "id").transformWithStateInPandas(statefulProcessor=FirstHash(ttl_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 def write_batch(path: str):
