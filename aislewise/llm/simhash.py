@@ -269,10 +269,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return labelled(fps, max_bits)
 
 
-def labelled(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """near_duplicates() of rows that have fp already; further columns stay."""
+def labelled(fps: DataFrame, max_bits: int = MAX_BITS, links: DataFrame | None = None) -> DataFrame:
+    """near_duplicates() of rows that have fp already; links (a, b) between fps stand in for those within max_bits."""
     distinct, _ = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots, _ = common.stored(components(hamming_links(distinct.select("fp"), max_bits)), "simhash-roots")
+    roots, _ = common.stored(components(hamming_links(distinct.select("fp"), max_bits) if links is None else links), "simhash-roots")
     member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     label = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = member.join(label, "root").select("fp", "component_id")

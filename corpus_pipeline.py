@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.llm import common, langid, packing, quality, radix_dedup, simhash
+from aislewise.llm import common, langid, near_copies, packing, quality, radix_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each_group(docs)
+    """One document of each group whose 5-word shingles are alike to 0.8 or more; op6 keeps its own contract."""
+    return near_copies.one_of_each_group(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
