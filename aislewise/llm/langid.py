@@ -13,9 +13,8 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Bounds of the training sample: languages (most frequent first), documents a language, characters of a document and
-#: bytes of a dictionary.
-MAX_LANGS, MAX_DOCS, MAX_CHARS, DICT_BYTES = 64, 400, 400, 32 << 10
+#: Bounds of the training sample of each language: documents, characters of a document and bytes of the dictionary.
+MAX_DOCS, MAX_CHARS, DICT_BYTES = 400, 400, 32 << 10
 #: Characters that one frame holds: every part of a text, however long, meets the dictionary.
 PIECE = 8192
 #: Levels for texts over and up to SHORT characters; in short ones single bytes decide, so their matches may be shorter.
@@ -34,16 +33,18 @@ def letters_only(text: str | None) -> str:
 
 
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
-    """A bounded dictionary text per language from labelled rows (doc_id, text, lang), at most max_docs for each.
+    """A bounded dictionary text for every language of labelled rows (doc_id, text, lang), at most max_docs for each.
 
     Rows with null lang, null text or null doc_id are not learned from. Documents are chosen by a hash of doc_id, and
-    ids alone are ranked, so texts of the chosen rows only reach the driver.
+    ids alone are ranked, so texts of the chosen rows only reach the driver: MAX_CHARS of each, from a place in the
+    whole text that a hash of doc_id chooses.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null")
-    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).join(F.broadcast(langs.select("lang")), "lang").select("doc_id", "lang")
-    rows = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, MAX_CHARS).alias("text")).collect()
+    ids = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("doc_id", "lang")
+    start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - MAX_CHARS, F.lit(0)) + 1) + 1
+    chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"])
+    rows = chosen.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").substr(start.cast("int"), F.lit(MAX_CHARS)).alias("text")).collect()
     texts: dict[str, dict[str, None]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         texts.setdefault(row.lang, {}).setdefault(letters_only(row.text))

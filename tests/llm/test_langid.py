@@ -80,3 +80,18 @@ def test_clashing_names_and_empty_tables(spark, name):
     out = langid.classify(docs, {"en": b" the house "})
     assert len({c.lower() for c in out.columns}) == len(out.columns) and out.count() == 1
     assert langid.classify(docs.limit(0), {"en": b" the "}).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """Rare languages beyond the 64 most frequent have dictionaries too."""
+    rows = [(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} text", f"l{i % 90:02d}") for i in range(900)] + [(9_999, "once only", "rare")]
+    assert set(langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {f"l{i:02d}" for i in range(90)} | {"rare"}
+
+
+def test_a_shared_opening_is_not_all_that_is_learned(spark):
+    opening = "all rights reserved by the owner of this page " * 20
+    rows = [(i * 3 + k, opening + f"{w} " * 40, lang) for i in range(40) for k, (lang, w) in enumerate(WORDS.items())]
+    model = langid.Classifier(langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    for lang, words in WORDS.items():
+        found, margin = model.predict(" ".join(words.split()[::2]))
+        assert found == lang and margin >= langid.MIN_MARGIN
