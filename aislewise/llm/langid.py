@@ -37,13 +37,13 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
 
     Rows with null lang, null text or null doc_id are not learned from. Documents are chosen by a hash of doc_id, and
     ids alone are ranked, so texts of the chosen rows only reach the driver: MAX_CHARS of each, from a place in the
-    whole text that a hash of doc_id chooses.
+    whole text that a hash of doc_id chooses. However often a doc_id repeats, it is one document, with its least text.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("doc_id", "lang")
+    ids = labelled.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("doc_id", "lang")
     start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - MAX_CHARS, F.lit(0)) + 1) + 1
-    chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"])
+    chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = chosen.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").substr(start.cast("int"), F.lit(MAX_CHARS)).alias("text")).collect()
     texts: dict[str, dict[str, None]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):

@@ -95,3 +95,12 @@ def test_a_shared_opening_is_not_all_that_is_learned(spark):
     for lang, words in WORDS.items():
         found, margin = model.predict(" ".join(words.split()[::2]))
         assert found == lang and margin >= langid.MIN_MARGIN
+
+
+def test_a_repeated_doc_id_is_one_document(spark):
+    """Copies of one id take one place of the sample, whatever its hash."""
+    rows = [(i, f"only {''.join(chr(97 + int(c)) for c in str(i))} here", "xx") for i in range(20)]
+    want = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=10)
+    for i in range(20):
+        again = spark.createDataFrame(rows + [rows[i]] * 50 + [(i, "zz later text", "xx")] * 50, "doc_id long, text string, lang string")
+        assert langid.sample(again, max_docs=10) == want
