@@ -1,14 +1,15 @@
 """Byte-level BPE over length-bucketed, padded numpy matrices.
 
-The matches of the split pattern are rows of a matrix, padded to the longest of their length bucket. Each round every
-row merges its leftmost pair of minimum rank; pairs are looked up in an open-addressing hash table, and rows without a
-pair left leave the matrix, which is compacted.
+The matches of the split pattern are rows of a matrix, padded to the longest of their length bucket; a match longer than
+the last bucket is several rows, which are its blocks in order. Each round every match merges its leftmost pair of
+minimum rank, which may lie across two blocks; pairs are looked up in an open-addressing hash table, and matches without
+a pair left leave the matrix, which is compacted. A round touches one block of a match, so a match of any length stays
+in the matrix at a cost of one round a merge.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import zlib
 from collections.abc import Mapping
 
@@ -16,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .segments import Remembering
 
-#: Upper ends of the length buckets, in bytes; longer matches merge with a heap, whose cost stays n log n.
+#: Upper ends of the length buckets, in bytes; the last one is the length of a block.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Matrix cells that are merged together; a single longer match is merged alone.
+CELLS = 1 << 21
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,17 +75,37 @@ class PairTable:
         return out
 
 
+def class_stand_ins() -> dict[int, str]:
+    """For characters that `regex` and the contract's library class differently: a stand-in of the library's class.
+
+    The two know different versions of Unicode; the library's own reading of each class is asked for.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    byte, out = {bytes([i]): i for i in range(256)}, {}
+    for kind, stand_in in ((r"[^\s\p{L}\p{N}]", "\xa7"), (r"\p{L}", "\xe9"), (r"\p{N}", "1")):
+        library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=byte, special_tokens={})
+        theirs = set(bytes(library.encode_ordinary(every)).decode())
+        out.update((ord(c), stand_in) for c in theirs.difference(regex.findall(kind, every)))
+    return out
+
+
 class Encoder:
     """Ids of texts by ranks of byte strings; needs all 256 single bytes among them."""
 
-    def __init__(self, ranks: Mapping[bytes, int], pattern: str, table: PairTable | None = None):
+    def __init__(self, ranks: Mapping[bytes, int], pattern: str, table: PairTable | None = None, stand_ins: Mapping[int, str] | None = None):
         self.ranks, self.table = ranks, table or PairTable(ranks)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         # white space as Unicode's property, which the contract's library takes \s for
-        self.split = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+        self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+        self.stand_ins = class_stand_ins() if stand_ins is None else stand_ins
         self.tokens = dict(zip(ranks.values(), ranks))
         self.name = zlib.crc32(repr((pattern, sorted(self.tokens.items()))).encode())
 
+    def split(self, part: str) -> list[str]:
+        if part.isascii() or (plain := part.translate(self.stand_ins)) == part:
+            return self.pattern.findall(part)
+        return [part[m.start() : m.end()] for m in self.pattern.finditer(plain)]
+
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         matches = [[m.encode() for m in self.split(p)] for p in parts]
         ids = self.encode_matches(list({m for own in matches for m in own}))
@@ -97,61 +121,100 @@ class Encoder:
             whole = self.ranks.get(m)
             if whole is not None:
                 out[m] = whole.to_bytes(4, "little")
-            elif len(m) > BUCKETS[-1]:
-                out[m] = np.array(self._merge_long(m), "<u4").tobytes()
             else:
-                buckets.setdefault(next(b for b in BUCKETS if len(m) <= b), []).append(m)
-        for width, rows in buckets.items():
-            out.update(zip(rows, self._merge_rows(rows, width)))
+                width = next((b for b in BUCKETS if len(m) <= b), BUCKETS[-1])
+                blocks = -(-len(m) // width)
+                buckets.setdefault((width, 1 << (blocks - 1).bit_length()), []).append(m)
+        for (width, blocks), rows in buckets.items():
+            for at in range(0, len(rows), step := max(1, CELLS // (width * blocks))):
+                out.update(zip(rows[at : at + step], self._merged(rows[at : at + step], width)))
         return out
 
-    def _merge_rows(self, rows: list[bytes], width: int) -> list[bytes]:
-        flat = self.byte[np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8)].reshape(len(rows), width)
-        left = np.fromiter(map(len, rows), np.int64, len(rows))
-        ids = np.where(np.arange(width) < left[:, None], flat, np.int32(-1))
-        pair, row, done = self.table.look_up(ids[:, :-1], ids[:, 1:]), np.arange(len(rows)), [b""] * len(rows)
-        while len(row):
-            at = pair.argmin(axis=1)  # the first of equal ranks is the leftmost
-            rank = pair[np.arange(len(row)), at]
-            on = rank != _NONE
-            for k in np.flatnonzero(~on):
-                done[row[k]] = ids[k, : left[k]].astype("<u4").tobytes()
-            if not on.all():
-                ids, pair, row, at, rank, left = ids[on], pair[on], row[on], at[on], rank[on], left[on]
-            if not len(row):
-                break
-            n, c = np.arange(len(row)), np.arange(ids.shape[1] - 1)
-            ids[n, at] = rank
-            ids = np.concatenate([np.where(c <= at[:, None], ids[:, :-1], ids[:, 1:]), np.full((len(row), 1), -1, np.int32)], axis=1)
-            c = c[:-1]
-            pair = np.concatenate([np.where(c < at[:, None], pair[:, :-1], pair[:, 1:]), np.full((len(row), 1), _NONE, np.int32)], axis=1)
-            pair[n, np.minimum(at, pair.shape[1] - 1)] = self.table.look_up(ids[n, at], ids[n, np.minimum(at + 1, ids.shape[1] - 1)])
-            before = at > 0
-            pair[n[before], at[before] - 1] = self.table.look_up(ids[n[before], at[before] - 1], ids[n[before], at[before]])
-            left = left - 1
-            used = int(left.max())
-            if used < ids.shape[1] and used > 1:  # compaction of columns that are padding everywhere
-                ids, pair = ids[:, :used], pair[:, : used - 1]
-        return done
-
-    def _merge_long(self, m: bytes) -> list[int]:
-        part = [m[i : i + 1] for i in range(len(m))]
-        after, before = list(range(1, len(m) + 1)), list(range(-1, len(m) - 1))
-        heap = [(r, i, 2) for i in range(len(m) - 1) if (r := self.ranks.get(m[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i]
-            if not part[i] or j >= len(m) or len(part[i]) + len(part[j]) != size:
-                continue  # one of the two has merged since
-            part[i], part[j] = part[i] + part[j], b""
-            after[i] = after[j]
-            if after[i] < len(m):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(m) and (r := self.ranks.get(part[a] + part[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
-        return [self.ranks[p] for p in part if p]
+    def _merged(self, matches: list[bytes], width: int) -> list[bytes]:
+        """Ids of matches, each in as many blocks (rows) of `width` tokens as it needs."""
+        blocks = np.array([-(-len(m) // width) for m in matches])
+        first = np.r_[0, np.cumsum(blocks)[:-1]]
+        rows, n_rows = np.arange(blocks.sum()), int(blocks.sum())
+        length = np.fromiter(map(len, matches), np.int64, len(matches))
+        size = np.full(n_rows, width)
+        size[first + blocks - 1] = length - (blocks - 1) * width
+        flat = self.byte[np.frombuffer(b"".join(m.ljust(k * width, b"\0") for m, k in zip(matches, blocks.tolist())), np.uint8)].reshape(n_rows, width)
+        ids = np.where(np.arange(width) < size[:, None], flat, np.int32(-1))
+        after, before = rows + 1, rows - 1
+        after[first + blocks - 1] = before[first] = -1
+        pair = np.full((n_rows, width), _NONE, np.int32)
+        pair[:, :-1] = self.table.look_up(ids[:, :-1], ids[:, 1:])
+        on = np.flatnonzero(after >= 0)
+        pair[on, size[on] - 1] = self.table.look_up(ids[on, size[on] - 1], ids[after[on], 0])
+        at = pair.argmin(axis=1)  # of each row; the first of equal ranks is the leftmost
+        key = self._keys(pair, at, rows)
+        match, done, written = np.arange(len(matches)), [b""] * len(matches), np.zeros(len(matches), bool)
+        while True:
+            low = np.minimum.reduceat(key, first)  # of each match: least rank, then first row
+            live = low >> 32 != _NONE
+            for k in np.flatnonzero(~live & ~written):
+                own = slice(first[k], first[k] + blocks[k])
+                done[match[k]] = ids[own][np.arange(ids.shape[1]) < size[own, None]].astype("<u4").tobytes()
+            if not live.any():
+                return done
+            written = ~live
+            if live.mean() < 0.7:  # compaction: rows of matches that are done go
+                kept = np.repeat(live, blocks)
+                place = np.cumsum(kept) - 1
+                ids, pair, at, size = ids[kept], pair[kept], at[kept], size[kept]
+                after, before = (np.where(x[kept] >= 0, place[x[kept]], -1) for x in (after, before))
+                low = place[low[live] & 0xFFFFFFFF] | low[live] >> 32 << 32
+                key = self._keys(pair, at, np.arange(len(ids)))
+                match, blocks, written = match[live], blocks[live], written[live]
+                first = np.r_[0, np.cumsum(blocks)[:-1]]
+            else:
+                low = low[live]
+            if (used := int(size.max())) < ids.shape[1]:  # columns that are padding everywhere
+                ids, pair = ids[:, :used], pair[:, :used]
+            row, rank = low & 0xFFFFFFFF, (low >> 32).astype(np.int32)
+            p = at[row]
+            ids[row, p] = rank
+            last = p + 1 == size[row]
+            self._drop(ids, pair, size, row[~last], p[~last] + 1)
+            touched = [row]
+            if last.any():
+                here, there = row[last], after[row[last]]
+                self._drop(ids, pair, size, there, np.zeros(len(there), np.int64))
+                empty = size[there] == 0
+                here, gone = here[empty], there[empty]
+                after[here] = after[gone]
+                follow = after[here] >= 0
+                before[after[here[follow]]] = here[follow]
+                touched.append(there)
+            inner, beyond = p + 1 < size[row], after[row]
+            follower = np.where(inner, ids[row, np.minimum(p + 1, ids.shape[1] - 1)], np.where(beyond >= 0, ids[beyond, 0], -1))
+            pair[row, p] = self.table.look_up(rank, follower)
+            back = np.where(p > 0, row, before[row])
+            has, spot = back >= 0, np.where(p > 0, p - 1, size[back] - 1)
+            back, spot = back[has], spot[has]
+            pair[back, spot] = self.table.look_up(ids[back, spot], rank[has])
+            touched.append(back[p[has] == 0])
+            for own in touched:
+                if len(own):
+                    at[own] = pair[own].argmin(axis=1)
+                    key[own] = self._keys(pair, at, own)
+
+    @staticmethod
+    def _keys(pair: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Least rank of each row above the row's number: the least key of a match is its leftmost row of least rank."""
+        return pair[rows, at[rows]].astype(np.int64) << 32 | rows
+
+    @staticmethod
+    def _drop(ids: np.ndarray, pair: np.ndarray, size: np.ndarray, row: np.ndarray, p: np.ndarray) -> None:
+        """Takes the token at p out of each row."""
+        if len(row):
+            keep = np.arange(ids.shape[1] - 1) < p[:, None]
+            for cells, filler in ((ids, -1), (pair, _NONE)):
+                own = cells[row]
+                own[:, :-1] = np.where(keep, own[:, :-1], own[:, 1:])
+                own[:, -1] = filler
+                cells[row] = own
+            size[row] -= 1
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -163,11 +226,11 @@ def encode_documents(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str,
     decoded is the bytes that the ids stand for. Null text counts as empty: no ids, no bytes. Special tokens' strings
     are ordinary text. Whole texts are encoded; the vocabulary is broadcast, its size is that of its file.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((dict(ranks), PairTable(ranks), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((dict(ranks), PairTable(ranks), pattern, class_stand_ins()))
 
     def make():
-        own, table, split = shared.value
-        encoder = Encoder(own, split, table)
+        own, table, split, stand_ins = shared.value
+        encoder = Encoder(own, split, table, stand_ins)
         remembering = Remembering(encoder.encode_later, encoder.encode_parts, f"ranks {encoder.name}")
 
         def work(texts: pa.Array) -> list[pa.Array]:
@@ -181,6 +244,7 @@ def encode_documents(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str,
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Token counts and digests of all documents; a null text is empty, repeated rows repeat."""
     ranks = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_documents(docs, ranks, public_tokenizers.PATTERN, decode=True)

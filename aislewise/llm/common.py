@@ -15,10 +15,16 @@ ROWS_AT_ONCE = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a local session takes a temporary folder; on a cluster that is an error, as executors and driver
+    would not see each other's files.
+    """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="aislewise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -73,6 +79,12 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def where_arrow(df: DataFrame, reads: list[str], make) -> DataFrame:
+    """The rows of df for which the function that make() gives returns true; columns of any name stay as they are."""
+    flag = spare_name(df, "passes")
+    return with_arrow_columns(df, reads, f"{flag} boolean", make).where(F.col(flag)).drop(flag)
+
+
 def with_arrow_columns(df: DataFrame, reads: list[str], added: str, make) -> DataFrame:
     """df with columns appended: make() is called once a task and gives a function from the read arrays to the new ones.
 

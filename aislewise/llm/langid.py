@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -17,18 +18,25 @@ from . import common
 MAX_DOCS, MAX_CHARS, DICT_BYTES = 400, 400, 32 << 10
 #: Characters that one frame holds: every part of a text, however long, meets the dictionary.
 PIECE = 8192
-#: Levels for texts over and up to SHORT characters; in short ones single bytes decide, so their matches may be shorter.
-LEVEL, SHORT_LEVEL, SHORT = 7, 19, 256
+#: How many times MAX_DOCS ids of a language are ranked.
+THINNED = 4
+#: One level for texts of every length.
+LEVEL = 11
 #: Margin (share of the second-smallest size) below which a text is rejected.
 MIN_MARGIN = 0.004
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+@lru_cache(1)
+def _letter_runs():
+    """Runs of letters: word characters less digits, the underscore and numbers that are no letters, such as fractions."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+    return re.compile(rf"[^\W\d_{numbers}]+").findall
 
 
 def letters_only(text: str | None) -> str:
     """Lower-case letter runs, one space between them and around them: what languages are told apart by."""
-    words = _LETTERS.findall((text or "").lower())
+    words = _letter_runs()((text or "").lower())
     return f" {' '.join(words)} " if words else ""
 
 
@@ -38,10 +46,16 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
     Rows with null lang, null text or null doc_id are not learned from. Documents are chosen by a hash of doc_id, and
     ids alone are ranked, so texts of the chosen rows only reach the driver: MAX_CHARS of each, from a place in the
     whole text that a hash of doc_id chooses. However often a doc_id repeats, it is one document, with its least text.
+    A language's ids are thinned by their hash to about THINNED times max_docs before they are ranked, so no task gets
+    all ids of a language. The result is bounded by the number of languages.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("doc_id", "lang")
+    many = F.broadcast(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")))  # one row a language
+    place = F.xxhash64("doc_id")
+    thin = F.pmod(place, F.lit(1 << 30)) * F.col("ids") < (1 << 30) * THINNED * max_docs
+    ids = labelled.select("doc_id", "lang").join(many, "lang").where(thin).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("doc_id", "lang")
     start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - MAX_CHARS, F.lit(0)) + 1) + 1
     chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = chosen.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").substr(start.cast("int"), F.lit(MAX_CHARS)).alias("text")).collect()
@@ -62,11 +76,11 @@ class Classifier:
 
     def __init__(self, dictionaries: Mapping[str, bytes]):
         self.langs = sorted(dictionaries)
-        self.long, self.short = ([_compressor(dictionaries[lang], level) for lang in self.langs] for level in (LEVEL, SHORT_LEVEL))
+        self.compressors = [_compressor(dictionaries[lang], LEVEL) for lang in self.langs]
 
     def sizes(self, text: str) -> list[int]:
         pieces = [text[i : i + PIECE].encode("utf-8", "surrogatepass") for i in range(0, len(text), PIECE)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in (self.short if len(text) <= SHORT else self.long)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, margin from 0 to 1); UNKNOWN and 0 for a text without a letter, or without a learned language."""
@@ -100,6 +114,22 @@ def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], min_margin: flo
     return common.with_arrow_columns(docs, ["text"], "lang_pred string, score double, accepted boolean", make)
 
 
+def keep_clear(docs: DataFrame, dictionaries: Mapping[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs that classify() accepts, with their own columns, whatever these are called."""
+    shared = docs.sparkSession.sparkContext.broadcast(dict(dictionaries))
+
+    def make():
+        model = Classifier(shared.value)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            found = [model.predict(t.as_py()) for t in texts]
+            return [pa.array([x != UNKNOWN and s >= min_margin for x, s in found], pa.bool_())]
+
+        return work
+
+    return common.where_arrow(docs, ["text"], make)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

@@ -133,5 +133,4 @@ def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     plain = named.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketches, _ = common.stored(plain.mapInArrow(_sketches, f"doc_id {kind}, fp long, bands array<long>"), "near-sketches")
     found = simhash.labelled(sketches.select("doc_id", "fp"), links=near_links(sketches, named, doc_id, text))
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_copy")).distinct()
-    return docs.join(copies, F.col(doc_id) == F.col("_near_copy"), "left_anti")
+    return simhash.without(docs, found.where("doc_id <> component_id"), doc_id)

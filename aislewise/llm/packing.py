@@ -18,50 +18,39 @@ from .wordpiece import byte_of_character
 
 WINDOW = 2048
 END_ID = 1
-#: Open windows of a task; beyond that they are closed by cutting, so memory has a bound for any order of sizes.
-MAX_OPEN = 2048
-
-Piece = tuple  # (doc id, start, ids as bytes, tokens of the document)
 
 
 class Packer:
     """Windows filled online: each remainder goes to the fill level that minimises the sum of squared level counts.
 
-    count[f] is the number of open windows with f tokens, windows[f] those windows. A document is cut only at whole
-    windows, except when windows are closed: then what open windows hold is poured together, and the last rest leaves
-    in sequences of a power of two tokens, which need no padding.
+    count[f] is the number of open windows with f tokens, windows[f] their numbers. A document is cut at whole windows
+    only. A piece's window and offset are final when it is placed, so an open window is one number here, however many
+    are open; windows that never fill up are padded.
     """
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN):
-        self.window, self.max_open, self.open = window, max_open, 0
+    def __init__(self, window: int = WINDOW):
+        self.window, self.made = window, 0
         self.count = np.zeros(window + 1, np.int64)
-        self.windows: list[list[list[Piece]]] = [[] for _ in range(window + 1)]
+        self.windows: list[list[int]] = [[] for _ in range(window + 1)]
 
-    def add(self, doc, ids: bytes) -> Iterator[list[Piece]]:
-        """Full sequences that this document completes."""
-        total = len(ids) // 4
+    def add(self, total: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, window number, offset) of each piece of a document of total tokens."""
         whole = total - total % self.window
         for start in range(0, whole, self.window):
-            yield [(doc, start, ids[4 * start : 4 * (start + self.window)], total)]
+            yield start, self.window, self._new(), 0
         if total > whole:
-            yield from self._place((doc, whole, ids[4 * whole :], total), total - whole)
-        if self.open > self.max_open:
-            yield from self.close(keep_rest=True)
-
-    def _place(self, piece: Piece, size: int) -> Iterator[list[Piece]]:
-        level = self._level(size)
-        own = self.windows[level].pop() if level else []
-        if level:
-            self.count[level] -= 1
-        else:
-            self.open += 1
-        own.append(piece)
-        if level + size == self.window:
-            self.open -= 1
-            yield own
-        else:
-            self.windows[level + size].append(own)
-            self.count[level + size] += 1
+            size = total - whole
+            level = self._level(size)
+            number = self.windows[level].pop() if level else self._new()
+            self.count[level] -= level > 0
+            if level + size < self.window:
+                self.windows[level + size].append(number)
+                self.count[level + size] += 1
+            yield whole, size, number, level
+
+    def _new(self) -> int:
+        self.made += 1
+        return self.made - 1
 
     def _level(self, size: int) -> int:
         """The fill level to use, 0 for a new window; of equal changes the fullest level."""
@@ -72,48 +61,6 @@ class Packer:
         best = int(change.argmin()) if len(change) else 0
         return n - size - best if len(change) and change[best] <= 2 * self.count[size] + 1 else 0
 
-    def close(self, keep_rest: bool = False) -> Iterator[list[Piece]]:
-        """Empties all open windows, fullest first, pouring them into full sequences."""
-        pieces = [p for level in range(self.window, 0, -1) for own in self.windows[level] for p in own]
-        self.windows, self.open = [[] for _ in range(self.window + 1)], 0
-        self.count[:] = 0
-        own: list[Piece] = []
-        filled = 0
-        for piece in pieces:
-            while piece is not None:
-                head, piece = _cut(piece, self.window - filled)
-                own.append(head)
-                filled += len(head[2]) // 4
-                if filled == self.window:
-                    yield own
-                    own, filled = [], 0
-        if filled and keep_rest:
-            self.windows[filled], self.open = [own], 1
-            self.count[filled] = 1
-        elif filled:
-            yield from _powers(own, filled)
-
-
-def _cut(piece: Piece, size: int) -> tuple[Piece, Piece | None]:
-    doc, start, ids, total = piece
-    if len(ids) <= 4 * size:
-        return piece, None
-    return (doc, start, ids[: 4 * size], total), (doc, start + size, ids[4 * size :], total)
-
-
-def _powers(pieces: list[Piece], filled: int) -> Iterator[list[Piece]]:
-    todo = pieces[::-1]
-    while filled:
-        size = 1 << filled.bit_length() - 1
-        filled, own = filled - size, []
-        while size:
-            head, rest = _cut(todo.pop(), size)
-            own.append(head)
-            size -= len(head[2]) // 4
-            if rest is not None:
-                todo.append(rest)
-        yield own
-
 
 def tokenizer_encoder(definition: str):
     """encode(texts): ids of the tokenizers library as little-endian unsigned 32-bit integers; definition: a byte-level BPE JSON file.
@@ -146,8 +93,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text",
 
     path: a tokenizer's JSON file of byte-level kind, read on the driver and broadcast. Null and empty texts are the
     end id alone. Each task packs its own rows as they come, without a shuffle; sequence_id holds the task's partition
-    in its high bits, so a repeated task gives the same rows. Repeated rows and ids are documents of their own. An
-    empty table gives an empty table; other columns are not read.
+    in its high bits, so a repeated task gives the same rows. Windows that a task leaves partly filled are the padding:
+    a few hundred a task at most for documents of mixed sizes, so its share falls with the rows of a task. Repeated
+    rows and ids are documents of their own. An empty table gives an empty table; other columns are not read.
     """
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -156,39 +104,30 @@ def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text",
     end = np.array([end_id], "<u4").tobytes()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, base, n, doc_type = Packer(window), TaskContext.get().partitionId() << 40, 0, None
+        packer, base = Packer(window), TaskContext.get().partitionId() << 40
         encode = tokenizer_encoder(shared.value)
-
-        def batch_of(sequences: list[list[Piece]]) -> pa.RecordBatch:
-            nonlocal n
-            out = []
-            for own in sequences:
-                offset = 0
-                for doc, start, ids, total in own:
-                    out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, base + n, offset, ids))
-                    offset += len(ids) // 4
-                n += 1
-            columns = list(zip(*out))
-            arrays = [pa.array(columns[0], doc_type), *[pa.array(c, pa.int64()) for c in columns[1:7]]]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            return pa.RecordBatch.from_arrays(arrays + [pa.array(columns[7], pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
-
         for batch in batches:
-            doc_type = batch.column(0).type
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                encoded = encode([t or "" for t in part.column(1).to_pylist()])
-                full = [s for doc, ids in zip(part.column(0).to_pylist(), encoded) for s in packer.add(doc, ids + end)]
-                if full:
-                    yield batch_of(full)
-        if doc_type is not None and (rest := list(packer.close())):
-            yield batch_of(rest)
+            for i in range(0, batch.num_rows, common.ROWS_AT_ONCE):
+                part = batch.slice(i, common.ROWS_AT_ONCE)
+                row, out = [], []
+                for k, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids += end
+                    for start, size, number, offset in packer.add(len(ids) // 4):
+                        own = ids[4 * start : 4 * (start + size)]
+                        row.append(k)
+                        out.append((start, size, zlib.crc32(own), len(ids) // 4, base + number, offset, own))
+                columns = list(zip(*out))
+                arrays = [part.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, pa.int64()) for c in columns[:6]]]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[6], pa.binary())] * with_ids, names=names)
 
     return rows.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; null and empty texts are one token, repeated rows are packed one by one."""
     return pack_documents(common.table(spark, sf_dir, "documents"))
 
 

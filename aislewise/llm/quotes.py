@@ -8,6 +8,7 @@ follow by doubling pointers, and what a message wrote itself is its text without
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -20,21 +21,36 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def _runs(df: DataFrame, body: str) -> DataFrame:
-    """df with runs: array of (depth, text). The steps are columns of their own, so each is computed once."""
-    lines = F.split(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"\r\n?", "\n"), "\n", -1)
-    df = df.withColumn("_lines", lines)
-    df = df.withColumn("_depth", F.transform("_lines", lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _QUOTE, 1), r"[ \t]", ""))))
-    df = df.withColumn("_words", F.transform("_lines", lambda x: F.regexp_replace(x, _QUOTE, "")))
-    df = df.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_depth") - 1), lambda i: (i == 0) | (F.get("_depth", i) != F.get("_depth", i - 1))))
-    run = lambda s, k: F.struct(
-        F.get("_depth", s).alias("depth"),
-        F.array_join(F.slice(F.col("_words"), s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_depth")) - s), "\n").alias("text"),
-    )
-    return df.withColumn("runs", F.transform("_starts", run)).drop("_lines", "_depth", "_words", "_starts")
+def _lines(body: Column) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(body, F.lit("")), r"\r\n?", "\n"), "\n", -1)
+
 
+def _units(messages: DataFrame) -> DataFrame:
+    """(_t, _n, message, depth, whole, hash) of passages (whole) and of the single lines of longer ones.
 
-def link_quotes(messages: DataFrame, thread: str = "thread", message: str = "message", body: str = "body", max_rounds: int = 40) -> DataFrame:
+    messages: _t, _n, message, body. A line is a row, so its marks are parsed once; a passage is a run of lines of one
+    depth, found by a window over the lines of one message and put together by a group. Copies of a message count once
+    a copy.
+    """
+    copies = messages.where("message is not null").groupBy("_t", "_n", "message", "body").agg(F.count("*").alias("copies"))
+    key = ["_t", "_n", "message", "copy"]
+    lines = copies.select("_t", "_n", "message", F.xxhash64("body").alias("copy"), "copies", F.posexplode(_lines(F.col("body"))).alias("at", "line"))
+    lines = lines.withColumn("marks", F.regexp_extract("line", _QUOTE, 1))
+    lines = lines.withColumns({"depth": F.length(F.regexp_replace("marks", r"[ \t]", "")), "words": F.expr("substr(line, length(marks) + 1)")}).drop("line", "marks")
+    order = W.partitionBy(*key).orderBy("at")
+    begins = F.coalesce(F.col("depth") != F.lag("depth").over(order), F.lit(True))
+    runs = lines.withColumn("begins", begins).withColumn("run", F.count_if("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    size = F.count("*").over(W.partitionBy(*key, "run"))
+    runs = runs.withColumn("size", size)
+    single = runs.select("_t", "_n", "message", "depth", (F.col("size") == 1).alias("whole"), "copies", F.col("words").alias("text"))
+    longer = runs.where("size > 1").groupBy(*key, "run").agg(F.first("depth").alias("depth"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("at", "words"))).alias("own"))
+    text = F.array_join(F.col("own.words"), "\n")
+    units = single.union(longer.select("_t", "_n", "message", "depth", F.lit(True), "copies", text))
+    hashed = units.withColumn("norm", normalised(F.col("text"))).where("norm <> ''")
+    return hashed.select("_t", "_n", "message", "depth", "whole", "copies", F.sha2("norm", 256).alias("hash"))
+
+
+def link_quotes(messages: DataFrame, thread: str = "thread", message: str = "message", body: str = "body") -> DataFrame:
     """thread, message, parent, root, reply_depth, n_passages, n_linked, clean_text for each row of messages.
 
     message orders the messages of a thread and names them; a parent is always smaller. Passages are quotes of any
@@ -43,19 +59,14 @@ def link_quotes(messages: DataFrame, thread: str = "thread", message: str = "mes
     quote: of whole passages before single lines, then the latest. Rows that repeat a (thread, message) are copies of
     one message and share its links; a null thread is a thread like others; a row with a null message has no parent,
     no root and depth 0. A null body is empty. reply_depth 0 and root = message mark messages that quote nothing known;
-    sorting by (thread, root, reply_depth, message) gives reply-ordered conversations. Empty tables give empty tables.
+    reply_ordered() puts the rows in conversation order. Empty tables give empty tables; other columns are not read.
     """
-    rows = _runs(messages.select(F.col(thread).alias("thread"), F.col(message).alias("message"), F.col(body).alias("body")), "body").drop("body")
-    units = rows.where("message is not null").select("thread", "message", F.explode("runs").alias("run")).select("thread", "message", F.col("run.depth").alias("depth"), F.col("run.text").alias("text"))
-    whole = units.select("thread", "message", "depth", F.lit(True).alias("whole"), normalised(F.col("text")).alias("norm"))
-    single = units.where(F.col("text").contains("\n")).select("thread", "message", "depth", F.explode(F.split("text", "\n")).alias("line")).select("thread", "message", "depth", F.lit(False).alias("whole"), normalised(F.col("line")).alias("norm"))
-    hashed = whole.union(single).where(F.col("norm") != "").select("thread", "message", "depth", "whole", F.sha2("norm", 256).alias("hash"))
-    hashed, _ = common.stored(hashed, "quotes")
-    known = F.coalesce(F.col("thread").cast("string"), F.lit("")), F.col("thread").isNull()
-    keyed = hashed.withColumns({"_t": known[0], "_n": known[1]})
+    rows = messages.select(F.col(thread).alias("thread"), F.col(message).alias("message"), F.col(body).alias("body"))
+    rows = rows.withColumns({"_t": F.coalesce(F.col("thread").cast("string"), F.lit("")), "_n": F.col("thread").isNull()})
+    keyed, _ = common.stored(_units(rows), "quotes")
 
     wrote = keyed.where("depth = 0").groupBy("_t", "_n", "hash").agg(F.min("message").alias("origin"))
-    quoted = keyed.where("depth > 0").groupBy("_t", "_n", "message", "depth", "whole", "hash").agg(F.count("*").alias("n"))
+    quoted = keyed.where("depth > 0").groupBy("_t", "_n", "message", "depth", "whole", "hash").agg(F.sum("copies").alias("n"))
     linked = quoted.join(wrote, ["_t", "_n", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("message"), F.col("origin")))
     per = linked.groupBy("_t", "_n", "message").agg(
         F.sum(F.when(F.col("whole"), F.col("n"))).alias("n_passages"),
@@ -63,9 +74,10 @@ def link_quotes(messages: DataFrame, thread: str = "thread", message: str = "mes
         F.coalesce(F.max(F.when(F.col("whole") & (F.col("depth") == 1), F.col("origin"))), F.max(F.when(F.col("depth") == 1, F.col("origin")))).alias("parent"),
     )
     per, _ = common.stored(per, "quote-parents")
-    rooted = _roots(per.where("parent is not null").select("_t", "_n", "message", "parent"), max_rounds)
+    rooted = _roots(per.where("parent is not null").select("_t", "_n", "message", "parent"))
     nodes = per.join(rooted, ["_t", "_n", "message"], "left")
-    out = rows.withColumns({"_t": known[0], "_n": known[1]}).join(nodes, ["_t", "_n", "message"], "left")
+    own = F.filter(_lines(F.col("body")), lambda line: ~F.startswith(line, F.lit(">")))  # lines of depth 0
+    out = rows.withColumn("clean_text", F.trim(F.array_join(own, "\n"))).drop("body").join(nodes, ["_t", "_n", "message"], "left")
     return out.select(
         "thread",
         "message",
@@ -74,11 +86,21 @@ def link_quotes(messages: DataFrame, thread: str = "thread", message: str = "mes
         F.coalesce("reply_depth", F.lit(0).cast("long")).alias("reply_depth"),
         F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"),
         F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
-        F.trim(F.array_join(F.transform(F.filter("runs", lambda r: r["depth"] == 0), lambda r: r["text"]), "\n")).alias("clean_text"),
+        "clean_text",
     )
 
 
-def _roots(parents: DataFrame, max_rounds: int) -> DataFrame:
+def reply_ordered(linked: DataFrame) -> DataFrame:
+    """Rows of link_quotes() as conversations: all rows sorted by thread, first message, depth of reply and message.
+
+    Rows are dealt by ranges of that order, so a conversation of any length is no single task's; partitions follow each
+    other in order. Nulls come first; copies of a message stand side by side.
+    """
+    order = ["thread", "root", "reply_depth", "message"]
+    return linked.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _roots(parents: DataFrame) -> DataFrame:
     """(_t, _n, message, root, reply_depth) of messages with a parent: each round doubles how far a pointer reaches.
 
     A pointer at a message without a parent is finished and moves no more; others step on through it.
@@ -88,15 +110,13 @@ def _roots(parents: DataFrame, max_rounds: int) -> DataFrame:
     at = parents.withColumnRenamed("parent", "up").join(replies, [*key, "up"], "left")
     at = at.select(*key, "message", "up", F.lit(1).cast("long").alias("hops"), F.coalesce("top", F.lit(True)).alias("done"))
     at, path = common.stored(at, "quote-roots")
-    for _ in range(max_rounds):
-        if at.where("not done").limit(1).count() == 0:
-            return at.select(*key, "message", F.col("up").alias("root"), F.col("hops").alias("reply_depth"))
+    while at.where("not done").limit(1).count():  # a parent is smaller than its reply: pointers end
         above = at.select(*key, F.col("message").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"))
         moved = at.where("not done").join(above, [*key, "up"]).select(*key, "message", F.col("up2"), F.col("hops") + F.col("hops2"), "done2")
         before = path
         at, path = common.stored(at.where("done").union(moved), "quote-roots")
         common.remove(parents.sparkSession, before)
-    raise RuntimeError("reply chains did not settle")
+    return at.select(*key, "message", F.col("up").alias("root"), F.col("hops").alias("reply_depth"))
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
@@ -113,11 +133,10 @@ def as_mail(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as mail, in reply order: quotes that texts hold themselves count like those that as_mail() adds."""
     mail, _ = common.stored(as_mail(common.table(spark, sf_dir, "conversations")), "mail")
-    out = link_quotes(mail, "conv_id", "turn", "body")
+    out = reply_ordered(link_quotes(mail, "conv_id", "turn", "body"))
     return out.select(F.col("thread").alias("conv_id"), F.col("message").alias("turn"), F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "reply_depth", "n_passages", "n_linked", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
-#: Text with white space as normalised() has it, and as mail carries it, for the SQL below.
-_NORM = r"trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 QUERIES = {"op1_quote_links": query}

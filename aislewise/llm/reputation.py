@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .components import join_counted
 
 #: (verdict, host, path prefix): a rule fits its host and all subdomains if the path starts with its path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -62,45 +63,52 @@ def _prior(n: Column, bad: Column) -> tuple[Column, Column]:
     return mean, strength
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, mean, lower for each host: the posterior of its bad rate.
+def reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """host, mean, lower for each row of hosts (host, n, bad: labelled pages and the bad ones among them, 0 for none).
 
-    outcomes: host, bad (0/1), one row per labelled page; null hosts and outcomes are left out. Suffix rates are drawn
-    to the rate of all pages, domain rates to their suffix's posterior mean, host rates to their domain's; the strength
-    of each pull is the beta-binomial prior's, fitted by moments over that level. Hosts are counted before any join, so
-    a host with a third of all pages is one row.
+    Suffix rates are drawn to the rate of all pages, domain rates to their suffix's posterior mean, host rates to their
+    domain's; the strength of each pull is the beta-binomial prior's, fitted by moments over the labelled groups of
+    that level. So a host without labels has its domain's rate, a domain without labels its suffix's, a suffix without
+    labels that of all pages, each with the prior's spread. Without any label mean and lower are null.
     """
-    hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"), F.count("*").alias("dhosts"))
+    ends = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"), F.count("*").alias("sdomains"))
 
     def level(df: DataFrame, n: str, bad: str, p: str) -> DataFrame:
         mean, strength = _prior(F.col(n), F.col(bad))
-        return df.agg(mean.alias(f"{p}mean"), strength.alias(f"{p}k"))
+        return df.where(F.col(n) > 0).agg(mean.alias(f"{p}mean"), strength.alias(f"{p}k"))
 
-    one = level(hosts, "n", "bad", "h").crossJoin(level(domains, "dn", "dbad", "d")).crossJoin(level(suffixes, "sn", "sbad", "s"))  # a single row
-    one = F.broadcast(one)
-    suffixes = suffixes.crossJoin(one).select("suffix", ((F.col("sbad") + F.col("sk") * F.col("smean")) / (F.col("sn") + F.col("sk"))).alias("sp"), "dk", "hk")
-    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("dbad") + F.col("dk") * F.col("sp")) / (F.col("dn") + F.col("dk"))).alias("dp"), "hk")
+    one = F.broadcast(level(hosts, "n", "bad", "h").crossJoin(level(domains, "dn", "dbad", "d")).crossJoin(level(ends, "sn", "sbad", "s")))  # a single row
+    ends = ends.crossJoin(one).select("suffix", "sdomains", ((F.col("sbad") + F.col("sk") * F.col("smean")) / (F.col("sn") + F.col("sk"))).alias("sp"), "dk", "hk")
+    rates = join_counted(domains, ends, "suffix", "sdomains")
+    rates = rates.select("domain", "dhosts", ((F.col("dbad") + F.col("dk") * F.col("sp")) / (F.col("dn") + F.col("dk"))).alias("dp"), "hk")
     a, b = F.col("bad") + F.col("hk") * F.col("dp"), F.col("n") - F.col("bad") + F.col("hk") * (1 - F.col("dp"))
-    post = hosts.join(domains, "domain").select("host", "n", "bad", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
-    return post.select("host", "n", "bad", "mean", F.greatest(F.lit(0.0), F.col("mean") - Z * F.col("sd")).alias("lower"))
+    post = join_counted(hosts, rates, "domain", "dhosts").select("host", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
+    return post.select("host", "mean", F.greatest(F.lit(0.0), F.col("mean") - Z * F.col("sd")).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate, bad_rate_lower for each row of pages (page_id, url).
 
-    outcomes: page_id, bad (0/1); rows of one page are one outcome, bad if any is. A null url has empty host and path
-    and no rule. A host without labelled pages is allowed (nothing is known against it; bad_rate is null). Repeated
+    outcomes: page_id, bad (0/1); rows of one page are one outcome, bad if any is. suffixes: those of more than one
+    label, such as a public list has. A null url has empty host and path and no rule. Every host is judged, also one
+    without labelled pages: by its domain's, its suffix's or all pages' rate. Urls without a host are no host's pages:
+    their bad_rate is null, they are neither learned from nor blocked by the method. Without labels nothing is. Repeated
     rows each give a row. Other columns are not read.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     once = outcomes.where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    known = reputation(parsed.join(once, "page_id").select("host", "bad"))
+    counted = parsed.where("host <> ''").join(once, "page_id", "left").groupBy("host")
+    counts = counted.agg(F.count("*").alias("pages"), F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    counts, _ = common.stored(counts, "hosts")
+    known = reputation(counts.select("host", "n", "bad"), suffixes).join(counts.select("host", "pages"), "host")
+    known, _ = common.stored(known.select("host", F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_lower"), "pages"), "reputation")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(known.select("host", F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_lower")), "host", "left")
     method = F.when(F.col("bad_rate_lower") > max_bad, "block").otherwise("allow")
+    judged = join_counted(parsed.where("host <> ''"), known, "host", "pages").drop("pages")
+    none = F.lit(None).cast("double")
+    judged = judged.unionByName(parsed.where("host = ''").withColumns({"bad_rate": none, "bad_rate_lower": none}))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bad_rate", "bad_rate_lower")
 
 
@@ -117,17 +125,17 @@ _LEVEL = """
  SELECT sum(b) / sum(n) AS mean, CASE WHEN rho > 0 THEN least(1000.0, greatest(1.0, 1 / rho - 1)) ELSE 1000.0 END AS k
  FROM {t}, LATERAL (SELECT CASE WHEN z > 0 THEN greatest(0.0, (w / z * kk - 1) / greatest(kk - 1, 1e-9)) ELSE 0.0 END AS rho
    FROM (SELECT sum(b * b / n) / sum(n) - (sum(b) / sum(n)) ** 2 AS w, (sum(b) / sum(n)) * (1 - sum(b) / sum(n)) AS z,
-     sum(n) / count(*) AS kk FROM {t})) GROUP BY rho"""
+     sum(n) / count(*) AS kk FROM {t} WHERE n > 0)) WHERE n > 0 GROUP BY rho"""
 SQL = rf"""
 WITH parsed AS (
  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 once AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
  FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS b,
+hosts AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b,
   CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN {SUFFIXES} THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
   CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN {SUFFIXES} THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix
- FROM parsed JOIN once USING (page_id) GROUP BY host),
+ FROM parsed LEFT JOIN once USING (page_id) WHERE host <> '' GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY 1),
 h0 AS ({_LEVEL.format(t='hosts')}), d0 AS ({_LEVEL.format(t='domains')}), s0 AS ({_LEVEL.format(t='suffixes')}),

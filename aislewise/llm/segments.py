@@ -15,11 +15,13 @@ _ASCII_BEFORE = tuple(c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _OTHER_BEFORE = tuple(c + " " for c in _OTHER_SPACE)
 _CUT = re.compile(rf"(?<=[^\s{_OTHER_SPACE}])(?= )")
 SPACES = frozenset(" \n\t\r\x0b\x0c" + _OTHER_SPACE)
-#: Letters, then symbols: the split pattern has a match begin at the first symbol.
-_TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)")
-#: Parts over this length are rarely repeated and are forgotten after use; of the others so many are remembered as new,
-#: and as many from before; what is still used moves over when the new ones are full.
-REMEMBERED_CHARS, REMEMBERED = 40, 500_000
+#: Letters, then ASCII symbols: the split pattern has a match begin at the first symbol.
+_TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
+#: Parts over this length are rarely repeated and are forgotten after use; of the others so many bytes are remembered as
+#: new, and as many from before, in each Python worker; what is still used moves over when the new ones are full.
+REMEMBERED_CHARS, REMEMBERED_BYTES = 40, 96 << 20
+#: Bytes that a remembered part takes besides its characters: a string, its ids and a place in the table.
+_PART_BYTES = 200
 #: Characters of texts whose new parts are encoded together.
 TOGETHER = 1 << 20
 
@@ -56,7 +58,7 @@ class Remembering:
 
     def _together(self, texts: list[str | None]) -> list[bytes]:
         heads, rests = zip(*[cut(t or "") for t in texts])
-        if len(self.known) > REMEMBERED:
+        if len(self.known) * (_PART_BYTES + REMEMBERED_CHARS) > REMEMBERED_BYTES:
             self.known, self.before = {}, self.known
             _KNOWN[self.vocabulary] = self.known, self.before
         known, new = self.known, set().union(*rests).difference(self.known)

@@ -1,38 +1,40 @@
-"""Near duplicates by SimHash over a Gray-order hierarchical index.
-
-A fingerprint pair within `max_bits` differing bits agrees on at least two of max_bits + 2 blocks of bits. So the upper
-nodes of the index are masked bit patterns: for each pair of blocks, all fingerprints with the same bits there. Spark
-shuffles fingerprints to their upper nodes, orders each node by Gray rank, and a task walks one node at a time: in Gray
-order neighbours share long runs of bits, which inner nodes hold as (mask, pattern); a pair of inner nodes is left out
-as soon as the differences summed over their shared bits pass max_bits. A node with more fingerprints than a task
-should hold is not searched but split by further masked patterns over its free bits; pairs keep agreeing on two of
-those blocks, so no link is lost. Only links of a spanning forest leave a node, never all pairs.
+"""Near duplicates by SimHash over one Gray-order hierarchical index.
+
+All distinct fingerprints are sorted by Gray rank, over range partitions. In that order neighbours share long runs of
+bits, so each run of fingerprints is a node that holds (mask, pattern): the bits that all below it share. Nodes are
+grouped into upper nodes in the same way, up to one root. The search starts at the pair (root, root) and goes down from
+pairs of nodes to pairs of their children; a pair is left out as soon as the differences summed over the bits that both
+share pass max_bits. Spark walks the upper levels as joins of node tables, and fingerprints are shipped only to those
+pairs of lowest shared nodes that are left; inside such a pair a task walks the lower levels, down to leaves of a few
+fingerprints. Only links of a spanning forest leave a pair, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, join_counted
 
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
-#: Fingerprints of one upper node that a task searches; larger nodes are split.
-NODE_LIMIT = 4096
-#: Fingerprints below one inner node of the lowest level, and children of the others.
+#: Fingerprints of one lowest shared node, and of one row that carries them.
+NODE, ROW = 1 << 16, 1 << 10
+#: Fingerprints below one leaf inside a task, and children of any upper node (a power of two).
 LEAF, FANOUT = 16, 8
+#: Node pairs and leaf pairs handled together in a task.
+_PAIRS = 1 << 11
 _CHUNK = 1 << 16
-_ONE = np.uint64(1)
-_SIGN = np.uint64(1 << 63)
+_FAN_BITS = FANOUT.bit_length() - 1
 
 
 # ---- fingerprints -------------------------------------------------------------------------------------------------
@@ -56,53 +58,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
-
-
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a long) per row; a null, empty or blank text has fp 0."""
-    kind = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
-
-
-# ---- upper nodes: masks -------------------------------------------------------------------------------------------
-
-
-def masks_below(used: int, max_bits: int = MAX_BITS) -> list[int]:
-    """The masks that split a node whose members agree on the bits of `used`: two of max_bits + 2 blocks of the rest.
-
-    With fewer free bits than blocks, the members' free bits are all compared by one more mask level anyway, so each
-    block may be a single bit or empty.
-    """
-    free = [i for i in range(63, -1, -1) if not used >> i & 1]
-    blocks = [sum(1 << i for i in part) for part in np.array_split(np.array(free, dtype=object), max_bits + 2)]
-    return sorted({used | a | b for a, b in combinations(blocks, 2)})
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _below(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """fp under each mask below its node; nodes: mask, fp (mask 0: the whole table)."""
-    known: dict[int, np.ndarray] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            used, fp = (batch.column(i).to_numpy() for i in (0, 1))
-            for one in np.unique(used):
-                if int(one) not in known:
-                    known[int(one)] = np.array([_signed(m) for m in masks_below(int(one) & (2**64 - 1), max_bits)], np.int64)
-                own, masks = fp[used == one], known[int(one)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(masks, len(own))), pa.array(np.tile(own, len(masks)))], names=["mask", "fp"])
+            values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
 
-    return nodes.mapInArrow(run, "mask long, fp long")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return plain.mapInArrow(run, f"doc_id {plain.schema[0].dataType.simpleString()}, fp long")
 
 
-# ---- search inside an upper node ----------------------------------------------------------------------------------
+# ---- the index ----------------------------------------------------------------------------------------------------
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -113,170 +81,268 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return rank
 
 
-def gray_tree(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels of (first row, shared mask, shared pattern) over fingerprints in Gray order, leaves first."""
+def gray_order(fp: Column) -> Column:
+    """gray_rank() of a long that holds 64 bits, as a long of the same order."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _rows_of(row: int):
+    """Sorted fingerprints of a partition as rows of up to `row`: part, start, n, ones, zeros (bits all share), fps."""
+
+    def emit(part: int, start: int, fp: np.ndarray) -> pa.RecordBatch:
+        ends = np.arange(0, len(fp), row)
+        ones, zeros = np.bitwise_and.reduceat(fp, ends), np.bitwise_and.reduceat(~fp, ends)
+        size = np.diff(np.r_[ends, len(fp)])
+        columns = [np.full(len(ends), part), start + ends, size, ones.view(np.int64), zeros.view(np.int64)]
+        arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array([fp[e : e + n].tobytes() for e, n in zip(ends, size)], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["part", "start", "n", "ones", "zeros", "fps"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start, held = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            held = np.r_[held, batch.column(0).to_numpy().view(np.uint64)]
+            full = len(held) - len(held) % row
+            if full:
+                yield emit(part, start, held[:full])
+                start, held = start + full, held[full:]
+        if len(held):
+            yield emit(part, start, held)
+
+    return run
+
+
+def _indexed(distinct: DataFrame, node: int, row: int) -> tuple[DataFrame, str]:
+    """Rows (node, at, ones, zeros, fps): the fingerprints in Gray order, node after node; at is a row's place in all."""
+    ordered = distinct.select("fp").withColumn("rank", gray_order(F.col("fp"))).repartitionByRange("rank").sortWithinPartitions("rank").select("fp")
+    rows, path = common.stored(ordered.mapInArrow(_rows_of(row), "part long, start long, n long, ones long, zeros long, fps binary"), "simhash-rows")
+    sizes = rows.groupBy("part").agg(F.sum("n").alias("n"))  # one row a partition
+    before = F.broadcast(sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before")))
+    placed = rows.join(before, "part").withColumn("at", F.col("before") + F.col("start"))
+    return placed.select(F.floor(F.col("at") / node).alias("node"), "at", "ones", "zeros", "fps"), path
+
+
+def _levels(rows: DataFrame) -> tuple[list[DataFrame], str]:
+    """Node tables (node, ones, zeros) from the lowest shared level to the root, and the path of the lowest."""
+    shared = F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros")
+    lowest, path = common.stored(rows.groupBy("node").agg(*shared), "simhash-nodes")
+    last = lowest.agg(F.max("node")).first()[0]
+    levels = [lowest]
+    while last:
+        levels.append(levels[-1].groupBy(F.shiftright("node", _FAN_BITS).alias("node")).agg(*shared))
+        last >>= _FAN_BITS
+    return levels, path
+
+
+def _node_pairs(levels: list[DataFrame], max_bits: int) -> DataFrame:
+    """Pairs (a, b), a <= b, of lowest shared nodes that may hold linked fingerprints, found from the root down."""
+    pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for level in levels[-2::-1]:
+        child = lambda side: level.select(
+            F.shiftright("node", _FAN_BITS).alias(side), F.col("node").alias(f"{side}_node"), F.col("ones").alias(f"{side}_ones"), F.col("ones").bitwiseOR(F.col("zeros")).alias(f"{side}_mask")
+        )
+        differ = F.col("a_ones").bitwiseXOR(F.col("b_ones")).bitwiseAND(F.col("a_mask")).bitwiseAND(F.col("b_mask"))
+        below = pairs.join(child("a"), "a").join(child("b"), "b").where((F.col("a_node") <= F.col("b_node")) & (F.bit_count(differ) <= max_bits))
+        pairs = below.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return pairs
+
+
+# ---- search inside a pair of nodes --------------------------------------------------------------------------------
+
+
+def gray_tree(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels of (shared mask, shared pattern) over fingerprints in Gray order, leaves first, one root last."""
     levels, starts = [], np.arange(0, len(fp), LEAF)
     ones, zeros = np.bitwise_and.reduceat(fp, starts), np.bitwise_and.reduceat(~fp, starts)
     while True:
-        levels.append((starts, ones | zeros, ones))
-        if len(starts) == 1:
+        levels.append((ones | zeros, ones))
+        if len(ones) == 1:
             return levels
-        up = np.arange(0, len(starts), FANOUT)
-        starts, ones, zeros = starts[up], np.bitwise_and.reduceat(ones, up), np.bitwise_and.reduceat(zeros, up)
-
-
-def search(fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j), i < j, of all pairs within max_bits; fp in Gray order. Walks pairs of inner nodes from the top."""
-    levels = gray_tree(fp)
-    a = b = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
-        _, mask, pattern = levels[depth]
-        near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= max_bits
+        up = np.arange(0, len(ones), FANOUT)
+        ones, zeros = np.bitwise_and.reduceat(ones, up), np.bitwise_and.reduceat(zeros, up)
+
+
+def _leaf_pairs(left: list, right: list, same: bool, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves that may hold linked fingerprints, depth first and some at a time."""
+    top = max(len(left), len(right)) - 1
+    left, right = (tree + tree[-1:] * (top + 1 - len(tree)) for tree in (left, right))
+    root, fan = np.zeros(1, np.int64), np.arange(FANOUT)
+    todo = [(top, root, root)]
+    while todo:
+        depth, a, b = todo.pop()
+        (a_mask, a_own), (b_mask, b_own) = left[depth], right[depth]
+        near = np.bitwise_count((a_own[a] ^ b_own[b]) & a_mask[a] & b_mask[b]) <= max_bits
         a, b = a[near], b[near]
-        fan, size = (FANOUT, len(levels[depth - 1][0])) if depth else (LEAF, len(fp))
-        pairs = []
-        for i in range(0, len(a), 1 << 12):  # bounded temporaries
-            x = (a[i : i + (1 << 12), None] * fan + np.arange(fan))[:, :, None]
-            y = (b[i : i + (1 << 12), None] * fan + np.arange(fan))[:, None, :]
+        if not depth:
+            if len(a):
+                yield a, b
+            continue
+        n_left, n_right = len(left[depth - 1][0]), len(right[depth - 1][0])
+        for i in range(0, len(a), _PAIRS):
+            x = (a[i : i + _PAIRS, None] * FANOUT + fan)[:, :, None]
+            y = (b[i : i + _PAIRS, None] * FANOUT + fan)[:, None, :]
             x, y = np.broadcast_arrays(x, y)
-            ok = (x < size) & (y < size) & ((x < y) if depth == 0 else (x <= y))
-            x, y = x[ok], y[ok]
-            if depth == 0:
-                close = np.bitwise_count(fp[x] ^ fp[y]) <= max_bits
-                x, y = x[close], y[close]
-            pairs.append((x, y))
-        a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-    return a, b
+            ok = (x < n_left) & (y < n_right) & ((x <= y) | (not same))
+            todo.append((depth - 1, x[ok], y[ok]))
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every row that a pair names, its component's smallest row: at most one link a row instead of all pairs."""
-    rows, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
-    u, v, label = ends[: len(i)], ends[len(i) :], np.arange(len(rows))
+def _blocks(fp: np.ndarray) -> np.ndarray:
+    """A row of LEAF fingerprints a leaf; the last one repeats until its row is full."""
+    return np.r_[fp, np.repeat(fp[-1:], -len(fp) % LEAF)].reshape(-1, LEAF)
+
+
+def _close(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: tuple[int, int], same: bool, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) within max_bits in the leaf pairs (a, b)."""
+    hit = np.flatnonzero(np.bitwise_count(left[a][:, :, None] ^ right[b][:, None, :]) <= max_bits)
+    pair, at = np.divmod(hit, LEAF * LEAF)
+    i, j = a[pair] * LEAF + at // LEAF, b[pair] * LEAF + at % LEAF
+    ok = (i < sizes[0]) & (j < sizes[1]) & ((i < j) | (not same))
+    return i[ok], j[ok]
+
+
+def search(fp: np.ndarray, other: np.ndarray | None = None, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of all pairs within max_bits: i of fp, j of other, or i < j of fp alone; both in Gray order."""
+    same = other is None
+    other = fp if same else other
+    left, right = _blocks(fp), _blocks(other)
+    for a, b in _leaf_pairs(gray_tree(fp), gray_tree(other), same, max_bits):
+        for k in range(0, len(a), _PAIRS):
+            yield _close(a[k : k + _PAIRS], b[k : k + _PAIRS], left, right, (len(fp), len(other)), same, max_bits)
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (the smallest row of each component) after rows i and j are linked; label itself is used up."""
     while True:
         low = label.copy()
-        np.minimum.at(low, u, label[v])
-        np.minimum.at(low, v, label[u])
-        low = low[low]
-        if (low == label).all():
-            break
+        u, v = low[i], low[j]
+        np.minimum.at(low, u, v)
+        np.minimum.at(low, v, u)
+        while True:
+            next_ = low[low]
+            if (next_ == low).all():
+                break
+            low = next_
+        if (low[i] == low[j]).all():
+            return low
         label = low
-    other = label != np.arange(len(rows))
-    return rows[other], rows[label[other]]
-
-
-def _links_of(mask: np.ndarray, fp: np.ndarray, max_bits: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b), and which rows belong to nodes that are too large; rows of a node are contiguous."""
-    key = fp & mask
-    first = np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.r_[starts, len(fp)])
-    node_size = np.repeat(sizes, sizes)
-    large = node_size > limit
-    left, right = [], []
-    # small nodes, which are nearly all, are compared side by side over the whole batch
-    node = np.cumsum(first)
-    small = np.flatnonzero((node_size > 1) & (node_size <= LEAF))
-    values, group = fp[small], node[small]
-    for shift in range(1, LEAF):
-        same = group[shift:] == group[:-shift]
-        if not same.any():
-            break
-        near = same & (np.bitwise_count(values[shift:] ^ values[:-shift]) <= max_bits)
-        left.append(values[shift:][near]), right.append(values[:-shift][near])
-    for s, n in zip(starts, sizes):
-        if LEAF < n <= limit:
-            part = fp[s : s + n]
-            part = part[np.argsort(gray_rank(part), kind="stable")]
-            i, j = forest(*search(part, max_bits))
-            left.append(part[i]), right.append(part[j])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), large
-
-
-def _searched(nodes: DataFrame, max_bits: int, limit: int) -> DataFrame:
-    """Of rows (mask, fp) sorted by upper node: links (a, b), and the rows (mask, a) of nodes over the limit."""
-
-    def emit(mask, fp, n_large):
-        a, b, large = _links_of(mask, fp, max_bits, limit)
-        n, m = len(a), int(large.sum())
-        cols = [np.r_[np.zeros(n, np.int64), mask[large].view(np.int64)], np.r_[a, fp[large]].view(np.int64), np.r_[b, np.zeros(m, np.uint64)].view(np.int64), np.r_[np.zeros(n, bool), np.ones(m, bool)]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["mask", "a", "b", "split"])
+
+
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row that a pair names, its component's smallest row: at most one link a row instead of all pairs."""
+    rows, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+    label = joined(np.arange(len(rows)), ends[: len(i)], ends[len(i) :])
+    moved = label != np.arange(len(rows))
+    return rows[moved], rows[label[moved]]
+
+
+def spanning_links(fp: np.ndarray, other: np.ndarray | None = None, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links whose components are those of all pairs that search() finds, at most one a fingerprint.
+
+    Leaf pairs whose fingerprints are in one component already are not compared, so a dense group costs few comparisons
+    instead of their square.
+    """
+    same = other is None
+    right_fp = fp if same else other
+    left, right, sizes = _blocks(fp), _blocks(right_fp), (len(fp), len(right_fp))
+    shift = 0 if same else len(left) * LEAF  # rows of other follow those of fp
+    label = np.arange(len(left) * LEAF + (0 if same else len(right) * LEAF))
+    label[sizes[0] : len(left) * LEAF] = sizes[0] - 1  # fillers repeat the last row
+    if not same:
+        label[shift + sizes[1] :] = shift + sizes[1] - 1
+    low, high = label.reshape(-1, LEAF).min(axis=1), label.reshape(-1, LEAF).max(axis=1)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal label, low, high
+        for k in range(0, len(a), _PAIRS):
+            x, y = a[k : k + _PAIRS], b[k : k + _PAIRS]
+            at = y + shift // LEAF
+            apart = (low[x] != high[at]) | (high[x] != low[at])
+            i, j = _close(x[apart], y[apart], left, right, sizes, same, max_bits)
+            if len(i):
+                label = joined(label, i, j + shift)
+                low, high = label.reshape(-1, LEAF).min(axis=1), label.reshape(-1, LEAF).max(axis=1)
+
+    if same:  # neighbours first: they unite dense groups
+        leaf = np.arange(len(left))
+        compare(np.r_[leaf, leaf[:-1]], np.r_[leaf, leaf[1:]])
+    for a, b in _leaf_pairs(gray_tree(fp), gray_tree(right_fp), same, max_bits):
+        compare(a, b)
+    values = left.ravel() if same else np.r_[left.ravel(), right.ravel()]
+    real = np.r_[np.arange(sizes[0]), shift + np.arange(0 if same else sizes[1])]
+    moved = real[label[real] != real]
+    return values[moved], values[label[moved]]
+
+
+def _searched(max_bits: int):
+    """Of rows (a, b, side, at, fps) sorted by node pair: links (a, b) between fingerprints, a pair of nodes at a time."""
+
+    def links(sides: list[list[bytes]]) -> pa.RecordBatch:
+        fp, other = (np.frombuffer(b"".join(own), np.uint64) if own else None for own in sides)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in spanning_links(fp, other, max_bits)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = fp = np.zeros(0, np.uint64)
-        over = None  # the node over the limit whose rows go straight through
+        key, sides = None, [[], []]
         for batch in batches:
-            m, f = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            mask, fp = np.r_[mask, m], np.r_[fp, f]
-            if over is not None:
-                same = (mask == over[0]) & (fp & mask == over[1])
-                k = len(same) if same.all() else int(np.argmin(same))
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(mask[:k].view(np.int64)), pa.array(fp[:k].view(np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(np.ones(k, bool))], names=["mask", "a", "b", "split"])
-                mask, fp = mask[k:], fp[k:]
-                if not len(mask):
-                    continue
-                over = None
-            last = (mask == mask[-1]) & (fp & mask == fp[-1] & mask[-1])
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            if len(fp) - cut > limit:
-                over = (mask[-1], fp[-1] & mask[-1])
-                cut = len(fp)
-            if cut:
-                yield emit(mask[:cut], fp[:cut], limit)
-                mask, fp = mask[cut:], fp[cut:]
-        if len(fp):
-            yield emit(mask, fp, limit)
-
-    return nodes.mapInArrow(run, "mask long, a long, b long, split boolean")
-
-
-def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, limit: int = NODE_LIMIT) -> DataFrame:
+            a, b, side = (batch.column(k).to_pylist() for k in range(3))
+            for now, at, fps in zip(zip(a, b), side, batch.column(4)):
+                if now != key and key is not None:
+                    yield links(sides)
+                    sides = [[], []]
+                key = now
+                sides[at].append(fps.as_py())
+        if key is not None:
+            yield links(sides)
+
+    return run
+
+
+def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS, node: int = NODE, row: int = ROW) -> DataFrame:
     """Links (a, b) that connect all pairs of the distinct fingerprints fp within max_bits differing bits.
 
-    Not every pair is a link, but the links' connected components are those of all pairs. Nodes over `limit` are split
-    again and again; their free bits get fewer each time, and a node without free bits has one fingerprint.
+    Not every pair is a link, but the links' connected components are those of all pairs. node is the number of
+    fingerprints that one side of a task holds, row that of one shipped row. An empty table gives no links.
     """
-    spark = distinct.sparkSession
-    nodes, links, old = distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), [], None
-    while True:
-        below = _below(nodes, max_bits)
-        key = F.col("fp").bitwiseAND(F.col("mask"))
-        dealt = below.repartition(F.col("mask"), key).sortWithinPartitions("mask", key)
-        found, path = common.stored(_searched(dealt, max_bits, limit), "simhash-links")
-        links.append(found.where("not split").select("a", "b"))
-        nodes = found.where("split").select("mask", F.col("a").alias("fp")).distinct()
-        if found.where("split").limit(1).count() == 0:
-            break
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
+    rows, path = _indexed(distinct, node, row)
+    levels, levels_path = _levels(rows)
+    pairs, pairs_path = common.stored(_node_pairs(levels, max_bits), "simhash-pairs")
+    own = rows.select("node", "at", "fps")
+    left = pairs.join(own, pairs.a == own.node).select("a", "b", F.lit(0).alias("side"), "at", "fps")
+    right = pairs.where("a <> b").join(own, F.col("b") == F.col("node")).select("a", "b", F.lit(1).alias("side"), "at", "fps")
+    dealt = left.union(right).repartition("a", "b").sortWithinPartitions("a", "b", "side", "at")
+    found, _ = common.stored(dealt.mapInArrow(_searched(max_bits), "a long, b long").where("a <> b").distinct(), "simhash-links")
+    for used in (path, levels_path, pairs_path):
+        common.remove(distinct.sparkSession, used)
+    return found
 
 
 # ---- documents ----------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) for each row of docs.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Rows with a null doc_id get the
     component of their fingerprint; it is null only if nothing but null ids is in it. Repeated rows repeat. Equal
-    fingerprints are one entry of the index, so copies are never paired. Empty tables give empty tables.
+    fingerprints are one entry of the index, so copies are never paired. Empty tables give empty tables; other columns
+    are not read.
     """
-    fps, _ = common.stored(fingerprints(docs, text, doc_id), "simhash-fp")
+    fps, _ = common.stored(fingerprints(docs, text, doc_id, shingle), "simhash-fp")
     return labelled(fps, max_bits)
 
 
 def labelled(fps: DataFrame, max_bits: int = MAX_BITS, links: DataFrame | None = None) -> DataFrame:
-    """near_duplicates() of rows that have fp already; links (a, b) between fps stand in for those within max_bits."""
-    distinct, _ = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots, _ = common.stored(components(hamming_links(distinct.select("fp"), max_bits) if links is None else links), "simhash-roots")
-    member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    label = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = member.join(label, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """near_duplicates() of rows that have fp already; links (a, b) between fps stand in for those within max_bits.
+
+    Fingerprints and components with many rows are joined by join_counted(), so none of them lands in one task.
+    """
+    distinct, _ = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    roots, _ = common.stored(components(hamming_links(distinct, max_bits) if links is None else links), "simhash-roots")
+    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member, _ = common.stored(rooted, "simhash-members")
+    label = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    by_fp, _ = common.stored(join_counted(member, label, "root", "members").select("fp", "component_id", "n"), "simhash-labels")
+    return join_counted(fps, by_fp, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -285,8 +351,13 @@ def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     Rows that share the smallest doc_id of a component stay together (they are one document to this operator); rows
     with a null doc_id stay.
     """
-    found = near_duplicates(docs, text, doc_id).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_near_copy")).distinct()
-    return docs.join(found, F.col(doc_id) == F.col("_near_copy"), "left_anti")
+    return without(docs, near_duplicates(docs, text, doc_id).where("doc_id <> component_id"), doc_id)
+
+
+def without(docs: DataFrame, copies: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of docs whose id is no doc_id of copies; docs may have columns of any name."""
+    gone = common.spare_name(docs, "near_copy")
+    return docs.join(copies.select(F.col("doc_id").alias(gone)).distinct(), F.col(doc_id) == F.col(gone), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; the dictionaries come from labelled documents."""
-    return langid.classify(docs, langid.sample(docs)).where("accepted").select(*docs.columns)
+    return langid.keep_clear(docs, langid.sample(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, that with the smallest doc_id; null texts are empty ones."""
     return radix_dedup.drop_exact_duplicates(docs)
 
 
@@ -27,6 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens, every token of every document in one of them."""
     return packing.pack_documents(docs)
 
 

@@ -53,6 +53,28 @@ def test_rows_without_a_pair_and_long_matches(encoder):
             assert by_matrix(encoder, word) == ORACLE.encode_ordinary(word)
 
 
+@pytest.mark.parametrize("word", ["thein" * 2000, "x" * 10_000, "".join(random.Random(1).choice("abcdefgh") for _ in range(10_000)), "Ж" * 5001])
+def test_matches_of_ten_thousand_bytes(encoder, word):
+    """Longer than the last bucket: many blocks, with pairs across their ends."""
+    assert len(word.encode()) >= 10_000 and by_matrix(encoder, word) == ORACLE.encode_ordinary(word)
+
+
+def test_rows_of_many_blocks_together(encoder):
+    rng = random.Random(8)
+    words = list({"".join(rng.choice("abcdefgthein") for _ in range(rng.randint(2, 700))).encode() for _ in range(800)})
+    ids = encoder.encode_matches(words)
+    assert all(np.frombuffer(ids[w], "<u4").tolist() == ORACLE.encode_ordinary(w.decode()) for w in words)
+
+
+def test_every_code_point_has_the_librarys_class(encoder):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4000):
+        text = "\n".join(f"{chr(c)}'s b{chr(c)}1" for c in points[i : i + 4000])
+        matches = [m.encode() for m in encoder.split(text)]
+        ids = encoder.encode_matches(list(set(matches)))
+        assert np.frombuffer(b"".join(map(ids.__getitem__, matches)), "<u4").tolist() == ORACLE.encode_ordinary(text)
+
+
 def test_query_equals_the_library(spark):
     docs = {r.doc_id: r.text or "" for r in common.table(spark, SMALLEST, "documents").collect()}
     out = bpe.query(spark, SMALLEST).collect()

@@ -35,6 +35,53 @@ def test_held_out_accuracy(spark):
     assert right / (right + wrong) >= 0.95
 
 
+def plain_predict(dictionaries, text):
+    """Language and margin with a compressor made anew for every text."""
+    import zstandard
+
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not words:
+        return "und", 0.0
+    clean = f" {' '.join(words)} "
+    sizes = {}
+    for lang, own in dictionaries.items():
+        data = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        maker = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=data, write_content_size=False, write_dict_id=False, write_checksum=False)
+        sizes[lang] = sum(len(maker.compress(clean[i : i + langid.PIECE].encode())) for i in range(0, len(clean), langid.PIECE))
+    best = min(sizes, key=lambda k: (sizes[k], k))
+    return best, 1 - sizes[best] / min(s for k, s in sizes.items() if k != best)
+
+
+def test_query_equals_a_plain_version(spark):
+    import pyspark.sql.functions as F
+
+    from tests.compare import SMALLEST
+
+    docs = common.table(spark, SMALLEST, "documents")
+    model = langid.sample(docs.where(~(F.crc32(F.col("doc_id").cast("string")) % 4 == 2)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.query(spark, SMALLEST).collect():
+        assert (r.lang_pred, r.score) == plain_predict(model, texts[r.doc_id])
+
+
+@pytest.mark.parametrize("text", ["\xbd \xb2", "\u2460\u2461", "12_3 \u0663", "\u2160?"])
+def test_numbers_are_no_letters(text):
+    """Fractions, exponents and circled or Roman digits are numbers; only letters count."""
+    assert langid.letters_only(text) == "" and langid.Classifier({"en": b" the "}).predict(text) == ("und", 0.0)
+
+
+def test_letters_are_those_of_unicode():
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    wrong = [c for c in every if c.lower() == c and (langid.letters_only(c) != "") != c.isalpha()]
+    assert not wrong
+
+
+def test_the_stage_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "the house and that", 0.5, "x"), (2, "12", 0.5, "y")], "doc_id long, text string, score double, Accepted string")
+    kept = langid.keep_clear(docs, train(spark))
+    assert kept.columns == docs.columns and kept.collect() == docs.where("doc_id = 1").collect()
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     docs = spark.createDataFrame([(i, f"word{i} text", "xx") for i in range(40)], "doc_id long, text string, lang string")
     kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
@@ -62,6 +109,11 @@ def test_whole_texts_are_read(spark):
     assert model.predict("the house and that " + f" {WORDS['fr']}" * 3000)[0] == "fr"
 
 
+def test_a_very_long_text_goes_through_the_stage(spark):
+    docs = spark.createDataFrame([(1, f" {WORDS['de']}" * 20_000)], "doc_id long, text string")
+    assert langid.classify(docs, train(spark)).first().lang_pred == "de"
+
+
 def test_ties_take_the_first_name():
     model = langid.Classifier({"b": b" same words ", "a": b" same words "})
     assert model.predict("same words") == ("a", 0.0)

@@ -3,9 +3,11 @@ from __future__ import annotations
 import corpus_pipeline
 from aislewise.llm import bpe, common, langid, quality, queries, simhash
 from tests.compare import SMALLEST
+from tests.llm.test_langid import plain_predict
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_packing import check, ids_of
+from tests.llm.test_quality import plain_base, plain_path
 from tests.llm.test_radix_dedup import expected
-from tests.llm.test_simhash import plain_fingerprint, plain_labels
 
 
 def test_all_ten_operators_are_registered():
@@ -35,15 +37,17 @@ def test_stages_equal_brute_force(spark):
     model = quality.fit(docs, labels)
     kept, _ = common.stored(stages["quality_rules"](spark, docs, SMALLEST), "t1")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    failed = {d for d, t in texts.items() if quality._base_failed(quality.statistics(t)[0])}
-    anomalous = {d for d, t in texts.items() if model.forest.score(__import__("numpy").array([quality.statistics(t)[1]]))[0] > model.threshold}
+    base = {d: plain_base(t) for d, t in texts.items()}
+    failed = {d for d, b in base.items() if b[0] < 10 or 100 * b[4] > 20 * b[0]}
+    trees, norm = model.forest.trees, model.forest.norm
+    anomalous = {d for d, t in texts.items() if 2 ** (-sum(plain_path(tree, quality.statistics(t)[1]) for tree in trees) / len(trees) / norm) > model.threshold}
     assert kept.columns == columns
     assert {r.doc_id for r in kept.collect()} == texts.keys() - failed - anomalous
 
     before = kept
     kept, _ = common.stored(stages["language_id"](spark, before, SMALLEST), "t2")
-    classifier = langid.Classifier(langid.sample(before))
-    want = {r.doc_id for r in before.collect() if (p := classifier.predict(r.text))[0] != langid.UNKNOWN and p[1] >= langid.MIN_MARGIN}
+    dictionaries = langid.sample(before)
+    want = {r.doc_id for r in before.collect() if (p := plain_predict(dictionaries, r.text))[0] != "und" and p[1] >= langid.MIN_MARGIN}
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == want
     assert len(want) >= 0.95 * before.count()
 
@@ -55,7 +59,7 @@ def test_stages_equal_brute_force(spark):
     before = [(r.doc_id, r.text) for r in kept.collect()]
     kept, _ = common.stored(stages["near_dedup"](spark, kept, SMALLEST), "t4")
     assert kept.columns == columns
-    assert {r.doc_id for r in kept.collect()} == set(plain_labels([(d, plain_fingerprint(t)) for d, t in before]))
+    assert {r.doc_id for r in kept.collect()} == plain_kept(before)
 
     pieces = stages["packing"](spark, kept, SMALLEST).collect()
     check(pieces, {r.doc_id: ids_of(r.text) for r in kept.collect()})

@@ -106,6 +106,36 @@ def test_random_threads(spark):
     check(spark, rows)
 
 
+def test_reply_order(spark):
+    """Sorted by thread, first message, depth and message; partitions follow each other."""
+    rows = [(t, i, f"> m{i // 2}\nm{i}" if i > 1 else f"m{i}") for t in (2, 1) for i in range(9, 0, -1)]
+    linked = quotes.link_quotes(spark.createDataFrame(rows, "thread long, message long, body string"))
+    got = [(r.thread, r.root, r.reply_depth, r.message) for r in quotes.reply_ordered(linked).collect()]
+    assert got == sorted(got) and got[:4] == [(1, 1, 0, 1), (1, 1, 1, 2), (1, 1, 1, 3), (1, 1, 2, 4)]
+
+
+def test_quotes_that_texts_hold_themselves(spark):
+    talk = [("c", 0, "The plan is set."), ("c", 1, "Which plan?"), ("c", 2, "> The plan is set.\nI mean this one."), ("d", 0, "> The plan is set.\nNo such thing here.")]
+    mail = quotes.as_mail(spark.createDataFrame(talk, "conv_id string, turn long, text string"))
+    want = plain_links([(r.conv_id, r.turn, r.body) for r in mail.collect()])
+    assert found(quotes.link_quotes(mail, "conv_id", "turn", "body")) == want
+    assert want["c", 2][:2] == (1, 0) and want["c", 2][3:5] == (2, 1)
+    own = quotes.link_quotes(spark.createDataFrame(talk, "conv_id string, turn long, text string"), "conv_id", "turn", "text")
+    assert found(own)["c", 2] == (0, 0, 1, 1, 1, "I mean this one.") and found(own)["d", 0][3:5] == (1, 0)
+
+
+def test_a_very_long_message(spark):
+    body = "\n".join(f"{'>' * (i % 4)}line {i // 3}" for i in range(30_000))
+    check(spark, [(1, 1, "line 3\nline 4"), (1, 2, body)])
+
+
+def test_copies_with_other_bodies(spark):
+    """Rows of one message with different bodies: each has its own passages, and all share the links."""
+    rows = [(1, 1, "first"), (1, 2, "second"), (1, 3, "> first\na"), (1, 3, "> second\nb"), (1, 3, "> second\nb")]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "thread long, message long, body string")).where("message = 3").collect()
+    assert len(out) == 3 and {(r.parent, r.n_passages, r.n_linked) for r in out} == {(2, 3, 3)} and sorted(r.clean_text for r in out) == ["a", "b", "b"]
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "m0")] + [(1, i, f"> m{i - 1}\nm{i}") for i in range(1, 150)]
     out = found(quotes.link_quotes(spark.createDataFrame(rows, "thread long, message long, body string")))

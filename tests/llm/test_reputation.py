@@ -40,8 +40,8 @@ def test_hosts_paths_and_rules(spark):
         assert out[i] == (host, path, *ruled(host, path)), url
 
 
-def brute_force(hosts):
-    """Posterior (mean, lower bound) by host; hosts: {host: (n, bad)}."""
+def brute_force(hosts, others=()):
+    """Posterior (mean, lower bound) by host; hosts: {host: (n, bad)}; others: hosts without labels."""
     def group(names, name_of):
         out = {}
         for h in names:
@@ -64,7 +64,9 @@ def brute_force(hosts):
     sp = {s: (b + sk * smean) / (n + sk) for s, (n, b) in suffixes.items()}
     dp = {d: (b + dk * sp[suffix(d)]) / (n + dk) for d, (n, b) in domains.items()}
     out = {}
-    for h, (n, bad) in hosts.items():
+    for h, (n, bad) in {**hosts, **dict.fromkeys(others, (0, 0))}.items():
+        if domain(h) not in dp:
+            dp[domain(h)] = sp.get(suffix(domain(h)), smean)
         a, b = bad + hk * dp[domain(h)], n - bad + hk * (1 - dp[domain(h)])
         out[h] = a / (a + b), max(0, a / (a + b) - reputation.Z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)
     return out
@@ -77,21 +79,36 @@ def test_posterior_equals_brute_force_and_bad_hosts_go(spark):
         for i in range(n):
             outcomes.append((len(pages), int(i < bad)))
             pages.append((len(pages), f"http://{host}/{i}"))
-    pages += [(9_000, "http://www.bad.com/new"), (9_001, "http://unknown.com/"), (9_001, "http://unknown.com/")]
+    new = ["new.bad.com", "unknown.com", "other.co.uk", "a.fine.com.de", "x.museum"]
+    pages += [(9_000, "http://www.bad.com/new"), *[(9_001 + i, f"http://{h}/") for i, h in enumerate(new)], (9_002, "http://unknown.com/")]
     schema = "page_id long, url string"
     out = reputation.judge_urls(spark.createDataFrame(pages, schema), spark.createDataFrame([*outcomes, outcomes[0], (None, 1), (77_777, 1)], "page_id long, bad int")).collect()
     assert len(out) == len(pages)
-    want = brute_force(counts)
+    want = brute_force(counts, new)
     for r in out:
-        if r.host in want:
-            assert (r.bad_rate, r.bad_rate_lower) == pytest.approx(want[r.host])
-            assert r.verdict == ("block" if want[r.host][1] > reputation.MAX_BAD else "allow")
-        else:
-            assert r.bad_rate is None and r.verdict == "allow"
+        assert (r.bad_rate, r.bad_rate_lower) == pytest.approx(want[r.host])
+        assert r.verdict == ("block" if want[r.host][1] > reputation.MAX_BAD else "allow")
     verdicts = {r.host: r.verdict for r in out}
     assert verdicts["www.bad.com"] == "block" and verdicts["a.fine.com"] == "allow" and verdicts["z.dev"] == "allow"
 
 
+def test_a_new_host_has_its_domains_reputation(spark):
+    """200 bad pages under one host of a domain block a host of the domain that nothing is known of."""
+    pages = [(i, f"http://a.bad.com/{i}") for i in range(200)] + [(1000 + i, f"http://h{i % 20}.good{i % 20}.com/{i}") for i in range(400)]
+    outcomes = [(i, int(i < 200)) for i, _ in pages]
+    pages += [(5000, "http://new.bad.com/"), (5001, "http://new.good3.com/"), (5002, "http://nobody.com/"), (5003, "bad.com, no scheme"), (5004, None)]
+    out = {r.page_id: r for r in reputation.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int")).collect()}
+    assert [out[i].verdict for i in (5000, 5001, 5002, 5003, 5004)] == ["block", "allow", "allow", "allow", "allow"]
+    assert out[5003].bad_rate is None is out[5004].bad_rate and out[5000].bad_rate > 0.9
+
+
+def test_suffixes_are_a_parameter(spark):
+    pages = spark.createDataFrame([(1, "http://a.x.gov.zz/"), (2, "http://b.x.gov.zz/"), (3, "http://c.y.gov.zz/")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 1), (3, 0)], "page_id long, bad int")
+    rates = {r.page_id: r.bad_rate for r in reputation.judge_urls(pages, outcomes, suffixes=("gov.zz",)).collect()}
+    assert rates[2] > rates[3]
+
+
 def test_empty_tables_null_ids_and_other_columns(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     none = spark.createDataFrame([], "page_id long, bad int")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from aislewise.llm import common, components, simhash
 from tests.compare import SMALLEST
@@ -62,39 +63,96 @@ def crowded(rng, n, base, bits):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [40, 4096])
-def test_links_of_crowded_nodes(spark, limit):
-    """Nodes over the limit are split again and again and lose no link."""
-    rng = random.Random(limit)
-    fps = sorted({*crowded(rng, 300, 0, 7), *crowded(rng, 150, 0xFFFF_0000_FFFF_0000, 9), *[rng.getrandbits(64) for _ in range(100)]})
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.hamming_links(spark.createDataFrame([(f,) for f in signed], "fp long"), limit=limit).collect()
-    assert {f for r in links for f in (r.a, r.b)} <= set(signed)
-    label = {f: f for f in signed}
+def groups_of(values, links):
+    label = {f: f for f in values}
 
     def find(f):
         while label[f] != f:
             f = label[f]
         return f
 
-    for r in links:
-        label[find(r.a)] = find(r.b)
-    got, want = {}, {}
-    for i, c in enumerate(plain_labels(list(enumerate(fps)))):
-        got.setdefault(find(signed[i]), set()).add(i)
-        want.setdefault(c, set()).add(i)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    for a, b in links:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    out = {}
+    for f in values:
+        out.setdefault(find(f), set()).add(f)
+    return sorted(map(sorted, out.values()))
+
+
+def signed(fps):
+    return [f - (1 << 64) if f >> 63 else f for f in fps]
+
+
+def links_by_pairs(fps, max_bits=4):
+    own = np.array(fps, np.uint64)
+    i, j = np.nonzero(np.bitwise_count(own[:, None] ^ own[None, :]) <= max_bits)
+    return [(fps[a], fps[b]) for a, b in zip(i, j) if a < b]
+
+
+@pytest.mark.parametrize("node,row", [(16, 4), (64, 16), (simhash.NODE, simhash.ROW)])
+def test_links_of_crowded_fingerprints(spark, node, row):
+    """Groups that lie close together, over many nodes of the index and over one."""
+    rng = random.Random(node)
+    fps = sorted({*crowded(rng, 300, 0, 7), *crowded(rng, 150, 0xFFFF_0000_FFFF_0000, 9), *[rng.getrandbits(64) for _ in range(100)]})
+    links = simhash.hamming_links(spark.createDataFrame([(f,) for f in signed(fps)], "fp long"), node=node, row=row).collect()
+    want = [tuple(signed(p)) for p in links_by_pairs(fps)]
+    assert groups_of(signed(fps), [(r.a, r.b) for r in links]) == groups_of(signed(fps), want)
+
+
+def test_index_finds_every_link_of_a_larger_table(spark):
+    """All documents of sf0.1: the index over several nodes against all pairs."""
+    from tests.compare import TESTDATA
+
+    fps = simhash.fingerprints(common.table(spark, str(TESTDATA / "sf0.1"), "documents")).select("fp").distinct()
+    fps, _ = common.stored(fps, "t-fps")
+    values = sorted(r.fp for r in fps.collect())
+    own = np.array(values, np.int64).view(np.uint64)
+    want = []
+    for i in range(len(own)):
+        near = np.flatnonzero(np.bitwise_count(own[i + 1 :] ^ own[i]) <= 4) + i + 1
+        want += [(values[i], values[j]) for j in near]
+    links = [(r.a, r.b) for r in simhash.hamming_links(fps, node=1 << 10, row=1 << 7).collect()]
+    assert len(values) > 9000 and want and groups_of(values, links) == groups_of(values, want)
+
+
+def test_query_equals_all_pairs_at_a_hundredth(spark):
+    from tests.compare import SMALL
+
+    docs = [(r.doc_id, plain_fingerprint(r.text)) for r in common.table(spark, SMALL, "documents").collect()]
+    want = {d: (f"{fp:016x}", c) for (d, fp), c in zip(docs, plain_labels(docs))}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(spark, SMALL).collect()} == want
+
+
+def gray_sorted(values):
+    fp = np.array(sorted(values), np.uint64)
+    return fp[np.argsort(simhash.gray_rank(fp))]
 
 
 def test_search_finds_every_pair():
     rng = random.Random(9)
     for n in (1, 2, 17, 130, 700):
-        fp = np.array(crowded(rng, n, rng.getrandbits(64), 8), np.uint64)
-        fp = fp[np.argsort(simhash.gray_rank(fp))]
-        i, j = simhash.search(fp)
-        distance = np.bitwise_count(fp[:, None] ^ fp[None, :])
-        want = {(a, b) for a, b in zip(*np.nonzero(distance <= 4)) if a < b}
-        assert set(zip(i.tolist(), j.tolist())) == {(int(a), int(b)) for a, b in want}
+        fp = gray_sorted(crowded(rng, n, rng.getrandbits(64), 8))
+        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+        found = [(int(i), int(j)) for a, b in simhash.search(fp) for i, j in zip(a, b)]
+        assert sorted(found) == [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))) if i < j]
+        for cut in {n // 3, n // 2} - {0}:
+            found = [(int(i), int(j)) for a, b in simhash.search(fp[:cut], fp[cut:]) for i, j in zip(a, b)]
+            assert sorted(found) == [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near[:cut, cut:])))]
+
+
+def test_spanning_links_have_the_components_of_all_pairs():
+    rng = random.Random(10)
+    for n in (1, 5, 60, 500):
+        values = crowded(rng, n, rng.getrandbits(64), 9)
+        fp = gray_sorted(values)
+        for other in (None, fp[n // 2 :]):
+            own = fp if other is None else fp[: n // 2]
+            if not len(own):
+                continue
+            a, b = simhash.spanning_links(own, other)
+            want = links_by_pairs(values) if other is None else [p for p in links_by_pairs(values) if (p[0] in own) != (p[1] in own)]
+            assert len(a) <= n and groups_of(values, zip(a.tolist(), b.tolist())) == groups_of(values, want)
 
 
 def test_gray_rank_orders_the_reflected_code():
@@ -102,14 +160,11 @@ def test_gray_rank_orders_the_reflected_code():
     assert (simhash.gray_rank(code ^ (code >> np.uint64(1))) == code).all()
 
 
-def test_masks_always_leave_two_blocks():
-    rng = random.Random(2)
-    for used in (0, 0xFFFFF, 2**64 - 1, (1 << 63) - 8):
-        masks = simhash.masks_below(used)
-        for _ in range(200):
-            free = [b for b in range(64) if not used >> b & 1]
-            flipped = sum(1 << b for b in rng.sample(free, min(4, len(free))))
-            assert any(flipped & m == 0 for m in masks)
+def test_gray_order_sorts_like_the_rank(spark):
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(200)]
+    rows = spark.createDataFrame([(f,) for f in signed(fps)], "fp long").orderBy(simhash.gray_order(F.col("fp"))).collect()
+    assert np.array([r.fp for r in rows]).view(np.uint64).tolist() == gray_sorted(fps).tolist()
 
 
 def test_nulls_copies_other_columns_and_empty_tables(spark):
@@ -121,6 +176,8 @@ def test_nulls_copies_other_columns_and_empty_tables(spark):
     kept = simhash.one_of_each_group(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 3, None, 8, None], key=repr)
+    clash = docs.withColumnRenamed("fp", "near_copy")
+    assert simhash.one_of_each_group(clash).columns == clash.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.one_of_each_group(docs.limit(0)).count() == 0
 
@@ -143,3 +200,13 @@ def test_components(spark):
             label[max(a, b)] = min(a, b)
     assert found == {x: find(x) for x in label}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 5)
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k * 3)] + [(None, 1)], "k long, i long")
+    totals = rows.groupBy("k").count()
+    got = sorted((r.k, r.i, r["count"]) for r in components.join_counted(rows, totals, "k", "count").collect())
+    assert got == sorted((k, i, 3 * k) for k in range(6) for i in range(k * 3))
+    star = spark.createDataFrame([(i, 5000) for i in range(300)] + [(5000, 5001)], "a long, b long")
+    assert {r.root for r in components.components(star).collect()} == {0}
