@@ -28,13 +28,15 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Col
 def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
     """Value at rank round(p/100 * (n-1)), halves to even, per group; columns p50, ... and n (A5).
 
-    Ranks are counted by a window over each group; nulls are left out.
+    Values are counted before they are ordered, and the counts are summed by running_sums(), so no group is one task's.
+    Nulls are left out.
     """
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(value)) - 1)
-    n = ranked.groupBy(*by).agg(F.count("*").alias("n"))
-    ranked = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    total = counts.groupBy(*by).agg(F.sum("k").alias("n"))
+    ranked = running_sums(counts, value, ["k"], by)
+    ranked = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))  # a single row
     at = lambda p: F.bround(F.lit(p) / 100.0 * (F.col("n") - 1), 0).cast("long")
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(f"p{p}") for p in percents], F.max("n").alias("n"))
+    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("cum_k") > at(p), F.col(value))).alias(f"p{p}") for p in percents], F.max("n").alias("n"))
 
 
 def error_summary(df: DataFrame, by: list[str], truth: str, seen: str) -> DataFrame:
@@ -88,13 +90,27 @@ def ks_two_sample(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     return d.withColumn("lam", lam).select("d", p.alias("p"), "n1", "n2")
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
-    """df with cum_<c> for each c: the sum over all rows up to this one in `order` (distinct values), without one task for all rows."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    inside = W.partitionBy("_part").orderBy(order)
+def cells(df: DataFrame, order: str, n: int) -> DataFrame:
+    """df with _cell: which of n stretches of equal width, from the least to the largest value of order, a row is in."""
+    ends = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / n, F.lit(1e-300))
+    cell = F.least(F.lit(n - 1), F.floor((F.col(order).cast("double") - F.col("_lo")) / width)).cast("int")
+    return df.crossJoin(F.broadcast(ends)).withColumn("_cell", cell).drop("_lo", "_hi")  # a single row
+
+
+def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] = (), n: int = 4096) -> DataFrame:
+    """df with cum_<c> for each c: the sum over all rows of the group up to this one in `order` (distinct values in a group).
+
+    Sums inside each of n cells of the order first, then over the cells before, so no group is one task's.
+    """
+    parts = cells(df, order, n)
+    inside = W.partitionBy(*by, "_cell").orderBy(order)
     parts = parts.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums})
-    before = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    before = before.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    out = parts.join(F.broadcast(before), "_part")
+    before = cells(df, order, n).groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # at most n rows a group
+    before = before.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_cell").alias("_c"), *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    on = F.col("_cell") == F.col("_c")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = parts.join(before, on)
     return out.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in sums])

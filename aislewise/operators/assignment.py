@@ -51,3 +51,36 @@ def most_pairs_least_distance(distance: np.ndarray, allowed: np.ndarray) -> list
     apart = (float(distance[allowed].max()) + 1) * (min(allowed.shape) + 1)
     rows, cols = assign(np.where(allowed, distance, apart))
     return [(int(r), int(c)) for r, c in zip(rows, cols) if allowed[r, c]]
+
+
+def in_order(a: np.ndarray, b: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a matching of the sorted times a and b with -before <= b[j] - a[i] <= after (M2).
+
+    It has as many pairs as possible and of those the least sum of distances. Crossing pairs can be swapped without a
+    loss, as every row has the same window, so a table over both in order is enough, and row i of it only changes for the
+    partners in i's window. Totals must stay under 2**40.
+    """
+    pair = np.int64(1) << 40  # one pair more goes before any distance
+    low, high = np.searchsorted(b, a - before, "left"), np.searchsorted(b, a + after, "right")
+    best, first = np.zeros(1, np.int64), 0  # best[k]: value of the rows so far with the partners before first + k
+    taken: list[np.ndarray] = []
+    for i in range(len(a)):
+        if high[i] - first >= len(best):  # no row so far reaches these partners
+            best = np.concatenate([best, np.full(high[i] - first - len(best) + 1, best[-1])])
+        best, first = best[low[i] - first :], low[i]  # later rows reach no earlier partner
+        with_pair = best[:-1] + pair - np.abs(b[low[i] : first + len(best) - 1] - a[i])
+        with_pair[high[i] - low[i] :] = -1
+        new = np.maximum.accumulate(np.maximum(best, np.concatenate([best[:1], with_pair])))
+        gains = np.concatenate([[False], (with_pair > best[1:]) & (with_pair == new[1:]) & (new[1:] > new[:-1])])
+        # where the row's own pair makes the value, the last such partner up to k is the one to take
+        at = np.maximum.accumulate(np.where(gains, np.arange(len(new)), 0))
+        taken.append(np.where(new > best, at, 0).astype(np.int32))
+        best = new
+    rows, cols, k = [], [], len(b)
+    for i in range(len(a) - 1, -1, -1):
+        here = min(k - low[i], len(taken[i]) - 1)
+        if here > 0 and taken[i][here]:
+            k = low[i] + int(taken[i][here]) - 1
+            rows.append(i)
+            cols.append(k)
+    return np.array(rows[::-1], np.int64), np.array(cols[::-1], np.int64)

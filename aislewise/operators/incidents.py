@@ -48,6 +48,35 @@ def illegal_actions(actions: DataFrame) -> DataFrame:
     return actions.withColumn("was", was).join(F.broadcast(allowed), ["was", "action", "status"], "left_anti")
 
 
+def reviewed(incidents: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions with result, version and status after one round of reviews.
+
+    incidents: incident_id, status, version; actions: incident_id, seq, action, role, expected_version. Of the actions
+    that expect an incident's version and that its state and the actor's role allow, the first by seq is APPLIED and
+    raises the version. Others are UNKNOWN (no such incident), CONFLICT (another version, also when a first action has
+    just changed it), FORBIDDEN (role) or ILLEGAL (state).
+    """
+    allowed = actions.sparkSession.createDataFrame([*TRANSITIONS], "status string, action string, becomes string, needs string")
+    j = actions.join(incidents.select("incident_id", "status", "version"), "incident_id", "left").join(F.broadcast(allowed), ["status", "action"], "left")
+    may = (F.col("expected_version") == F.col("version")) & F.col("becomes").isNotNull() & (F.col("role") == F.col("needs"))
+    first = F.min(F.when(may, F.col("seq"))).over(W.partitionBy("incident_id"))
+    j = j.withColumns({"_may": may, "_first": first})
+    result = (
+        F.when(F.col("version").isNull(), "UNKNOWN").when(F.col("_may") & (F.col("seq") == F.col("_first")), "APPLIED").when((F.col("expected_version") != F.col("version")) | (F.col("seq") > F.col("_first")), "CONFLICT")
+        .when(F.col("becomes").isNull(), "ILLEGAL").otherwise("FORBIDDEN")
+    )
+    j = j.withColumn("result", result)
+    applied = F.col("result") == "APPLIED"
+    return j.select("incident_id", "seq", "result", (F.col("version") + applied.cast("int")).alias("version"), F.when(applied, F.col("becomes")).otherwise(F.col("status")).alias("status"))
+
+
+def api_rows(events: DataFrame, prefix: str, store: str, limit: int = 50) -> DataFrame:
+    """A store's latest events as a service shows them (P9): type without its prefix, time as ISO text with milliseconds."""
+    own = events.where(F.col("storeid") == store).orderBy(F.desc("t_ms"), F.desc("arrival")).limit(max(1, min(500, limit)))
+    short = F.when(F.col("type").startswith(prefix), F.substring("type", len(prefix) + 1, 200)).otherwise(F.col("type"))
+    return own.select("id", short.alias("type"), F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"), F.element_at(F.split("source", ":"), -1).alias("source"), "data")
+
+
 def selected(incidents: DataFrame, mode: str | None = None, statuses: list[str] = (), store: str | None = None, rule: str | None = None, limit: int = 100) -> DataFrame:
     """The latest incidents under any of the filters (P10, K2); limit from 1 to 500."""
     for column, value in (("mode", mode), ("store_id", store), ("rule_id", rule)):
@@ -56,12 +85,13 @@ def selected(incidents: DataFrame, mode: str | None = None, statuses: list[str]
     return incidents.orderBy(F.desc("detected_ms"), "incident_id").limit(max(1, min(500, limit)))
 
 
-def timeline(incidents: DataFrame, events: DataFrame, look_back_ms: int = 7_200_000, cap: int = 500) -> DataFrame:
-    """Series and markers around each incident: incident_id, kind, t_ms, value.
+def timeline(incidents: DataFrame, events: DataFrame, look_back_ms: int = 7_200_000, cap: int = 500, tills: DataFrame | None = None, serving: DataFrame | None = None) -> DataFrame:
+    """Series and markers around each incident: incident_id, kind, t_ms, value, truncated.
 
-    A queue incident gets its queue's lengths inside the closed window and the value before it; a zone incident gets
-    entries per minute from the window's start, zeros included; register events are markers. At most `cap` rows of each
-    kind stay for an incident, the earliest.
+    A queue incident gets its queue's lengths inside the closed window and the value before it, and markers of the tills
+    that serve it (tills: store_id, run_id, t_ms, till_id, kind, amount_minor; serving: queue_id, register_id); a zone
+    incident gets entries per minute from the window's start, zeros included; register events are markers. At most `cap`
+    rows of each kind stay for an incident, the earliest; truncated says that there were more.
     """
     start, end = B.timeline_window(F.col("onset_ms"), F.col("detected_ms"), F.col("resolved_ms"))
     own = incidents.select("incident_id", "store_id", "run_id", F.regexp_extract("subject", "^queue:(.+)$", 1).alias("_queue"), F.regexp_extract("subject", "^zone:(.+)$", 1).alias("_zone"), start.alias("from_ms"), end.alias("to_ms"))
@@ -78,8 +108,14 @@ def timeline(incidents: DataFrame, events: DataFrame, look_back_ms: int = 7_200_
     minutes = own.where("_zone <> ''").select("incident_id", F.explode(F.sequence("from_ms", "to_ms", F.lit(60_000).cast("long"))).alias("t_ms"))
     entries = minutes.join(counted, ["incident_id", "t_ms"], "left").select("incident_id", F.lit("zone"), "t_ms", F.coalesce("value", F.lit(0).cast("long")))
     merged = carried.union(series).union(markers).union(entries)
-    rank = F.row_number().over(W.partitionBy("incident_id", "kind").orderBy("t_ms", "value"))
-    return merged.withColumn("_n", rank).where(F.col("_n") <= cap).drop("_n")
+    if tills is not None and serving is not None:
+        served = hours.where("_queue <> ''").join(serving.select(F.col("queue_id").alias("_queue"), F.col("register_id").alias("_till")), "_queue")
+        t = tills.select(F.col("store_id").alias("_s"), F.col("run_id").alias("_r"), "t_ms", F.col("till_id").alias("_t"), F.col("kind").alias("_kind"), "amount_minor", F.floor(F.col("t_ms") / 3_600_000).alias("_eh"))
+        on = (F.col("store_id") == F.col("_s")) & F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("_till") == F.col("_t")) & (F.col("_h") == F.col("_eh")) & F.col("t_ms").between(F.col("from_ms"), F.col("to_ms"))
+        merged = merged.union(served.join(t, on).select("incident_id", F.concat(F.lit("till."), "_kind"), "t_ms", "amount_minor"))
+    kind = W.partitionBy("incident_id", "kind")
+    ranked = merged.withColumns({"_n": F.row_number().over(kind.orderBy("t_ms", "value")), "truncated": F.count("*").over(kind) > cap})
+    return ranked.where(F.col("_n") <= cap).drop("_n")
 
 
 def processing_latency(incidents: DataFrame, events: DataFrame, grace_ms: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.buckets import tumbling_start
 from aislewise.functions.ids import incident_id
+from aislewise.functions.stats import cells
 
 KEY = ["store_id", "run_id"]
 
@@ -60,18 +61,18 @@ def first_of_duplicates(events: DataFrame) -> DataFrame:
     return run(events).join(run(first).drop("run_id"), ["store_id", "_r", "id", "arrival"], "left_semi").drop("_r")
 
 
-def running_max(df: DataFrame, keys: list[str], order: str, value: str, rows: int = 1 << 20) -> Column:
+def running_max(df: DataFrame, keys: list[str], order: str, value: str, n: int = 4096) -> DataFrame:
     """df with before_max: the largest value of earlier rows of the key.
 
-    Long keys are cut into runs of `rows` order numbers: maxima inside each run, then over the few maxima of the runs
+    The order is cut into n cells of equal width: maxima inside each cell of a key, then over the few maxima of the cells
     before it, so a store with a third of all events is spread over tasks.
     """
-    cut = df.withColumn("_cut", F.floor(F.col(order) / rows))
-    inside = cut.withColumn("_in", F.max(value).over(W.partitionBy(*keys, "_cut").orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
-    tops = cut.groupBy(*keys, "_cut").agg(F.max(value).alias("_top"))
-    carry = tops.withColumn("_carry", F.max("_top").over(W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1))).drop("_top")
-    carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cut").alias("_c"), "_carry")
-    on = (inside["_cut"] == carry["_c"]) & _all(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))
+    cut = cells(df, order, n)
+    inside = cut.withColumn("_in", F.max(value).over(W.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
+    tops = cells(df, order, n).groupBy(*keys, "_cell").agg(F.max(value).alias("_top"))
+    carry = tops.withColumn("_carry", F.max("_top").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))).drop("_top")
+    carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), "_carry")
+    on = (inside["_cell"] == carry["_c"]) & _all(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))
     out = inside.join(carry, on, "left")
     return out.withColumn("before_max", F.greatest("_in", "_carry")).select(*df.columns, "before_max")
 

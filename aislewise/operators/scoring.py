@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.stats import error_summary, nearest_rank, precision_recall_f1, wilson
 
-from .assignment import most_pairs_least_distance
+from .assignment import in_order
 
 _GROUP = ["rule_id", "store_id", "key", "cluster"]
 
@@ -31,25 +31,26 @@ def candidates(truth: DataFrame, incidents: DataFrame, before_ms: int, max_laten
 def matches(truth: DataFrame, incidents: DataFrame, before_ms: int = 5_000, max_latency_ms: int = 120_000) -> DataFrame:
     """gt_id, incident_id and latency of an optimal one-to-one matching per rule, store and key (M2, M3).
 
-    Rows further apart than the window can't compete, so a group is divided at such gaps and each cluster of competing
-    rows is assigned on its own: an hour or a day of a key, never all of it.
+    As many pairs as possible, of those sets one with the least sum of distances. Rows further apart than the window
+    can't compete, so a key is divided at such gaps. Inside a cluster the window is the same for all, so an optimal
+    matching that keeps the order of both sides exists, and in_order() finds it with memory of rows times partners.
     """
-    pairs = candidates(truth, incidents, before_ms, max_latency_ms)
-    ends = pairs.select("rule_id", "store_id", "key", F.col("at_ms").alias("t")).union(pairs.select("rule_id", "store_id", "key", "detected_ms")).distinct()
-    w = W.partitionBy("rule_id", "store_id", "key").orderBy("t")
+    key = ["rule_id", "store_id", "key"]
+    rows = truth.select(*key, F.col("at_ms").alias("t"), F.col("gt_id").cast("string").alias("id"), F.lit(0).alias("side"))
+    rows = rows.union(incidents.where("kind = 'OPENED'").select(*key, "detected_ms", F.col("incident_id").cast("string"), F.lit(1)))
+    w = W.partitionBy(*key).orderBy("t")
     gap = (F.col("t") - F.lag("t").over(w) > before_ms + max_latency_ms).cast("int")
-    clusters = ends.withColumn("cluster", F.sum(F.coalesce(gap, F.lit(0))).over(w)).withColumnRenamed("t", "at_ms")
-    grouped = pairs.join(clusters, ["rule_id", "store_id", "key", "at_ms"])
+    clusters = rows.withColumn("cluster", F.sum(F.coalesce(gap, F.lit(0))).over(w))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        gts = frame[["gt_id", "at_ms"]].drop_duplicates().sort_values(["at_ms", "gt_id"])
-        incs = frame[["incident_id", "detected_ms"]].drop_duplicates().sort_values(["detected_ms", "incident_id"])
-        delta = incs["detected_ms"].to_numpy()[None, :] - gts["at_ms"].to_numpy()[:, None]
-        found = most_pairs_least_distance(np.abs(delta), (delta >= -before_ms) & (delta <= max_latency_ms))
-        rows = [(gts["gt_id"].iloc[g], incs["incident_id"].iloc[i], int(delta[g, i])) for g, i in found]
-        return pd.DataFrame(rows, columns=["gt_id", "incident_id", "latency_ms"]).assign(**{c: frame[c].iloc[0] for c in _GROUP[:3]})
-
-    return grouped.groupBy(*_GROUP).applyInPandas(one, "gt_id string, incident_id string, latency_ms long, rule_id string, store_id string, key string")
+        frame = frame.sort_values(["t", "id"], kind="stable")
+        gts, incs = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        a, b = gts["t"].to_numpy(np.int64), incs["t"].to_numpy(np.int64)
+        i, j = in_order(a, b, before_ms, max_latency_ms)
+        found = pd.DataFrame({"gt_id": gts["id"].to_numpy()[i], "incident_id": incs["id"].to_numpy()[j], "latency_ms": b[j] - a[i]})
+        return found.assign(**{c: frame[c].iloc[0] for c in key})
+
+    return clusters.groupBy(*_GROUP).applyInPandas(one, "gt_id string, incident_id string, latency_ms long, rule_id string, store_id string, key string")
 
 
 def rule_scores(truth: DataFrame, incidents: DataFrame, matched: DataFrame) -> DataFrame:

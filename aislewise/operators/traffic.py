@@ -27,6 +27,9 @@ def carried_in(steps: DataFrame, start: datetime, look_back_ms: int) -> DataFram
     return before.groupBy("key").agg(F.max_by(F.col("value"), F.struct("t_ms", "seq")).alias("value")).select("key", F.lit(_ms(start)).alias("t_ms"), F.lit(-1).cast("long").alias("seq"), "value")
 
 
+_QUARTER = 900_000
+
+
 def step_stats(steps: DataFrame, bins: DataFrame, start: datetime, end: datetime, look_back_ms: int = 12 * 3_600_000) -> DataFrame:
     """Time-weighted mean and maximum of each key's step function per bin.
 
@@ -34,14 +37,18 @@ def step_stats(steps: DataFrame, bins: DataFrame, start: datetime, end: datetime
     without a known value has null statistics; a step of no length counts for neither. Each step is exploded over the
     bins that it covers, which are few, instead of being compared with all bins.
     """
-    own = carried_in(steps, start, look_back_ms).union(steps.where(in_window(start, end)).select("key", "t_ms", "seq", "value"))
+    known = carried_in(steps, start, look_back_ms).union(steps.where(in_window(start, end)).select("key", "t_ms", "seq", "value"))
     until = F.lead("t_ms").over(W.partitionBy("key").orderBy("t_ms", "seq"))
-    spans = own.withColumn("to_ms", F.coalesce(until, F.lit(_ms(end)))).where("to_ms > t_ms")
+    spans = known.withColumn("to_ms", F.coalesce(until, F.lit(_ms(end)))).where("to_ms > t_ms")
     edges = bins.select("bin_start", B.to_ms(F.col("bin_from")).alias("b0"), B.to_ms(F.col("bin_to")).alias("b1"))
-    pieces = spans.join(F.broadcast(edges), (F.col("t_ms") < F.col("b1")) & (F.col("to_ms") > F.col("b0")))  # bins: a bounded time axis
-    ms = F.least("to_ms", "b1", F.lit(_ms(end))) - F.greatest("t_ms", "b0", F.lit(_ms(start)))
-    stats = pieces.withColumn("ms", ms).where("ms > 0").groupBy("key", "bin_start").agg((F.sum(F.col("value") * F.col("ms")) / F.sum("ms")).alias("mean"), F.max("value").alias("peak"))
-    grid = own.select("key").distinct().crossJoin(F.broadcast(bins.select("bin_start")))
+    # both are dealt over quarter hours; a piece counts in the first quarter that step and bin share
+    quarters = lambda a, b: F.explode(F.sequence(F.floor(a / _QUARTER), F.floor((b - 1) / _QUARTER)))
+    own = lambda a: F.floor(a / _QUARTER)
+    clipped = spans.where((F.col("to_ms") > _ms(start)) & (F.col("t_ms") < _ms(end))).withColumns({"_a": F.greatest("t_ms", F.lit(_ms(start))), "_b": F.least("to_ms", F.lit(_ms(end)))})
+    pieces = clipped.withColumn("_q", quarters(F.col("_a"), F.col("_b"))).join(edges.withColumn("_q", quarters(F.col("b0"), F.col("b1"))), "_q")
+    ms = F.least("_b", "b1") - F.greatest("_a", "b0")
+    stats = pieces.where(F.col("_q") == F.greatest(own(F.col("_a")), own(F.col("b0")))).withColumn("ms", ms).where("ms > 0").groupBy("key", "bin_start").agg((F.sum(F.col("value") * F.col("ms")) / F.sum("ms")).alias("mean"), F.max("value").alias("peak"))
+    grid = known.select("key").distinct().crossJoin(F.broadcast(bins.select("bin_start")))
     return grid.join(stats, ["key", "bin_start"], "left").select("key", "bin_start", round_half_up(F.col("mean")).alias("mean"), "peak")
 
 

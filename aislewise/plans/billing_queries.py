@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -122,14 +124,14 @@ SELECT 's1' AS store_id, day, name, ours::BIGINT AS ours, theirs::BIGINT AS thei
 
 def unexplained_stock(spark, d):
     lv = P.levels(spark, d).select("store_id", "sku", "t_ms", F.col("seq").alias("order"), "qty_milli")
-    mv = P.movements(spark, d).where("reason <> 'N'").select("store_id", "sku", "t_ms", "order", "direction", "qty_milli")
+    mv = P.movements(spark, d).select("store_id", "sku", "t_ms", "order", "direction", "qty_milli")
     wide = lambda df: df.withColumns({"sku": F.concat(F.lit("g"), (F.substring("sku", 5, 8).cast("long") % 40).cast("string")), "order": F.col("order") * 1_000_000 + F.col("qty_milli")})
     return reconcile.unexplained_stock(wide(lv), wide(mv.withColumn("order", F.col("order") + 1_000_000_000)), ZONE)
 
 
 _UNEXPLAINED = f"""
 WITH {_MOVES}, r AS (SELECT 'g' || (substr(sku, 5)::BIGINT % 40) AS sku, {_LD.format('t_ms')} AS day, t_ms, seq * 1000000 + qty AS ord, 1 AS lev, qty FROM lv
- UNION ALL SELECT 'g' || (substr(sku, 5)::BIGINT % 40), {_LD.format('t_ms')}, t_ms, (ord + 1000000000) * 1000000 + qty, 0, CASE WHEN dir = 'in' THEN qty ELSE -qty END FROM mv WHERE reason <> 'N'),
+ UNION ALL SELECT 'g' || (substr(sku, 5)::BIGINT % 40), {_LD.format('t_ms')}, t_ms, (ord + 1000000000) * 1000000 + qty, 0, CASE WHEN dir = 'in' THEN qty ELSE -qty END FROM mv),
 n AS (SELECT *, sum(lev) OVER (PARTITION BY sku, day ORDER BY t_ms, ord) AS l FROM r),
 g AS (SELECT sku, day, l, max(qty) FILTER (lev = 1) AS qty, max(t_ms) FILTER (lev = 1) AS at_ms, coalesce(sum(qty) FILTER (lev = 0), 0)::BIGINT AS moved FROM n GROUP BY 1, 2, 3),
 s AS (SELECT *, lag(qty) OVER w AS f, lag(moved) OVER w AS m, lag(at_ms) OVER w AS fa FROM g WHERE l > 0 WINDOW w AS (PARTITION BY sku, day ORDER BY l))
@@ -193,7 +195,19 @@ QUERIES = {
     "hmac_refs": hmac_refs,
     "uuid_ids": uuid_ids,
 }
+def _pads(secret: bytes) -> tuple[str, str]:
+    return bytes(c ^ 0x36 for c in secret.ljust(64, b"\0")).hex(), bytes(c ^ 0x5C for c in secret.ljust(64, b"\0")).hex()
+
+
+def _hmac_sql(secret: bytes, text: str) -> str:
+    inner, outer = _pads(secret)
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+
+
+_DAY_KEY = hmac.new(b"secret", b"2024-01-02", "sha256").digest()
+_REFS = f"SELECT c_custkey, 'bill-' || substr({_hmac_sql(b'secret', 'c_name')}, 1, 32) AS bill_ref, 'trk-' || substr({_hmac_sql(_DAY_KEY, 'c_name')}, 1, 16) AS track FROM customer"
 SQL = {
+    "hmac_refs": _REFS,
     "sales_latest_revision": _sales_sql(_DAY),
     "sales_hourly_till": _sales_sql("date_trunc('hour', make_timestamp(({}) * 1000) + INTERVAL 330 MINUTE)", "AND till = 'till-1'"),
     "payments_by_tender": _PAYMENTS,

@@ -184,24 +184,28 @@ def alerting_zones(spark, d):
 
 
 def _some_incidents(spark, d):
-    e = P.events(spark, d).where("event_type = 'error' and event_id % 50 < 5")
+    e = P.events(spark, d).where("event_type = 'error'")
     return e.select(F.col("event_id").cast("string").alias("incident_id"), F.lit("s1").alias("store_id"), P.null_run(), F.col("t_ms").alias("onset_ms"), (F.col("t_ms") + 60_000).alias("detected_ms"), F.when(F.col("k") % 2 == 0, F.col("t_ms") + F.col("k") * 120_000).alias("resolved_ms"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("queue:q"), F.col("user_id") % 16)).otherwise(F.concat(F.lit("zone:z"), F.col("user_id") % 3)).alias("subject"))
 
 
 def incident_timeline(spark, d):
-    return incidents.timeline(_some_incidents(spark, d), P.rule_events(spark, d))
+    e = P.events(spark, d).where("event_type = 'click'")
+    tills = e.select(F.lit("s1").alias("store_id"), P.null_run(), "t_ms", F.concat(F.lit("r"), F.col("user_id") % 5).alias("till_id"), F.when(F.col("k") % 2 == 0, "void").otherwise("open").alias("kind"), F.col("k").alias("amount_minor"))
+    serving = spark.range(16).select(F.concat(F.lit("q"), "id").alias("queue_id"), F.concat(F.lit("r"), F.col("id") % 5).alias("register_id"))
+    return incidents.timeline(_some_incidents(spark, d), P.rule_events(spark, d), cap=40, tills=tills, serving=serving)
 
 
 _TIMELINE = f"""WITH {_EV.split(',' + chr(10) + 'late')[0]}, i0 AS (SELECT event_id::VARCHAR AS incident_id, (epoch_us(ts) // 1000) AS o, (epoch_us(ts) // 1000) + 60000 AS dt, CASE WHEN (props->>'k')::INT % 2 = 0 THEN (epoch_us(ts) // 1000) + (props->>'k')::INT * 120000 END AS r,
-  CASE WHEN (props->>'k')::INT % 3 = 0 THEN 'q' || (user_id % 16) END AS q, CASE WHEN (props->>'k')::INT % 3 <> 0 THEN 'z' || (user_id % 3) END AS z FROM events WHERE event_type = 'error' AND event_id % 50 < 5),
+  CASE WHEN (props->>'k')::INT % 3 = 0 THEN 'q' || (user_id % 16) END AS q, CASE WHEN (props->>'k')::INT % 3 <> 0 THEN 'z' || (user_id % 3) END AS z FROM events WHERE event_type = 'error'),
 i AS (SELECT *, o - 600000 AS a, least(greatest(coalesce(r, dt), dt) + 300000, o - 600000 + 7200000) AS b FROM i0),
 c AS (SELECT incident_id, 'queue' AS kind, a AS t_ms, arg_max(floor(value / 10)::INT, (t, arr))::BIGINT AS value FROM i JOIN e ON ty = 'purchase' AND 'q' || (u % 16) = q AND t < a AND t >= a - 7200000 GROUP BY incident_id, a),
 s AS (SELECT incident_id, 'queue' AS kind, t AS t_ms, floor(value / 10)::BIGINT AS value FROM i JOIN e ON ty = 'purchase' AND 'q' || (u % 16) = q AND t BETWEEN a AND b),
 m AS (SELECT incident_id, 'register.opened' AS kind, t AS t_ms, NULL::BIGINT AS value FROM i JOIN e ON ty = 'signup' AND t BETWEEN a AND b),
 g AS (SELECT incident_id, a, unnest(generate_series(a, b, 60000)) AS t_ms, z, b FROM i WHERE z IS NOT NULL),
 n AS (SELECT g.incident_id, 'zone' AS kind, g.t_ms, (SELECT count(*) FROM e WHERE ty = 'view' AND 'z' || (u % 3) = g.z AND t >= g.t_ms AND t < g.t_ms + 60000 AND t <= g.b)::BIGINT AS value FROM g),
-x AS (SELECT * FROM c UNION ALL SELECT * FROM s UNION ALL SELECT * FROM m UNION ALL SELECT * FROM n)
-SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY incident_id, kind ORDER BY t_ms, value) <= 500"""
+y AS (SELECT incident_id, 'till.' || CASE WHEN (props->>'k')::INT % 2 = 0 THEN 'void' ELSE 'open' END AS kind, epoch_us(ts) // 1000 AS t_ms, (props->>'k')::BIGINT AS value FROM i JOIN events ON event_type = 'click' AND user_id % 5 = substr(q, 2)::INT % 5 AND epoch_us(ts) // 1000 BETWEEN a AND b),
+x AS (SELECT * FROM c UNION ALL SELECT * FROM s UNION ALL SELECT * FROM m UNION ALL SELECT * FROM n UNION ALL SELECT * FROM y)
+SELECT *, count(*) OVER (PARTITION BY incident_id, kind) > 40 AS truncated FROM x QUALIFY row_number() OVER (PARTITION BY incident_id, kind ORDER BY t_ms, value) <= 40"""
 
 
 def processing_latency(spark, d):

@@ -90,11 +90,29 @@ def best_zone(spark, d):
 
 
 def zone_events(spark, d):
-    walk = table(spark, d, "events").where("user_id < 20").select(F.concat(F.lit("cam-"), F.col("user_id") % 2).alias("sequence"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("frame"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), F.col("user_id").alias("track_id"), (F.col("value") % 10).alias("x"), (F.col("value") * 7 % 10).alias("y"))
-    zone = T.Zone("z", ((2.0, 2.0), (8.0, 2.0), (8.0, 8.0), (2.0, 8.0)), "q", (5.0, 5.0), 2.0)
-    return T.zone_events(walk, (zone,), T.Membership(enter_s=0, exit_s=0, lost_s=86_400.0, min_dwell_s=0, max_speed=1e9))
-
+    """Zone and queue events of all users over 64 cameras, with hand-overs."""
+    from aislewise.plans.report_queries import walks
 
+    zone = T.Zone("z", ((2.0, 2.0), (8.0, 2.0), (8.0, 8.0), (2.0, 8.0)), "q", (5.0, 5.0), 2.0)
+    return T.zone_events(walks(spark, d), (zone,), T.Membership(enter_s=0, exit_s=0, lost_s=86_400.0, min_dwell_s=0, max_speed=1e9, handover_s=7200.0))
+
+
+_AREA = "greatest(0, least({0}.x2, {1}.x2) - greatest({0}.x1, {1}.x1)) * greatest(0, least({0}.y2, {1}.y2) - greatest({0}.y1, {1}.y1))"
+_SIZE = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
+_NMS = f"""WITH RECURSIVE {_BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY sequence, frame ORDER BY score DESC, det_id) AS n FROM b),
+k AS (SELECT sequence, frame, 1 AS n, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'det_id': det_id, 'score': score}}] AS kept FROM r WHERE n = 1 UNION ALL
+ SELECT r.sequence, r.frame, r.n::INT, CASE WHEN len(list_filter(kept, lambda q: {_AREA.format('q', 'r')} / ({_SIZE.format('q')} + {_SIZE.format('r')} - {_AREA.format('q', 'r')}) > 0.3)) = 0
+  THEN list_append(kept, {{'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'det_id': r.det_id, 'score': r.score}}) ELSE kept END FROM k JOIN r ON r.sequence = k.sequence AND r.frame = k.frame AND r.n = k.n + 1),
+l AS (SELECT sequence, frame, arg_max(kept, n) AS kept FROM k GROUP BY 1, 2), u AS (SELECT sequence, frame, unnest(kept) AS q FROM l) SELECT sequence, frame, q.det_id AS det_id, round(q.score, 9) AS score FROM u"""
+_NOISE = f"""WITH {_BOXES}, t AS (SELECT *, det_id % 8 AS track_id FROM b), m AS (SELECT sequence, frame, CASE WHEN frame > 20 AND track_id = 3 THEN 30 ELSE track_id END AS track_id, x1 + 2 AS x1, y1, x2 + 2 AS x2, y2 FROM t WHERE (frame + track_id) % 6 <> 0),
+p AS (SELECT a.sequence, a.frame, a.track_id, q.track_id AS other, {_AREA.format('a', 'q')} / ({_SIZE.format('a')} + {_SIZE.format('q')} - {_AREA.format('a', 'q')}) AS iou FROM t a JOIN m q ON a.sequence = q.sequence AND a.frame = q.frame),
+x AS (SELECT sequence, frame, track_id, arg_max(other, (iou, -other)) AS matched FROM p WHERE iou > 0.5 - 1e-9 GROUP BY 1, 2, 3),
+r AS (SELECT t.sequence, t.frame, t.track_id, matched, last_value(matched IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ls, lag(matched) OVER w AS pv FROM t LEFT JOIN x USING (sequence, frame, track_id) WINDOW w AS (PARTITION BY t.sequence, t.track_id ORDER BY t.frame))
+SELECT sequence, track_id, count(*) AS frames, count(*) FILTER (matched IS NULL) AS misses, count(*) FILTER (matched <> ls) AS switches, count(*) FILTER (matched IS NOT NULL AND pv IS NULL AND ls IS NOT NULL) AS fragments FROM r GROUP BY 1, 2"""
+_BEST = f"""WITH {_BOXES}, c AS (SELECT frame, least(4, floor(x1 * 5 / 100))::INT AS cx, least(4, floor(y1 * 5 / 100))::INT AS cy FROM b), i AS (SELECT range::INT AS v FROM range(5)),
+q AS (SELECT a.v AS x0, c.v AS y0, b.v AS x1, d.v AS y1 FROM i a JOIN i b ON a.v <= b.v CROSS JOIN i c JOIN i d ON c.v <= d.v),
+n AS (SELECT x0, y0, x1, y1, frame, count(*) AS n FROM c JOIN q ON cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 GROUP BY ALL)
+SELECT * FROM (SELECT x0, y0, x1, y1, count(*) FILTER (n BETWEEN 2 AND 4) AS good FROM n GROUP BY ALL) ORDER BY good DESC, (x1 - x0 + 1) * (y1 - y0 + 1), x0, y0, x1, y1 LIMIT 1"""
 QUERIES = {f.__name__: f for f in (iou_pairs, nms, point_in_polygon_counts, edge_distances, average_precision, clear_mot, identity_f1, hota, sequence_noise, byte_track, best_zone, zone_events)}
 SQL = {
     "iou_pairs": f"""WITH {_BOXES}, p AS (SELECT a.sequence, a.frame, a.det_id AS a, b.det_id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
@@ -104,6 +122,8 @@ SQL = {
     "edge_distances": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), q AS (SELECT *, x > -0.4 AND x < 0 AND y > -0.4 AND y < 0.4 AS inside FROM p)
  SELECT vec_id, round(CASE WHEN inside THEN least(x + 0.4, -x, y + 0.4, 0.4 - y) ELSE -sqrt(greatest(0, -0.4 - x, x) ** 2 + greatest(0, -0.4 - y, y - 0.4) ** 2) END, 9) AS depth FROM q""",
     "average_precision": _AP,
-    "nms": None,
+    "nms": _NMS,
+    "sequence_noise": _NOISE,
+    "best_zone": _BEST,
 }
 SQL = {k: v for k, v in SQL.items() if v}

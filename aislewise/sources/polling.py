@@ -8,6 +8,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,19 +32,30 @@ def checked_select(sql: str) -> str:
     return sql.strip().rstrip(";")
 
 
-def cursor_page(rows: DataFrame, cursor: str, after, limit: int) -> DataFrame:
-    """The next rows by cursor: about `limit` of them, never dividing rows of one cursor value."""
-    later = rows if after is None else rows.where(F.col(cursor) > F.lit(after))
-    last = later.select(cursor).orderBy(cursor).limit(limit).agg(F.max(cursor).alias("_last"))
-    return later.join(F.broadcast(last), F.col(cursor) <= F.col("_last")).drop("_last")
+def cursor_page(rows: DataFrame, cursor: str, after, limit: int, look_back=None) -> DataFrame:
+    """The next rows by cursor: about `limit` of them, never dividing rows of one cursor value.
 
+    With look_back (what is taken from `after`) rows that came late behind the cursor are read again; latest_per() or
+    the sink's keys drop what is known. Filter, order and limit reach a JDBC source.
+    """
+    if after is None:
+        later = fresh = rows
+        end = F.col("_last")
+    else:
+        later = rows.where(F.col(cursor) > F.lit(after if look_back is None else after - look_back))
+        fresh = rows.where(F.col(cursor) > F.lit(after))
+        end = F.coalesce("_last", F.lit(after))
+    last = fresh.select(cursor).orderBy(cursor).limit(limit).agg(F.max(cursor).alias("_last"))
+    return later.join(F.broadcast(last), F.col(cursor) <= end).drop("_last")
 
-def poll_sql(spark: SparkSession, jdbc: dict[str, str], sql: str, cursor: str, after, limit: int, sink: Callable[[DataFrame], None]):
-    """One page of a JDBC query to the sink; the new cursor, to be kept only now that the sink has succeeded."""
-    page = cursor_page(spark.read.format("jdbc").options(**jdbc, query=checked_select(sql)).load(), cursor, after, limit).persist()
+
+def poll_sql(spark: SparkSession, jdbc: dict[str, str], sql: str, cursor: str, after, limit: int, sink: Callable[[DataFrame], None], look_back=None):
+    """One page of a JDBC query to the sink; the new cursor, to be kept only now that the sink has succeeded."""
+    page = cursor_page(spark.read.format("jdbc").options(**jdbc, query=checked_select(sql)).load(), cursor, after, limit, look_back).persist()
     try:
         sink(page)
-        return page.agg(F.max(cursor)).first()[0] or after
+        last = page.agg(F.max(cursor)).first()[0]
+        return after if last is None or (after is not None and last < after) else last
     finally:
         page.unpersist()
 
@@ -62,22 +74,32 @@ class RestReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.o = options
 
+    def _since(self) -> dict[str, str]:
+        """The parameter for changes only: option since (ISO time), less lookback seconds, under the name sinceparam."""
+        if not self.o.get("since"):
+            return {}
+        at = datetime.fromisoformat(self.o["since"]) - timedelta(seconds=float(self.o.get("lookback", 0)))
+        return {self.o.get("sinceparam", "since"): at.isoformat()}
+
     def _with(self, **params) -> str:
         parts = urllib.parse.urlsplit(self.o["path"])
-        query = dict(urllib.parse.parse_qsl(parts.query)) | {k: str(v) for k, v in params.items()}
+        query = dict(urllib.parse.parse_qsl(parts.query)) | self._since() | {k: str(v) for k, v in params.items()}
         return urllib.parse.urlunsplit(parts._replace(query=urllib.parse.urlencode(query)))
 
     def partitions(self) -> list[Page]:
-        style, size, pages = self.o.get("paging", "none"), int(self.o.get("pagesize", 100)), int(self.o.get("pages", 1))
-        if style == "page":
-            return [Page(self._with(page=n, per_page=size)) for n in range(1, pages + 1)]
-        if style == "offset":
-            return [Page(self._with(offset=n * size, limit=size)) for n in range(pages)]
-        return [Page(self.o["path"])]
+        """One partition a page where the number of pages is given; else one that follows the pages to an empty one."""
+        style, size, pages = self.o.get("paging", "none"), int(self.o.get("pagesize", 100)), self.o.get("pages")
+        if style in ("page", "offset"):
+            return [Page(self._numbered(style, n, size)) for n in range(int(pages or 1))]
+        return [Page(self._with())]
+
+    def _numbered(self, style: str, n: int, size: int) -> str:
+        return self._with(page=n + 1, per_page=size) if style == "page" else self._with(offset=n * size, limit=size)
 
     def read(self, partition: Page) -> Iterator[tuple]:
         url, style, limit = partition.url, self.o.get("paging", "none"), int(self.o.get("maxpages", 10_000))
-        for _ in range(limit):
+        size, unknown = int(self.o.get("pagesize", 100)), style in ("page", "offset") and not self.o.get("pages")
+        for n in range(limit):
             with urllib.request.urlopen(url, timeout=float(self.o.get("timeout", 30))) as answer:  # noqa: S310
                 body, link = json.loads(answer.read()), answer.headers.get("Link", "")
             rows = body
@@ -85,7 +107,9 @@ class RestReader(DataSourceReader):
                 rows = rows[name]
             for row in rows:
                 yield (json.dumps(row, ensure_ascii=False),)
-            if style == "cursor" and isinstance(body, dict) and body.get(self.o.get("next", "next")):
+            if unknown and len(rows) >= size:
+                url = self._numbered(style, n + 1, size)
+            elif style == "cursor" and isinstance(body, dict) and body.get(self.o.get("next", "next")):
                 url = self._with(cursor=body[self.o.get("next", "next")])
             elif style == "nexturl" and isinstance(body, dict) and body.get(self.o.get("next", "nextUrl")):
                 url = body[self.o.get("next", "nextUrl")]

@@ -68,6 +68,70 @@ def test_outbox(spark):
     assert [r.sequence for r in files.outbox_evictions(box, 35).orderBy("sequence").collect()] == [0, 1, 2]
 
 
+def test_rows_of_csv_files_are_numbered_over_blocks(spark, tmp_path):
+    for name, n in (("a", 4000), ("b", 3)):
+        (tmp_path / f"{name}.csv").write_text("x,y\n" + "".join(f"{i},{'v' * 50}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        rows = files.read_csv(spark, str(tmp_path), ["x"])
+        assert rows.rdd.getNumPartitions() > 2
+        got = sorted((r._file, r._row, int(r.x)) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [("a.csv", i + 2, i) for i in range(4000)] + [("b.csv", i + 2, i) for i in range(3)]
+
+
+def test_files_settle_before_they_are_taken_and_bad_ones_are_set_aside(spark, tmp_path):
+    import os
+    import time
+
+    (tmp_path / "in").mkdir()
+    for name, age in (("a.json", 60), ("b.json", 60), ("new.json", 0), ("c.txt", 60)):
+        (tmp_path / "in" / name).write_text('{"x": 1}\n')
+        os.utime(tmp_path / "in" / name, (time.time() - age,) * 2)
+    folder = lambda n: f"file://{tmp_path}/{n}"
+    taken = files.take_settled(spark, folder("in"), "*.json", folder("work"), min_age_s=30)
+    assert [t.rsplit("/", 1)[1] for t in taken] == ["a.json", "b.json"] and sorted(os.listdir(tmp_path / "in")) == ["c.txt", "new.json"]
+    good, failed = files.finish_files(spark, taken, spark.createDataFrame([("b.json",)], "_file string"), folder("done"), folder("failed"))
+    assert len(good) == len(failed) == 1 and os.listdir(tmp_path / "done") == ["a.json"] and os.listdir(tmp_path / "failed") == ["b.json"]
+
+
+def test_batches_are_posted_in_order_and_paced(spark):
+    import time
+
+    seen = []
+
+    class Sink(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(202)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    http = HTTPServer(("127.0.0.1", 0), Sink)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([(i * 100, f"e{i}") for i in range(10)], "t_ms long, id string").coalesce(1)
+    began = time.time()
+    answers = files.post_batches(rows, f"http://127.0.0.1:{http.server_port}", "t_ms", speed=2.0, batch=4).collect()
+    http.shutdown()
+    assert [(a.rows, a.status) for a in answers] == [(4, 202), (4, 202), (2, 202)] and time.time() - began >= 0.25
+    assert [e["id"] for batch in seen for e in batch] == [f"e{i}" for i in range(10)]
+
+
+def test_look_back_reads_late_rows_again_and_never_stands_still(spark):
+    rows = spark.createDataFrame([(c,) for c in (1, 5, 6, 7, 8, 9)], "c int")
+    page = lambda after, limit: sorted(r.c for r in polling.cursor_page(rows, "c", after, limit, 3).collect())
+    assert page(7, 1) == [5, 6, 7, 8] and page(9, 1) == [7, 8, 9] and page(20, 5) == []
+
+
+def test_rest_changes_since_and_unknown_page_counts():
+    reader = polling.RestReader({"path": "http://h/x?a=1", "since": "2024-01-02T00:00:00", "lookback": "3600", "sinceparam": "after", "paging": "page", "pagesize": "2", "pages": "2"})
+    assert [p.url for p in reader.partitions()][1] == "http://h/x?a=1&after=2024-01-01T23%3A00%3A00&page=2&per_page=2"
+
+
 @pytest.mark.parametrize("sql", ["SELECT 1; DROP TABLE x", "DELETE FROM x", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "SELECT * INTO y FROM x", ""])
 def test_statements_that_write_are_refused(sql):
     with pytest.raises(ValueError):
@@ -124,7 +188,7 @@ def server():
     http.shutdown()
 
 
-@pytest.mark.parametrize("paging,path,options", [("none", "/all", {}), ("page", "/page", {"at": "data.rows", "pagesize": 2, "pages": 3}), ("offset", "/offset", {"pagesize": 2, "pages": 3}), ("cursor", "/cursor", {"at": "rows"}), ("nexturl", "/next", {"at": "rows"}), ("link", "/link", {})])
+@pytest.mark.parametrize("paging,path,options", [("none", "/all", {}), ("page", "/page", {"at": "data.rows", "pagesize": 2, "pages": 3}), ("offset", "/offset", {"pagesize": 2, "pages": 3}), ("page", "/page", {"at": "data.rows", "pagesize": 2}), ("offset", "/offset", {"pagesize": 2}), ("cursor", "/cursor", {"at": "rows"}), ("nexturl", "/next", {"at": "rows"}), ("link", "/link", {})])
 def test_rest_pages(spark, server, paging, path, options):
     spark.dataSource.register(polling.RestDataSource)
     rows = spark.read.format("rest_pages").option("paging", paging).options(**options).load(server + path)

@@ -69,6 +69,40 @@ def test_tracker_follows_two_people_through_a_gap(spark):
     assert len({r.track_id for r in out}) == 2 and len(out) >= len(rows) - 4
 
 
+def test_matching_in_order_equals_the_general_assignment():
+    from aislewise.operators.assignment import in_order, most_pairs_least_distance
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (np.sort(rng.integers(0, 80, rng.integers(0, 9))) for _ in range(2))
+        i, j = in_order(a, b, 4, 20)
+        delta = b[None, :] - a[:, None]
+        allowed = (delta >= -4) & (delta <= 20)
+        want = most_pairs_least_distance(np.abs(delta), allowed)
+        assert allowed[i, j].all() and len(set(i)) == len(i) == len(set(j)) == len(want)
+        assert np.abs(delta[i, j]).sum() == sum(abs(delta[x, y]) for x, y in want)
+
+
+def test_small_and_wide_boxes_are_not_reported(spark):
+    det = "sequence string, frame long, t_ms long, det_id long, cls string, x1 double, y1 double, x2 double, y2 double, score double"
+    rows = [("c", f, f, 3 * f + k, "p", *box, 0.9) for f in range(4) for k, box in enumerate([(0.0, 0.0, 10.0, 20.0), (100.0, 0.0, 102.0, 4.0), (200.0, 0.0, 240.0, 20.0)])]
+    out = T.byte_track(spark.createDataFrame(rows, det)).collect()
+    assert {round(r.x1 / 100) for r in out} == {0} and len(out) == 4
+    every = T.byte_track(spark.createDataFrame(rows, det), T.TrackerSettings(min_area=0.0, max_aspect=9.0)).collect()
+    assert {round(r.x1 / 100) for r in every} == {0, 1, 2}
+
+
+def test_a_lost_member_hands_its_place_to_who_appears(spark):
+    zone = T.Zone("z", ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)), "q")
+    one = [("c", t, 1, 5.0, 5.0) for t in range(0, 10_000, 500)]
+    other = [("c", t, 2, 5.1, 5.0) for t in range(11_000, 20_000, 500)]
+    late = [("c", t, 3, 50.0, 5.0) for t in range(0, 30_000, 500)]
+    out = T.zone_events(spark.createDataFrame(one + other + late, "sequence string, t_ms long, track_id long, x double, y double"), (zone,)).collect()
+    queue = sorted((r.t_ms, r.kind, r.track_id, r.how) for r in out if r.kind.startswith("queue"))
+    assert queue == [(3000, "queue.joined", 1, None), (11_000, "queue.joined", 2, None), (11_000, "queue.left", 1, "left"), (19_500, "queue.left", 2, "served")]
+    assert T.zone_events(spark.createDataFrame(one, "sequence string, t_ms long, track_id long, x double, y double"), ()).count() == 0
+
+
 def test_zone_events_and_queue_lengths(spark):
     zone = T.Zone("z", ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)), "q", (9.0, 5.0), 2.0)
     path = [("c", i, i * 500, 1, -2.0 + min(i, 22) * 0.5 if i < 40 else 14.0, 5.0) for i in range(50)]
