@@ -1,12 +1,14 @@
 """A Spark data source for WARC archives, and pages written to and read from it.
 
 Reading plans one partition for each bundle of files. Record-type and header predicates are pushed to it: a record's
-header is parsed first, and the payload of a record that is not asked for is skipped, neither kept nor decoded. Files
-are reached through pyarrow's file systems, so a path may be in any store that these open.
+header is parsed first, and the payload of a record that is not asked for is skipped, neither kept nor decoded: each
+record is a gzip member that states its own length in a skip-lengths field ("sl"), and reading goes on behind it. In
+archives without that field payloads are inflated to find their end. Files are reached through pyarrow's file systems, so a path may be in any store that these open.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,7 +40,9 @@ SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", http_length long, payloa
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads under this length are stored again rather than referred to.
 LEAST_REVISIT = 100
-_CHUNK = 1 << 18
+_CHUNK = 1 << 16
+#: The two line ends after a record.
+_AFTER = b"\r\n\r\n"
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -60,16 +64,36 @@ def record_bytes(values: dict, payload: bytes | None, http_length: int | None) -
     block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % (http_length if http_length is not None else len(payload or b"")) + (payload or b"")
     lines = ["WARC/1.1", *(f"{h}: {_header_value(values[c])}" for c, h in HEADERS.items() if values.get(c) is not None)]
     head = "\r\n".join([*lines, "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""])
-    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return packer.compress(head.encode()) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
+    return gzip_member(head.encode() + block + _AFTER)
+
+
+def gzip_member(data: bytes) -> bytes:
+    """data as a gzip member whose extra field gives the member's length and that of its data."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    packed = packer.compress(data) + packer.flush()
+    size = 24 + len(packed) + 8
+    extra = struct.pack("<2sHII", b"sl", 8, size, len(data)) if max(size, len(data)) < 1 << 32 else b""
+    flags = b"\x04" if extra else b"\x00"
+    head = b"\x1f\x8b\x08" + flags + b"\0\0\0\0\0\xff" + (struct.pack("<H", len(extra)) + extra if extra else b"")
+    return head + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 class _Stream:
-    """Bytes of a file of gzip members, or of a plain file: read(n), line(), skip(n)."""
+    """Bytes of a file of gzip members, or of a plain file: read(n), line(), skip(n), and skip_record(n) by skip lengths."""
 
     def __init__(self, file):
         self.file, self.buffer, self.at, self.raw = file, b"", 0, file.read(_CHUNK)
-        self.unzip = zlib.decompressobj(31) if self.raw[:2] == b"\x1f\x8b" else None
+        self.zipped, self.unzip = self.raw[:2] == b"\x1f\x8b", None
+
+    def _begin(self) -> None:
+        """At a member's first byte: its skip lengths, where it has them (member_left, member_size), and a decoder."""
+        while len(self.raw) < 24 and (more := self.file.read(_CHUNK)):
+            self.raw += more
+        self.unzip, self.member_left, self.member_size, self.made = zlib.decompressobj(31), None, None, 0
+        if len(self.raw) >= 24 and self.raw[3] & 4:
+            name, size, *lengths = struct.unpack_from("<2sHII", self.raw, 12)
+            if name == b"sl" and size == 8:
+                self.member_left, self.member_size = lengths
 
     def _more(self) -> bool:
         while True:
@@ -77,18 +101,34 @@ class _Stream:
                 self.raw = self.file.read(_CHUNK)
                 if not self.raw:
                     return False
-            if self.unzip is None:
+            if not self.zipped:
                 new, self.raw = self.raw, b""
             else:
+                if self.unzip is None:
+                    self._begin()
+                before = len(self.raw)
                 new = self.unzip.decompress(self.raw, _CHUNK)
-                self.raw = self.unzip.unconsumed_tail
+                self.raw = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
+                self.made += len(new)
+                if self.member_left is not None:
+                    self.member_left -= before - len(self.raw)
                 if self.unzip.eof:
-                    self.raw = self.unzip.unused_data
-                    self.unzip = zlib.decompressobj(31)
+                    self.unzip = None
             if new:
                 self.buffer, self.at = self.buffer[self.at :] + new, 0
                 return True
 
+    def skip_record(self, n: int) -> None:
+        """Skips the n bytes that are left of a record; without decoding them if the record is the rest of its member."""
+        held = len(self.buffer) - self.at
+        if self.unzip is None or self.member_size is None or self.made - held + n + len(_AFTER) != self.member_size:
+            self.skip(n)
+            return
+        self.buffer, self.at, self.unzip = b"", 0, None
+        if self.member_left > len(self.raw):
+            self.file.seek(self.member_left - len(self.raw), 1)
+        self.raw = self.raw[self.member_left :]
+
     def line(self) -> bytes | None:
         while (end := self.buffer.find(b"\n", self.at)) < 0:
             if not self._more():
@@ -134,7 +174,7 @@ def read_records(file, wanted, with_payload: bool) -> Iterator[tuple]:
         length = int(head.get("content-length", 0))
         values = {c: head.get(h.lower()) for c, h in HEADERS.items()}
         if not wanted(values):
-            stream.skip(length)
+            stream.skip_record(length)
             continue
         http_length = None
         if head.get("content-type", "").startswith("application/http"):
@@ -148,7 +188,7 @@ def read_records(file, wanted, with_payload: bool) -> Iterator[tuple]:
         if with_payload and values["warc_type"] != "revisit":
             payload = stream.read(length)
         else:
-            stream.skip(length)
+            stream.skip_record(length)
         yield (*values.values(), http_length, payload)
 
 
@@ -166,6 +206,7 @@ class Files(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.with_payload, self.tests = options["path"], options.get("payload", "true").lower() != "false", []
+        self.least_partitions = max(1, int(options.get("minpartitions", 1)))
 
     def pushFilters(self, filters):
         """Equality, membership, prefix and not-null tests of header columns are decided from headers alone."""
@@ -183,7 +224,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        """Bundles of files of about PARTITION_BYTES; a file is never divided, as its members have no index."""
+        """Bundles of files of PARTITION_BYTES at most, smaller ones to have minpartitions of them; a file is never divided."""
         system, path = _file_system(self.path)
         info = system.get_file_info(path)
         if info.type == fs.FileType.NotFound:
@@ -191,8 +232,9 @@ class WarcReader(DataSourceReader):
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
         files = [f for f in files if f.type == fs.FileType.File and f.base_name.endswith((".warc", ".warc.gz"))]
         bundles, size = [[]], 0
+        most = min(PARTITION_BYTES, sum(f.size for f in files) // self.least_partitions + 1)
         for f in sorted(files, key=lambda f: f.path):
-            if bundles[-1] and size + f.size > PARTITION_BYTES:
+            if bundles[-1] and size + f.size > most:
                 bundles.append([])
                 size = 0
             bundles[-1].append(f.path)
@@ -216,7 +258,7 @@ class WarcReader(DataSourceReader):
 
         for path in partition.paths:
             rows, size = [], 0
-            with system.open_input_stream(path) as file:
+            with system.open_input_file(path) as file:
                 for row in read_records(file, self._wanted, self.with_payload):
                     rows.append(row)
                     size += len(row[-1] or b"") + 200
@@ -279,7 +321,7 @@ class WarcWriter(DataSourceWriter):
 class WarcDataSource(DataSource):
     """spark.read.format("warc").load(path) and df.write.format("warc").mode("append").save(path).
 
-    Option payload=false leaves payloads null without reading them. Rows to write need columns named as in SCHEMA; all
+    Option payload=false leaves payloads null without reading them; minpartitions asks for that many reading tasks. Rows to write need columns named as in SCHEMA; all
     but record_id and warc_type may be missing or null. The WARC header lines of a null value are left out.
     """
 
@@ -342,9 +384,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """
     register(spark)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    full = spark.read.format("warc").load(path).where("warc_type = 'response'")
+    tasks = str(2 * spark.sparkContext.defaultParallelism)
+    full = spark.read.format("warc").option("minpartitions", tasks).load(path).where("warc_type = 'response'")
     full = full.select(page("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    again = spark.read.format("warc").option("payload", "false").load(path).where("warc_type = 'revisit'")
+    again = spark.read.format("warc").option("minpartitions", tasks).option("payload", "false").load(path).where("warc_type = 'revisit'")
     again = again.select(page("record_id"), "http_length", F.substring_index("payload_digest", ":", -1), "warc_type", page("refers_to"))
     return full.union(again)
 

@@ -83,3 +83,41 @@ def test_empty_table_and_missing_folder(spark):
     assert out == {}
     with pytest.raises(Exception, match="missing"):
         spark.read.format("warc").load(path + "/missing").count()
+
+
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        import io
+
+        self.file, self.bytes = io.BytesIO(data), 0
+
+    def read(self, n):
+        out = self.file.read(n)
+        self.bytes += len(out)
+        return out
+
+    def seek(self, *to):
+        return self.file.seek(*to)
+
+
+def test_unwanted_payloads_are_not_read():
+    import gzip
+    import random
+
+    rng = random.Random(4)
+    kinds = ["response" if i % 5 else "revisit" for i in range(50)]
+    payloads = [rng.randbytes(300_000) if k == "response" else None for k in kinds]
+    members = [warc.record_bytes({"record_id": f"<r{i}>", "warc_type": k}, p, 300_000) for i, (k, p) in enumerate(zip(kinds, payloads))]
+    data = b"".join(members)
+    assert gzip.decompress(data).count(b"WARC/1.1") == 50  # the extra field does not trouble other readers
+    wanted = lambda kind: lambda values: values["warc_type"] == kind
+    file = Counted(data)
+    found = list(warc.read_records(file, wanted("revisit"), False))
+    assert [r[0] for r in found] == [f"<r{i}>" for i in range(0, 50, 5)] and file.bytes < 0.5 * len(data)
+    found = list(warc.read_records(Counted(data), wanted("response"), True))
+    assert [r[-1] for r in found] == [p for p in payloads if p]
+    plain = gzip.compress(gzip.decompress(data))  # all records in one member, without skip lengths
+    assert [r[-1] for r in warc.read_records(Counted(plain), wanted("response"), True)] == [p for p in payloads if p]
+    assert len(list(warc.read_records(Counted(gzip.decompress(data)), wanted("revisit"), False))) == 10
