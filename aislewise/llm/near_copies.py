@@ -1,7 +1,9 @@
-"""Near copies for the corpus: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near duplicates, completed to all documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands; every link is then checked on whole shingle sets. Documents that share a band are
-linked to the band's first document only, so links never grow with the square of a group. A candidate group that these
+Candidates are the links of the Gray-order index over 5-word fingerprints. Fingerprints within its radius hold a part of
+the pairs at 0.8 only, and a radius that held them all would compare everything with everything, so MinHash bands add
+those beyond it. Every link is then checked on whole shingle sets. Documents that share a band or a fingerprint are linked
+to the first of them only, so links never grow with the square of a group. A candidate group that these
 checked links leave in pieces is compared again: all documents outside its largest piece with all of the group, dealt
 out in blocks.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, simhash
-from .components import components
+from .components import components, join_counted
 
 WORDS, SIMILAR = 5, 0.8
 #: A pair shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at s = 0.8, more above.
@@ -31,12 +33,7 @@ _TIMES, _PLUS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uin
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all shingles; words as in simhash.fingerprint(), a shorter text is one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    n = max(1, len(words) - WORDS + 1)
-    ends = np.cumsum(np.fromiter((len(w) + 1 for w in words or [b""]), np.int64, max(1, len(words))))
-    starts, stops = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n))
+    return np.unique(simhash.shingle_hashes(simhash.words_of(text), WORDS, SEED))
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -52,9 +49,15 @@ def _signed(values: np.ndarray, seed: int = SEED) -> int:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [shingles(t.as_py()) for t in batch.column(1)]
-        columns = [batch.column(0), pa.array([_signed(s) for s in own], pa.int64()), pa.array([bands(s) for s in own], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands"])
+        rows = []
+        for text in batch.column(1):
+            words = simhash.words_of(text.as_py())
+            every = simhash.shingle_hashes(words, WORDS, SEED)
+            own = np.unique(every)
+            rows.append((_signed(own), int(np.uint64(simhash.majority_bits(every) if words else 0).view(np.int64)), bands(own)))
+        fp, sim, band = zip(*rows) if rows else ([], [], [])
+        columns = [batch.column(0), pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.array(band, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sim", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +107,20 @@ def _rest(cls: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_links(sketches: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Links (a, b) between fps that connect all similar candidates; sketches: doc_id, fp, bands."""
-    once = sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    """Links (a, b) between fps that connect all similar candidates; sketches: doc_id, fp, sim, bands."""
+    once = sketches.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
+    once, _ = common.stored(once, "near-distinct")
     banded = once.select("fp", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    stars, _ = common.stored(banded.join(first, "band").where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "near-stars")
+    first = banded.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    by_band = join_counted(banded, first, "band", "n").where("fp <> a").select("a", F.col("fp").alias("b"))
+    sims, _ = common.stored(once.groupBy("sim").agg(F.min("fp").alias("a"), F.count("*").alias("n")), "near-sims")
+    by_sim = join_counted(once, sims.where("n > 1"), "sim", "n").where("fp <> a").select("a", F.col("fp").alias("b"))
+    near = simhash.hamming_links(sims.select(F.col("sim").alias("fp")))
+    end = lambda name: sims.select(F.col("sim").alias(name), F.col("a").alias(f"{name}_fp"))
+    by_index = near.join(end("a"), "a").join(end("b"), "b").select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
+    stars, _ = common.stored(by_band.union(by_sim).union(by_index).distinct(), "near-stars")
     roots, _ = common.stored(components(stars), "near-groups")
-    member = sketches.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("fp")), "fp")
+    member = once.select("fp", "least").join(roots.select(F.col("node").alias("fp")), "fp")
     texts = docs.select(F.col(doc_id).alias("least"), F.col(text).alias("text")).join(member, "least").select("fp", "text")
     sets, _ = common.stored(texts.mapInArrow(_sets, "fp long, own array<long>").dropDuplicates(["fp"]), "near-sets")
     side = lambda name: sets.select(F.col("fp").alias(name), F.col("own").alias(f"{name}_own"))
@@ -131,6 +141,6 @@ def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     named = docs.where(F.col(doc_id).isNotNull())
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     plain = named.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketches, _ = common.stored(plain.mapInArrow(_sketches, f"doc_id {kind}, fp long, bands array<long>"), "near-sketches")
+    sketches, _ = common.stored(plain.mapInArrow(_sketches, f"doc_id {kind}, fp long, sim long, bands array<long>"), "near-sketches")
     found = simhash.labelled(sketches.select("doc_id", "fp"), links=near_links(sketches, named, doc_id, text))
     return simhash.without(docs, found.where("doc_id <> component_id"), doc_id)

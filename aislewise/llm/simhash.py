@@ -40,22 +40,31 @@ _FAN_BITS = FANOUT.bit_length() - 1
 # ---- fingerprints -------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a whole text: A-Z lower-cased, words split at ASCII white space, shingles with repeats."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-    starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[-n:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a whole text with A-Z lower-cased, split at ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of `shingle` words joined by spaces, repeats included; of all words where they are fewer."""
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter((len(w) + 1 for w in words or [b""]), np.int64, max(1, len(words))))
+    starts, stops, digest = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist(), xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
-        part = np.array([digest(joined[a:b], seed) for a, b in zip(starts[i : i + _CHUNK], stops[i : i + _CHUNK])], dtype=">u8")
-        counts += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    for i in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[i : i + _CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of a whole text; 0 without a word."""
+    words = words_of(text)
+    return majority_bits(shingle_hashes(words, shingle, seed)) if words else 0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
