@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,6 +22,20 @@ FIRST_BYTES = 64
 GROWTH = 16
 
 
+def _row_id(docs: DataFrame) -> Column:
+    """What tells rows of equal id and text apart, the same in every job that reads docs again.
+
+    Rows of Parquet files have their file and place. Other tables are numbered in the order in which they are evaluated,
+    so they must give their rows in the same partitions each time.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        docs.select(place)
+    except AnalysisException:  # not a scan of files that number their rows
+        return F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return place
+
+
 def dedup_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -29,7 +44,7 @@ def dedup_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     kept, also where rows repeat a doc_id. An empty table gives an empty table. Other columns are not read.
     """
     norm = F.regexp_replace(common.or_empty(text), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), norm.alias("norm"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _row_id(docs).alias("rid"), norm.alias("norm"))
     rows = rows.select("doc_id", "rid", F.sha2("norm", 256).alias("sha"), F.encode("norm", "utf-8").alias("rest"))
     done = [c.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")) for c in _rounds(rows)]
     return reduce(DataFrame.union, done)
@@ -42,7 +57,7 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     norm = F.regexp_replace(common.or_empty(text), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), row.alias("row"), F.encode(norm, "utf-8").alias("rest"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _row_id(docs).alias("rid"), row.alias("row"), F.encode(norm, "utf-8").alias("rest"))
     done = [c.where("kept").select("row.*") for c in _rounds(rows)]
     return reduce(DataFrame.union, done)
 
@@ -82,6 +97,7 @@ def _rounds(rows: DataFrame) -> list[DataFrame]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Keep and drop of every document; null texts are empty ones, of repeated rows one stays, an empty table gives none."""
     return dedup_exact(common.table(spark, sf_dir, "documents"))
 
 

@@ -113,7 +113,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: the labels whose id is the page's; bad if of low quality or toxic."""
+    """Outcomes: the labels whose id is the page's; bad if of low quality or toxic. Repeated pages repeat, null urls have no host."""
     labels = common.table(spark, sf_dir, "labels")
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
     out = judge_urls(common.table(spark, sf_dir, "pages").select("page_id", "url"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))

@@ -370,6 +370,7 @@ def without(docs: DataFrame, copies: DataFrame, doc_id: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 

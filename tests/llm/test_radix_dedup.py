@@ -58,3 +58,16 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert radix_dedup.dedup_exact(docs).count() == 0
     assert radix_dedup.drop_exact_duplicates(docs).count() == 0
+
+
+def test_rows_of_files_are_told_apart_by_their_place(spark, tmp_path):
+    """Repeated rows in several files: one stays, however the files are dealt to tasks in each job."""
+    rows = [(1, "same text", i) for i in range(6)] + [(2, "same text", 9), (3, "other", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rid = radix_dedup._row_id(docs)
+    assert docs.select(rid.alias("r")).distinct().count() == 8
+    kept = radix_dedup.drop_exact_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
+    out = radix_dedup.dedup_exact(docs.select("doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in out) == sorted([(1, 1, True), *[(1, 1, False)] * 5, (2, 1, False), (3, 3, True)])
