@@ -11,7 +11,7 @@ from . import common
 HOT = 1000
 
 
-def join_counted(rows: DataFrame, totals: DataFrame, key: str, count: str) -> DataFrame:
+def join_counted(rows: DataFrame, totals: DataFrame, key: str | list[str], count: str) -> DataFrame:
     """rows joined with totals: one row a key, whose column count says how many rows have that key.
 
     Keys with over HOT and over a thousandth of all rows, fewer than a thousand, are broadcast; all others are shuffled.
@@ -19,8 +19,9 @@ def join_counted(rows: DataFrame, totals: DataFrame, key: str, count: str) -> Da
     """
     all_rows = totals.agg(F.sum(count)).first()[0] or 0
     least = max(HOT, all_rows // 1000)
+    keys = [key] if isinstance(key, str) else key
     hot = F.broadcast(totals.where(F.col(count) > least))
-    rest = rows.join(hot.select(key), key, "left_anti").join(totals.where(F.col(count) <= least), key)
+    rest = rows.join(hot.select(*keys), key, "left_anti").join(totals.where(F.col(count) <= least), key)
     return rows.join(hot, key).unionByName(rest)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
+from .components import join_counted
 
 _QUOTE = r"^((?:>[ \t]?)+)"
 
@@ -35,15 +36,13 @@ def _units(messages: DataFrame) -> DataFrame:
     copies = messages.where("message is not null").groupBy("_t", "_n", "message", "body").agg(F.count("*").alias("copies"))
     key = ["_t", "_n", "message", "copy"]
     lines = copies.select("_t", "_n", "message", F.xxhash64("body").alias("copy"), "copies", F.posexplode(_lines(F.col("body"))).alias("at", "line"))
-    lines = lines.withColumn("marks", F.regexp_extract("line", _QUOTE, 1))
+    lines = lines.withColumn("marks", F.when(F.startswith("line", F.lit(">")), F.regexp_extract("line", _QUOTE, 1)).otherwise(""))
     lines = lines.withColumns({"depth": F.length(F.regexp_replace("marks", r"[ \t]", "")), "words": F.expr("substr(line, length(marks) + 1)")}).drop("line", "marks")
     order = W.partitionBy(*key).orderBy("at")
     begins = F.coalesce(F.col("depth") != F.lag("depth").over(order), F.lit(True))
-    runs = lines.withColumn("begins", begins).withColumn("run", F.count_if("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    size = F.count("*").over(W.partitionBy(*key, "run"))
-    runs = runs.withColumn("size", size)
-    single = runs.select("_t", "_n", "message", "depth", (F.col("size") == 1).alias("whole"), "copies", F.col("words").alias("text"))
-    longer = runs.where("size > 1").groupBy(*key, "run").agg(F.first("depth").alias("depth"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("at", "words"))).alias("own"))
+    runs = lines.withColumn("begins", begins).withColumns({"run": F.count_if("begins").over(order.rowsBetween(W.unboundedPreceding, 0)), "alone": F.col("begins") & F.lead("begins", 1, True).over(order)})
+    single = runs.select("_t", "_n", "message", "depth", F.col("alone").alias("whole"), "copies", F.col("words").alias("text"))
+    longer = runs.where("not alone").groupBy(*key, "run").agg(F.first("depth").alias("depth"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("at", "words"))).alias("own"))
     text = F.array_join(F.col("own.words"), "\n")
     units = single.union(longer.select("_t", "_n", "message", "depth", F.lit(True), "copies", text))
     hashed = units.withColumn("norm", normalised(F.col("text"))).where("norm <> ''")
@@ -67,7 +66,10 @@ def link_quotes(messages: DataFrame, thread: str = "thread", message: str = "mes
 
     wrote = keyed.where("depth = 0").groupBy("_t", "_n", "hash").agg(F.min("message").alias("origin"))
     quoted = keyed.where("depth > 0").groupBy("_t", "_n", "message", "depth", "whole", "hash").agg(F.sum("copies").alias("n"))
-    linked = quoted.join(wrote, ["_t", "_n", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("message"), F.col("origin")))
+    quoted, _ = common.stored(quoted, "quoted")
+    passage = ["_t", "_n", "hash"]
+    origins = quoted.groupBy(*passage).agg(F.count("*").alias("uses")).join(wrote, passage, "left")
+    linked = join_counted(quoted, origins, passage, "uses").withColumn("origin", F.when(F.col("origin") < F.col("message"), F.col("origin")))
     per = linked.groupBy("_t", "_n", "message").agg(
         F.sum(F.when(F.col("whole"), F.col("n"))).alias("n_passages"),
         F.sum(F.when(F.col("whole") & F.col("origin").isNotNull(), F.col("n"))).alias("n_linked"),
@@ -105,14 +107,17 @@ def _roots(parents: DataFrame) -> DataFrame:
 
     A pointer at a message without a parent is finished and moves no more; others step on through it.
     """
-    key = ["_t", "_n"]
+    key, above = ["_t", "_n"], ["_t", "_n", "up"]
+    uses = lambda at: at.groupBy(*above).agg(F.count("*").alias("uses"))
+    at = parents.withColumnRenamed("parent", "up")
     replies = parents.select(*key, F.col("message").alias("up"), F.lit(False).alias("top"))
-    at = parents.withColumnRenamed("parent", "up").join(replies, [*key, "up"], "left")
+    at = join_counted(at, uses(at).join(replies, above, "left"), above, "uses")
     at = at.select(*key, "message", "up", F.lit(1).cast("long").alias("hops"), F.coalesce("top", F.lit(True)).alias("done"))
     at, path = common.stored(at, "quote-roots")
     while at.where("not done").limit(1).count():  # a parent is smaller than its reply: pointers end
-        above = at.select(*key, F.col("message").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"))
-        moved = at.where("not done").join(above, [*key, "up"]).select(*key, "message", F.col("up2"), F.col("hops") + F.col("hops2"), "done2")
+        steps = at.select(*key, F.col("message").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"))
+        open_ = at.where("not done")
+        moved = join_counted(open_, uses(open_).join(steps, above), above, "uses").select(*key, "message", F.col("up2"), F.col("hops") + F.col("hops2"), "done2")
         before = path
         at, path = common.stored(at.where("done").union(moved), "quote-roots")
         common.remove(parents.sparkSession, before)
