@@ -53,6 +53,30 @@ def most_pairs_least_distance(distance: np.ndarray, allowed: np.ndarray) -> list
     return [(int(r), int(c)) for r, c in zip(rows, cols) if allowed[r, c]]
 
 
+def heaviest_total(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
+    """Weight of the heaviest one-to-one matching of weighted pairs (M10), one connected group of ends at a time."""
+    _, a = np.unique(left, return_inverse=True)
+    _, b = np.unique(right, return_inverse=True)
+    label = np.arange(a.max(initial=-1) + 1)
+    while True:  # the smallest left end that is reachable
+        of_right = np.full(b.max(initial=-1) + 1, len(label))
+        np.minimum.at(of_right, b, label[a])
+        low = label.copy()
+        np.minimum.at(low, a, of_right[b])
+        if (low == label).all():
+            break
+        label = low
+    order = np.argsort(label[a], kind="stable")
+    total = 0.0
+    for group in np.split(order, np.flatnonzero(np.diff(label[a][order])) + 1) if len(order) else []:
+        rows, i = np.unique(a[group], return_inverse=True)
+        cols, j = np.unique(b[group], return_inverse=True)
+        table = np.zeros((len(rows), len(cols)))
+        np.add.at(table, (i, j), weight[group])
+        total += table[assign(-table)].sum()
+    return total
+
+
 def in_order(a: np.ndarray, b: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of a matching of the sorted times a and b with -before <= b[j] - a[i] <= after (M2).
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aislewise.functions import buckets as B
-from aislewise.functions.stats import wilson
+from aislewise.functions.stats import cells, wilson
 
 
 def incident_table(log: DataFrame, actions: DataFrame | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def timeline(incidents: DataFrame, events: DataFrame, look_back_ms: int = 7_200_
     A queue incident gets its queue's lengths inside the closed window and the value before it, and markers of the tills
     that serve it (tills: store_id, run_id, t_ms, till_id, kind, amount_minor; serving: queue_id, register_id); a zone
     incident gets entries per minute from the window's start, zeros included; register events are markers. At most `cap`
-    rows of each kind stay for an incident, the earliest; truncated says that there were more.
+    rows of an incident's series and `cap` of its markers stay, the earliest; truncated says that there were more.
     """
     start, end = B.timeline_window(F.col("onset_ms"), F.col("detected_ms"), F.col("resolved_ms"))
     own = incidents.select("incident_id", "store_id", "run_id", F.regexp_extract("subject", "^queue:(.+)$", 1).alias("_queue"), F.regexp_extract("subject", "^zone:(.+)$", 1).alias("_zone"), start.alias("from_ms"), end.alias("to_ms"))
@@ -113,8 +113,8 @@ def timeline(incidents: DataFrame, events: DataFrame, look_back_ms: int = 7_200_
         t = tills.select(F.col("store_id").alias("_s"), F.col("run_id").alias("_r"), "t_ms", F.col("till_id").alias("_t"), F.col("kind").alias("_kind"), "amount_minor", F.floor(F.col("t_ms") / 3_600_000).alias("_eh"))
         on = (F.col("store_id") == F.col("_s")) & F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("_till") == F.col("_t")) & (F.col("_h") == F.col("_eh")) & F.col("t_ms").between(F.col("from_ms"), F.col("to_ms"))
         merged = merged.union(served.join(t, on).select("incident_id", F.concat(F.lit("till."), "_kind"), "t_ms", "amount_minor"))
-    kind = W.partitionBy("incident_id", "kind")
-    ranked = merged.withColumns({"_n": F.row_number().over(kind.orderBy("t_ms", "value")), "truncated": F.count("*").over(kind) > cap})
+    part = W.partitionBy("incident_id", F.col("kind").isin("queue", "zone"))
+    ranked = merged.withColumns({"_n": F.row_number().over(part.orderBy("t_ms", "kind", "value")), "truncated": F.count("*").over(part) > cap})
     return ranked.where(F.col("_n") <= cap).drop("_n")
 
 
@@ -123,12 +123,16 @@ def processing_latency(incidents: DataFrame, events: DataFrame, grace_ms: int) -
 
     incidents: store_id, incident_id, detected_ms, created_ms; events: store_id, t_ms, received_ms. Null where no event
     was stored (unmeasured); negative values count as 0. The minimum over all later events is a running minimum from the
-    end of each store's time line, met by one as-of step instead of a range join.
+    end of each store's time line, inside cells of time first and then over the cells after, so no store is one task's.
     """
     moments = events.groupBy("store_id", "t_ms").agg(F.min("received_ms").alias("received_ms")).select("store_id", "t_ms", "received_ms", F.lit(None).cast("string").alias("incident_id"), F.lit(None).cast("long").alias("created_ms"))
     asked = incidents.select("store_id", (F.col("detected_ms") + grace_ms).alias("t_ms"), F.lit(None).cast("long").alias("received_ms"), F.col("incident_id").cast("string"), "created_ms")
-    later = W.partitionBy("store_id").orderBy(F.desc("t_ms"), F.col("incident_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    both = moments.union(asked).withColumn("first_ms", F.min("received_ms").over(later)).where("incident_id is not null")
+    both = moments.union(asked)
+    later = W.partitionBy("store_id", "_cell").orderBy(F.desc("t_ms"), F.col("incident_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    inside = cells(both, "t_ms", 4096).withColumn("_in", F.min("received_ms").over(later)).where("incident_id is not null")
+    least = cells(both, "t_ms", 4096).groupBy("store_id", "_cell").agg(F.min("received_ms").alias("_least"))
+    after = W.partitionBy("store_id").orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)  # at most 4096 rows a store
+    both = inside.join(least.withColumn("_after", F.min("_least").over(after)).drop("_least"), ["store_id", "_cell"]).withColumn("first_ms", F.least("_in", "_after"))
     latency = F.greatest(F.lit(0).cast("long"), F.col("created_ms") - F.col("first_ms"))
     return both.select("store_id", "incident_id", F.when(F.col("first_ms").isNotNull(), latency).alias("latency_ms"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aislewise.functions.stats import error_summary, nearest_rank, precision_recall_f1, wilson
+from aislewise.functions.stats import cells, error_summary, nearest_rank, precision_recall_f1, wilson
 
 from .assignment import in_order
 
@@ -109,10 +109,17 @@ def worst_drops(base: DataFrame, noisy: DataFrame, keys: list[str], top: int = 5
 
 
 def counts_at(changes: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
-    """samples (by, t_ms) with the value after every change at or before t; 0 before the first (J6). changes: by, t_ms, seq, value."""
+    """samples (by, t_ms) with the value after every change at or before t; 0 before the first (J6). changes: by, t_ms, seq, value.
+
+    The last change is looked for in a sample's own cell of time, then in the cells before, so no key is one task's.
+    """
     rows = changes.select(*by, "t_ms", F.lit(0).alias("_kind"), "seq", F.col("value").cast("long")).union(samples.select(*by, "t_ms", F.lit(1), F.lit(0).cast("long"), F.lit(None).cast("long")))
-    w = W.partitionBy(*by).orderBy("t_ms", "_kind", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("count", F.coalesce(F.last("value", True).over(w), F.lit(0).cast("long"))).where("_kind = 1").select(*by, "t_ms", "count")
+    w = W.partitionBy(*by, "_cell").orderBy("t_ms", "_kind", "seq").rowsBetween(W.unboundedPreceding, 0)
+    inside = cells(rows, "t_ms", 4096).withColumn("_in", F.last("value", True).over(w)).where("_kind = 1")
+    last = cells(rows, "t_ms", 4096).groupBy(*by, "_cell").agg(F.max_by("value", F.when(F.col("_kind") == 0, F.struct("t_ms", "seq"))).alias("_last"))
+    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # at most 4096 rows a key
+    carried = last.withColumn("_before", F.last("_last", True).over(before)).drop("_last")
+    return inside.join(carried, [*by, "_cell"]).select(*by, "t_ms", F.coalesce("_in", "_before", F.lit(0).cast("long")).alias("count"))
 
 
 def occupancy_changes(moves: DataFrame, by: list[str]) -> DataFrame:

@@ -83,6 +83,18 @@ def test_matching_in_order_equals_the_general_assignment():
         assert np.abs(delta[i, j]).sum() == sum(abs(delta[x, y]) for x, y in want)
 
 
+def test_heaviest_total_equals_one_assignment():
+    from aislewise.operators.assignment import heaviest_total
+
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 30):
+        pairs = np.unique(rng.integers(0, 12, (n, 2)), axis=0).reshape(-1, 2)
+        weight = rng.integers(1, 20, len(pairs)).astype(float)
+        table = np.zeros((12, 12))
+        table[pairs[:, 0], pairs[:, 1]] = weight
+        assert heaviest_total(pairs[:, 0], pairs[:, 1], weight) == table[assign(-table)].sum()
+
+
 def test_small_and_wide_boxes_are_not_reported(spark):
     det = "sequence string, frame long, t_ms long, det_id long, cls string, x1 double, y1 double, x2 double, y2 double, score double"
     rows = [("c", f, f, 3 * f + k, "p", *box, 0.9) for f in range(4) for k, box in enumerate([(0.0, 0.0, 10.0, 20.0), (100.0, 0.0, 102.0, 4.0), (200.0, 0.0, 240.0, 20.0)])]
