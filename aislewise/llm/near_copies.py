@@ -24,7 +24,7 @@ from .components import components, join_counted
 WORDS, SIMILAR = 5, 0.8
 #: A pair shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at s = 0.8, more above.
 BANDS, ROWS, SEED = 24, 6, 42
-#: Documents of a group that one task compares at a time with those outside the group's largest piece.
+#: Documents of a group, and as many of those outside its largest piece, that are compared at a time.
 BLOCK = 512
 _CHUNK = 1 << 12
 _RNG = np.random.default_rng(SEED)
@@ -99,11 +99,13 @@ def _compared(rows: pa.Table) -> pa.Table:
 def _rest(cls: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the pieces (v) of each candidate group (root)."""
     pieces = cls.groupBy("root", "v").agg(F.count("*").alias("n"))
-    groups = pieces.groupBy("root").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max_by("v", F.struct("n", "v")).alias("most")).where("k > 1")
-    rows, _ = common.stored(sets.join(cls, "fp").join(groups, "root").select("root", "fp", "own", (F.col("v") != F.col("most")).alias("probe"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-rest")
-    built = rows.select("root", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), "fp", "own", F.lit(False).alias("probe"))
-    probes = rows.where("probe").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", "own", "probe")
-    return built.union(probes).groupBy("root", "block").applyInArrow(_compared, "a long, b long")
+    groups = pieces.groupBy("root").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max_by("v", F.struct("n", "v")).alias("most"), F.max("n").alias("largest")).where("k > 1")
+    rows, _ = common.stored(sets.join(cls, "fp").join(groups, "root").select("root", "fp", "own", (F.col("v") != F.col("most")).alias("probe"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("probe_blocks")), "near-rest")
+    dealt = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int").alias(n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
+    built = rows.select("root", dealt("blocks"), every("probe_blocks"), "fp", "own", F.lit(False).alias("probe"))
+    probes = rows.where("probe").select("root", every("blocks"), dealt("probe_blocks"), "fp", "own", "probe")
+    return built.union(probes).groupBy("root", "blocks", "probe_blocks").applyInArrow(_compared, "a long, b long")
 
 
 def near_links(sketches: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
