@@ -27,16 +27,21 @@ MIN_MARGIN = 0.004
 UNKNOWN = "und"
 
 
+_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
 @lru_cache(1)
-def _letter_runs():
-    """Runs of letters: word characters less digits, the underscore and numbers that are no letters, such as fractions."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-    return re.compile(rf"[^\W\d_{numbers}]+").findall
+def _other_numbers() -> dict[str, str]:
+    """Numbers that the pattern of words lets pass though they are no letters, such as fractions, and a space for each."""
+    return {c: " " for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()}
 
 
 def letters_only(text: str | None) -> str:
     """Lower-case letter runs, one space between them and around them: what languages are told apart by."""
-    words = _letter_runs()((text or "").lower())
+    text = (text or "").lower()
+    if not text.isascii() and not (numbers := _other_numbers()).keys().isdisjoint(text):
+        text = text.translate(str.maketrans(numbers))
+    words = _WORDS(text)
     return f" {' '.join(words)} " if words else ""
 
 
@@ -131,6 +136,7 @@ def keep_clear(docs: DataFrame, dictionaries: Mapping[str, bytes], min_margin: f
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out; null texts are `und`, repeated rows repeat."""
     docs = common.table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = sample(docs.where(~held_out))
