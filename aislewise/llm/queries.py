@@ -1,6 +1,7 @@
-"""Queries of the ten operators, opN_<name>, and the SQL of those that SQL can express."""
+"""Queries of the training-data operators, opN_<name>, and the SQL of those that SQL can express."""
 
-from . import bpe, langid, packing, quality, quotes, radix_dedup, reputation, simhash, warc, wordpiece
+from . import bpe, fim, langid, packing, quality, quotes, radix_dedup, reputation, simhash, warc, wordpiece
 
-QUERIES = {name: query for module in (quotes, wordpiece, langid, warc, reputation, simhash, bpe, quality, packing, radix_dedup) for name, query in module.QUERIES.items()}
-SQL = {"op4_warc_revisits": warc.SQL, "op5_url_reputation": reputation.SQL, "op10_exact_dedup": radix_dedup.SQL}
+_MODULES = (quotes, wordpiece, langid, warc, reputation, simhash, bpe, quality, packing, radix_dedup, fim)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {"op4_warc_revisits": warc.SQL, "op5_url_reputation": reputation.SQL, "op10_exact_dedup": radix_dedup.SQL, "op11_lookaround_fim": fim.SQL}
