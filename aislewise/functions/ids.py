@@ -51,10 +51,11 @@ def uuid5(namespace: str, name: Column) -> Column:
     return _uuid(F.substring(F.sha1(F.concat(space, F.encode(name, "utf-8"))), 1, 32), "5")
 
 
-def incident_id(rule_id: str, version: str, store: Column, run: Column, key: Column, onset_ms: Column) -> Column:
+def incident_id(rule_id: str, version: str | Column, store: Column, run: Column, key: Column, onset_ms: Column) -> Column:
     """Same rule, major version, store, run, key and onset give the same id; a null run is spelt `null`."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    return name_uuid(F.concat_ws("|", F.lit(rule_id), F.lit(version.split(".")[0]), text(store), text(run), text(key), text(onset_ms)))
+    major = F.lit(version.split(".")[0]) if isinstance(version, str) else F.substring_index(version, ".", 1)
+    return name_uuid(F.concat_ws("|", F.lit(rule_id), major, text(store), text(run), text(key), text(onset_ms)))
 
 
 def daily_pseudonym(secret: bytes, day: Column, local_id: Column) -> Column:
