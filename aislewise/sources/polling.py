@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 import re
 import urllib.parse
-import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .http import Pages
+from .polled_stream import RestStreamReader
+
 #: Words that a read-only statement doesn't hold.
 FORBIDDEN = ("insert", "update", "delete", "merge", "drop", "alter", "create", "truncate", "grant", "revoke", "call", "exec", "execute", "into", "copy", "set", "lock", "vacuum")
 
@@ -97,30 +100,16 @@ class RestReader(DataSourceReader):
         return self._with(page=n + 1, per_page=size) if style == "page" else self._with(offset=n * size, limit=size)
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        url, style, limit = partition.url, self.o.get("paging", "none"), int(self.o.get("maxpages", 10_000))
-        size, unknown = int(self.o.get("pagesize", 100)), style in ("page", "offset") and not self.o.get("pages")
-        for n in range(limit):
-            with urllib.request.urlopen(url, timeout=float(self.o.get("timeout", 30))) as answer:  # noqa: S310
-                body, link = json.loads(answer.read()), answer.headers.get("Link", "")
-            rows = body
-            for name in filter(None, self.o.get("at", "").split(".")):
-                rows = rows[name]
-            for row in rows:
+        style, limit = self.o.get("paging", "none").lower(), int(self.o.get("maxpages", 10_000))
+        known = style in ("page", "offset") and self.o.get("pages")
+        pages = Pages(self.o if not known else self.o | {"paging": "none"}, partition.url if known or style not in ("page", "offset") else self._with())
+        for found in islice(pages.follow(), limit):
+            for row in found:
                 yield (json.dumps(row, ensure_ascii=False),)
-            if unknown and len(rows) >= size:
-                url = self._numbered(style, n + 1, size)
-            elif style == "cursor" and isinstance(body, dict) and body.get(self.o.get("next", "next")):
-                url = self._with(cursor=body[self.o.get("next", "next")])
-            elif style == "nexturl" and isinstance(body, dict) and body.get(self.o.get("next", "nextUrl")):
-                url = body[self.o.get("next", "nextUrl")]
-            elif style == "link" and (m := re.search(r'<([^>]+)>;\s*rel="?next"?', link)):
-                url = m[1]
-            else:
-                return
 
 
 class RestDataSource(DataSource):
-    """spark.read.format("rest_pages").option("paging", ...).load(url): one column, the record as JSON text."""
+    """spark.read.format("rest_pages").option("paging", ...).load(url), or readStream: one column, the record as JSON text."""
 
     @classmethod
     def name(cls) -> str:
@@ -132,6 +121,9 @@ class RestDataSource(DataSource):
     def reader(self, schema) -> RestReader:
         return RestReader({k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> RestStreamReader:
+        return RestStreamReader({k.lower(): v for k, v in self.options.items()})
+
 
 #: Voucher types and what each becomes.
 VOUCHERS = {"Sales": "bill", "Credit Note": "refund", "Receipt": "payment_in", "Payment": "payment_out", "Stock Journal": "movement"}
