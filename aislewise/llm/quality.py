@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,6 +26,8 @@ MAX_GOOD_LOSS = 0.02
 _MANY = 20_000
 
 FEATURES = 6
+#: Characters a word at which the feature of word lengths is a half.
+WORD_CHARS = 6
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -61,7 +62,8 @@ def repeat_words(words: list[bytes], size: int = NGRAM) -> int:
 def statistics(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """(base counts in the order of BASE, the forest's features) of a whole text; null counts as empty.
 
-    Repeats are no feature: the base rules judge them, and clean texts that repeat a line are rare but good.
+    Each feature is a share from 0 to 1 of a text of any length and content, so no text widens the range in which the
+    forest splits. Repeats are no feature: the base rules judge them, and clean texts that repeat a line are rare but good.
     """
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -74,13 +76,13 @@ def statistics(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
         letters += k * c.isalpha()
         upper += k * c.isupper()
         digits += k * c.isdigit()
-    per = max(n, 1)
+    marks = sum(map(text.count, "!?"))
     features = (
-        math.log1p(symbols / per),
+        symbols / max(symbols + n, 1),
         upper / max(letters, 1),
         letters / max(len(text), 1),
-        math.log1p(sum(map(text.count, "!?")) / per),
-        math.log1p(chars / per),
+        marks / max(marks + n, 1),
+        chars / max(chars + WORD_CHARS * n, 1),
         digits / max(chars, 1),
     )
     return (n, chars, symbols, duplicates, repeats), features
@@ -202,15 +204,11 @@ def _measured(docs: DataFrame) -> DataFrame:
     return common.with_arrow_columns(docs, ["text"], "failed boolean, features array<double>", make).where("not failed").drop("text", "failed")
 
 
-def ranges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Each feature's minimum and maximum over all documents that pass the base rules; None without any."""
-    at = [F.element_at("features", i + 1) for i in range(FEATURES)]
-    row = _measured(docs.select("text")).agg(*map(F.min, at), *map(F.max, at)).first()
-    return None if row[0] is None else (np.array(row[:FEATURES], float), np.array(row[FEATURES:], float))
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fits on the ranges of all documents and on LABELLED_ROWS labelled ones, chosen by a hash of doc_id.
+    """Fits on LABELLED_ROWS labelled documents, chosen by a hash of doc_id; splits fall anywhere from 0 to 1.
+
+    So a feature that all of them have alike is split as well, and no document, labelled or not, shifts the splits of
+    the others: an extreme row changes no verdict but its own.
 
     labels: doc_id, quality (0 or 1; several rows of one document count as its lowest, nulls are left out). Only rows
     that pass the base rules take part. Good and bad alike give the trees, which don't know the labels; these set the
@@ -223,8 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     found = _measured(once.select("text", "quality")).select("quality", "features").collect()
     found.sort(key=lambda r: r.features)  # the same model whatever order tasks end in
     known = np.array([r.features for r in found], float).reshape(-1, FEATURES)
-    low, high = (len(known) and ranges(docs)) or (None, None)
-    forest = fit_forest(known, low, high)
+    forest = fit_forest(known, np.zeros(FEATURES), np.ones(FEATURES))
     return QualityModel(forest, calibrate(forest.score(known), np.array([r.quality == 1 for r in found], bool)))
 
 

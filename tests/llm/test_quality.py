@@ -143,21 +143,39 @@ def test_nulls_clashing_names_and_empty_tables(spark):
     assert quality.filter_documents(docs.limit(0), none).count() == 0
 
 
-def test_ranges_cover_every_document(spark):
-    """One document among 9,000 holds symbols and digits; only its row gives these features a range."""
-    prose = "plain words follow each other here without any sign at all and then end number {} too"
-    rows = [(i, prose.format("abcdefghij"[i % 10] * (i % 7 + 1))) for i in range(9000)]
-    for at in (17, 4242, 8999):  # wherever a hash of doc_id puts it
-        odd = [(i, "| 12345 " * 2 + prose if i == at else t) for i, t in rows]
-        low, high = quality.ranges(spark.createDataFrame(odd, "doc_id long, text string"))
-        want = np.array([quality.statistics(t)[1] for _, t in odd])
-        assert low == pytest.approx(want.min(axis=0)) and high == pytest.approx(want.max(axis=0))
-        assert high[0] > 0 and high[5] > 0
-    assert quality.ranges(spark.createDataFrame([(1, "too short"), (2, None)], "doc_id long, text string")) is None
+EXTREME = ["w " * 12 + "#" * 200_000 + " " + "!" * 200_000, "#" * 10_000 + " a" * 12, "7" * 300_000 + " a" * 12, "a" * 500_000 + " b" * 12, "\U00020000 " * 30_000, "A" * 1000 + "! ?" * 9]
+
+
+@pytest.mark.parametrize("text", [None, "", "!", "#", "?" * 40, " " * 9, *EXTREME])
+def test_features_are_shares(text):
+    features = quality.statistics(text)[1]
+    assert len(features) == quality.FEATURES and all(0 <= f <= 1 for f in features)
+
+
+def test_an_extreme_document_changes_no_verdict_but_its_own(spark):
+    docs, labels = common.table(spark, SMALL, "documents").select("doc_id", "text"), common.table(spark, SMALL, "labels")
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(EXTREME)], "doc_id long, text string")
+    verdicts = lambda rows: {r.doc_id: (r.kept, r.anomaly) for r in quality.judge(rows, quality.fit(rows, labels)).collect()}
+    before, after = verdicts(docs), verdicts(docs.union(odd))
+    assert {d: v for d, v in after.items() if d >= 0} == before and len(after) == len(before) + len(EXTREME)
+    assert not after[-1][0] and not after[-2][0]
+
+
+def test_held_out_rows_are_judged_as_well(spark):
+    """A forest and threshold from four fifths of the labelled rows, held against the others."""
+    texts = {r.doc_id: r.text for r in common.table(spark, SMALL, "documents").collect()}
+    found = {r.doc_id: (quality.statistics(texts[r.doc_id]), r.quality == 1) for r in common.table(spark, SMALL, "labels").collect() if r.doc_id in texts}
+    rows = [(f, good) for _, ((base, f), good) in sorted(found.items()) if not quality._base_failed(base)]
+    fitted, held = [r for i, r in enumerate(rows) if i % 5], rows[::5]
+    forest = quality.fit_forest(np.array([f for f, _ in fitted]), np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    cut = quality.calibrate(forest.score(np.array([f for f, _ in fitted])), np.array([g for _, g in fitted]))
+    gone = forest.score(np.array([f for f, _ in held])) > cut
+    good = np.array([g for _, g in held])
+    assert gone[~good].mean() >= 0.9 and gone[good].mean() <= 0.03
 
 
 def test_unsampled_kinds_of_anomaly_are_split(spark):
-    """Good and bad labelled rows have no '|'; a forest that knows the corpus range still sets the one table apart."""
+    """Good and bad labelled rows have no '|'; splits from 0 to 1 reach the one table all the same."""
     rng = random.Random(3)
     vocabulary = [f"{a}{b}{c}" for a in "brtsl" for b in "aeiou" for c in "ndmk"]
     text = lambda: " ".join(rng.choice(vocabulary) for _ in range(80))
