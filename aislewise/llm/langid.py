@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
 
-#: Bounds of the training sample of each language: documents, characters of a document and bytes of the dictionary.
-MAX_DOCS, MAX_CHARS, DICT_BYTES = 400, 400, 32 << 10
+#: Bounds of the training sample of each language: documents, characters of a document and bytes of the dictionary. With
+#: letters of one byte all MAX_DOCS pieces fit; of other scripts whole pieces as far as they fit.
+MAX_DOCS, MAX_CHARS, DICT_BYTES = 80, 400, 32 << 10
+#: Distinct labels of languages up to which a sample is taken; more are an error, as dictionaries go to every task.
+MAX_LANGS = 8192
 #: Characters that one frame holds: every part of a text, however long, meets the dictionary.
 PIECE = 8192
 #: How many times MAX_DOCS ids of a language are ranked.
@@ -52,14 +55,17 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
     ids alone are ranked, so texts of the chosen rows only reach the driver: MAX_CHARS of each, from a place in the
     whole text that a hash of doc_id chooses. However often a doc_id repeats, it is one document, with its least text.
     A language's ids are thinned by their hash to about THINNED times max_docs before they are ranked, so no task gets
-    all ids of a language. The result is bounded by the number of languages.
+    all ids of a language. A dictionary holds whole pieces, in order of the hash, until the next would not fit into
+    DICT_BYTES. Over MAX_LANGS languages are a ValueError, so what is broadcast and collected is bounded.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null")
-    many = F.broadcast(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")))  # one row a language
+    found = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages")
+    many = F.broadcast(docs.sparkSession.createDataFrame(found, "lang string, ids long"))
     place = F.xxhash64("doc_id")
-    thin = F.pmod(place, F.lit(1 << 30)) * F.col("ids") < (1 << 30) * THINNED * max_docs
-    ids = labelled.select("doc_id", "lang").join(many, "lang").where(thin).select("doc_id", "lang").distinct()
-    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = labelled.select("doc_id", "lang").join(many, "lang").where(_thinned(place, F.col("ids"), max_docs)).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), place, "doc_id")  # as ids are thinned
     ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("doc_id", "lang")
     start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - MAX_CHARS, F.lit(0)) + 1) + 1
     chosen = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
@@ -67,7 +73,23 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, bytes]:
     texts: dict[str, dict[str, None]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         texts.setdefault(row.lang, {}).setdefault(letters_only(row.text))
-    return {lang: "".join(own).encode()[-DICT_BYTES:] for lang, own in texts.items() if any(own)}
+    return {lang: own for lang, pieces in texts.items() if (own := _dictionary(pieces))}
+
+
+def _thinned(place: Column, ids: Column, max_docs: int) -> Column:
+    """Whether a hash is among the share of a language's ids that is ranked; in doubles, so that no count overflows."""
+    return F.pmod(place, F.lit(1 << 30)) < float((1 << 30) * THINNED * max_docs) / ids.cast("double")
+
+
+def _dictionary(pieces: Iterable[str]) -> bytes:
+    """Whole pieces in order, up to the first that DICT_BYTES has no room for."""
+    out = b""
+    for piece in pieces:
+        own = piece.encode("utf-8", "surrogatepass")
+        if len(out) + len(own) > DICT_BYTES:
+            break
+        out += own
+    return out
 
 
 def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:

@@ -52,6 +52,63 @@ def plain_predict(dictionaries, text):
     return best, 1 - sizes[best] / min(s for k, s in sizes.items() if k != best)
 
 
+def plain_sample(rows):
+    """The dictionaries of (doc_id, text, lang) rows by Python loops; hashes are asked of Spark."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    spark = SparkSession.active()
+    hashes = spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", F.lit("place")).alias("p")).distinct().collect()
+    hashes = {r.doc_id: (r.h, r.p) for r in hashes}
+    least = {}
+    for doc_id, text, lang in rows:
+        if lang is not None and text is not None:
+            least[lang, doc_id] = min(text, least.get((lang, doc_id), text), key=lambda t: t.encode())
+    out = {}
+    for lang in {k[0] for k in least}:
+        own, pieces = sorted((hashes[d][0] % (1 << 30), hashes[d][0], d, t) for (g, d), t in least.items() if g == lang)[: langid.MAX_DOCS], []
+        for _, d, text in sorted(own_row[1:] for own_row in own):
+            start = hashes[d][1] % (max(len(text) - langid.MAX_CHARS, 0) + 1)
+            words = "".join(c if c.isalpha() else " " for c in text[start : start + langid.MAX_CHARS].lower()).split()
+            if words and (piece := f" {' '.join(words)} ") not in pieces:
+                pieces.append(piece)
+        whole = b""
+        for piece in pieces:
+            if len(whole) + len(piece.encode()) > langid.DICT_BYTES:
+                break
+            whole += piece.encode()
+        out[lang] = whole
+    return out
+
+
+def test_sample_equals_a_plain_one(spark):
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text", "lang")
+    own = langid.sample(docs)
+    assert own == plain_sample([tuple(r) for r in docs.collect()])
+    assert all(len(d) > 20_000 and d.endswith(b" ") for d in own.values())
+
+
+def test_thinning_does_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    share = lambda ids: rows.where(langid._thinned(F.col("h"), F.lit(ids).cast("long"), 80)).count()
+    assert share(20_000_000_000) == 0 and share(2**62) == 0 and share(100) == 200_000
+    assert abs(share(3200) - 20_000) < 1000  # a tenth
+
+
+def test_dictionaries_end_at_a_piece(monkeypatch):
+    monkeypatch.setattr(langid, "DICT_BYTES", 10)
+    assert langid._dictionary([" abc ", " \u00e9\u00e9\u00e9 ", " x "]) == b" abc "
+    assert langid._dictionary([" abc ", " d ", " too long "]) == b" abc  d "
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    with pytest.raises(ValueError, match="over 2 languages"):
+        train(spark)
+
+
 def test_query_equals_a_plain_version(spark):
     import pyspark.sql.functions as F
 
