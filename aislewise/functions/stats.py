@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from aislewise.functions.scans import Running, in_cells, scan, scan_cells
+
 Z = 1.96
 
 
@@ -28,13 +29,12 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Col
 def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
     """Value at rank round(p/100 * (n-1)), halves to even, per group; columns p50, ... and n (A5).
 
-    Values are counted before they are ordered, and the counts are summed by running_sums(), so no group is one task's.
+    Values are counted before they are ordered, and their running counts go over cells of equal depth, so no group is one task's.
     Nulls are left out.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    counts = in_cells(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k")), by, [value])
     total = counts.groupBy(*by).agg(F.sum("k").alias("n"))
-    ranked = running_sums(counts, value, ["k"], by)
-    ranked = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))  # a single row
+    ranked = _with_group(scan_cells(counts, by, [value], {"cum_k": Running("k")}), total, by)
     at = lambda p: F.bround(F.lit(p) / 100.0 * (F.col("n") - 1), 0).cast("long")
     return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("cum_k") > at(p), F.col(value))).alias(f"p{p}") for p in percents], F.max("n").alias("n"))
 
@@ -76,12 +76,11 @@ def weighted_line(df: DataFrame, by: list[str], x: str, y: str, weight: str, cap
 def ks_two_sample(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     """d, p, n1, n2: largest distance of two samples' distribution functions.
 
-    Values are counted before they are ordered, and the running counts go over the ordered distinct values in ranges:
-    sums inside each range first, then sums of the ranges before it.
+    Values are counted before they are ordered, and the running counts go over the ordered distinct values in cells.
     """
-    counts = df.where(F.col(value).isNotNull() & is_first.isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(is_first).alias("a"), F.count_if(~is_first).alias("b"))
+    counts = in_cells(df.where(F.col(value).isNotNull() & is_first.isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(is_first).alias("a"), F.count_if(~is_first).alias("b")), [], ["v"])
     total = counts.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
-    cum = running_sums(counts, "v", ["a", "b"])
+    cum = scan_cells(counts, [], ["v"], {"cum_a": Running("a"), "cum_b": Running("b")})
     d = cum.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("cum_a") / F.col("n1") - F.col("cum_b") / F.col("n2"))).alias("d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
     en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
     lam = (en + 0.12 + 0.11 / en) * F.col("d")
@@ -90,27 +89,36 @@ def ks_two_sample(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     return d.withColumn("lam", lam).select("d", p.alias("p"), "n1", "n2")
 
 
-def cells(df: DataFrame, order: str, n: int) -> DataFrame:
-    """df with _cell: which of n stretches of equal width, from the least to the largest value of order, a row is in."""
-    ends = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / n, F.lit(1e-300))
-    cell = F.least(F.lit(n - 1), F.floor((F.col(order).cast("double") - F.col("_lo")) / width)).cast("int")
-    return df.crossJoin(F.broadcast(ends)).withColumn("_cell", cell).drop("_lo", "_hi")  # a single row
+def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] = (), n: int | None = None) -> DataFrame:
+    """df with cum_<c> for each c: the sum over all rows of the group up to this one in `order` (distinct values in a group)."""
+    return scan(df, by, [order], {f"cum_{c}": Running(c) for c in sums}, n)
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] = (), n: int = 4096) -> DataFrame:
-    """df with cum_<c> for each c: the sum over all rows of the group up to this one in `order` (distinct values in a group).
+def percentiles_cont(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles per group (A4): by, and for each name of shares the value at rank share * (n - 1).
 
-    Sums inside each of n cells of the order first, then over the cells before, so no group is one task's.
+    Values are counted before they are ordered, and ranks come from running counts over cells, so no buffer holds a
+    group's values. Between two ranks the line between their values counts; groups without a value are left out.
     """
-    parts = cells(df, order, n)
-    inside = W.partitionBy(*by, "_cell").orderBy(order)
-    parts = parts.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums})
-    before = cells(df, order, n).groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # at most n rows a group
-    before = before.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_cell").alias("_c"), *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    on = F.col("_cell") == F.col("_c")
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = parts.join(before, on)
-    return out.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in sums])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    celled = in_cells(counts, by, ["_v"])
+    total = celled.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    ranked = scan_cells(celled, by, ["_v"], {"_upto": Running("_k")})
+    ranked = _with_group(ranked, total, by)
+    place = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v"))).cast("double")
+    ends = [c for name, p in shares.items() for c in (at(F.floor(place(p))).alias(f"_lo_{name}"), at(F.ceil(place(p))).alias(f"_hi_{name}"))]
+    found = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    part = lambda p: place(p) - F.floor(place(p))
+    return found.select(*by, *[(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * part(p)).alias(name) for name, p in shares.items()])
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of groups, one row a group; nulls are a group."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))  # a single row
+    named = groups.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(by)})
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(named, on).drop(*[f"_g{i}" for i in range(len(by))])

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aislewise.functions import buckets as B
-from aislewise.functions.stats import cells, wilson
+from aislewise.functions.scans import Running, scan
+from aislewise.functions.shared import stored
+from aislewise.functions.stats import percentiles_cont, wilson
 
 
 def incident_table(log: DataFrame, actions: DataFrame | None = None) -> DataFrame:
@@ -123,16 +125,12 @@ def processing_latency(incidents: DataFrame, events: DataFrame, grace_ms: int) -
 
     incidents: store_id, incident_id, detected_ms, created_ms; events: store_id, t_ms, received_ms. Null where no event
     was stored (unmeasured); negative values count as 0. The minimum over all later events is a running minimum from the
-    end of each store's time line, inside cells of time first and then over the cells after, so no store is one task's.
+    end of each store's time line, over cells, so no store is one task's.
     """
     moments = events.groupBy("store_id", "t_ms").agg(F.min("received_ms").alias("received_ms")).select("store_id", "t_ms", "received_ms", F.lit(None).cast("string").alias("incident_id"), F.lit(None).cast("long").alias("created_ms"))
     asked = incidents.select("store_id", (F.col("detected_ms") + grace_ms).alias("t_ms"), F.lit(None).cast("long").alias("received_ms"), F.col("incident_id").cast("string"), "created_ms")
-    both = moments.union(asked)
-    later = W.partitionBy("store_id", "_cell").orderBy(F.desc("t_ms"), F.col("incident_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    inside = cells(both, "t_ms", 4096).withColumn("_in", F.min("received_ms").over(later)).where("incident_id is not null")
-    least = cells(both, "t_ms", 4096).groupBy("store_id", "_cell").agg(F.min("received_ms").alias("_least"))
-    after = W.partitionBy("store_id").orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)  # at most 4096 rows a store
-    both = inside.join(least.withColumn("_after", F.min("_least").over(after)).drop("_least"), ["store_id", "_cell"]).withColumn("first_ms", F.least("_in", "_after"))
+    order = ["t_ms", F.col("incident_id").asc_nulls_last()]  # events of the decision's instant come after it
+    both = scan(moments.union(asked), ["store_id"], order, {"first_ms": Running("received_ms", "min", backward=True)}).where("incident_id is not null")
     latency = F.greatest(F.lit(0).cast("long"), F.col("created_ms") - F.col("first_ms"))
     return both.select("store_id", "incident_id", F.when(F.col("first_ms").isNotNull(), latency).alias("latency_ms"))
 
@@ -145,12 +143,13 @@ def review_metrics(incidents: DataFrame, actions: DataFrame) -> DataFrame:
     touch = actions.groupBy("incident_id").agg(F.min("at_ms").alias("touch_ms"))
     decided = actions.where("decision is not null").groupBy("incident_id").agg(F.max_by(F.struct("decision", "at_ms"), F.struct("at_ms", "seq")).alias("d"))
     j = incidents.join(touch, "incident_id", "left").join(decided, "incident_id", "left")
+    j = stored(j.select("rule_id", "d", "touch_ms", (F.col("touch_ms") - F.col("created_ms")).alias("touched"), (F.col("d.at_ms") - F.col("created_ms")).alias("decided")), "reviewed")
     out = j.groupBy("rule_id").agg(
         F.count("*").alias("incidents"), F.count("touch_ms").alias("acted"), F.count("d").alias("decided"),
         F.count_if(F.col("d.decision") == "CONFIRMED").alias("confirmed"), F.count_if(F.col("d.decision") == "DISMISSED").alias("dismissed"),
-        F.expr("percentile_cont(0.5) within group (order by touch_ms - created_ms)").alias("touch_p50"), F.expr("percentile_cont(0.9) within group (order by touch_ms - created_ms)").alias("touch_p90"),
-        F.expr("percentile_cont(0.5) within group (order by d.at_ms - created_ms)").alias("decide_p50"),
     )
+    touched = percentiles_cont(j, ["rule_id"], "touched", {"touch_p50": 0.5, "touch_p90": 0.9})
+    out = out.join(touched, "rule_id", "left").join(percentiles_cont(j, ["rule_id"], "decided", {"decide_p50": 0.5}), "rule_id", "left")
     low, high = wilson(F.col("confirmed"), F.col("decided"))
     return out.withColumns({"undecided": F.col("acted") - F.col("decided"), "confirm_rate": F.col("confirmed") / F.nullif(F.col("decided"), F.lit(0)), "rate_low": low, "rate_high": high})
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.buckets import tumbling_start
 from aislewise.functions.ids import incident_id
-from aislewise.functions.stats import cells
+from aislewise.functions.scans import Running, scan
+from aislewise.functions.shared import stored
 
 KEY = ["store_id", "run_id"]
 
@@ -61,27 +62,9 @@ def first_of_duplicates(events: DataFrame) -> DataFrame:
     return run(events).join(run(first).drop("run_id"), ["store_id", "_r", "id", "arrival"], "left_semi").drop("_r")
 
 
-def running_max(df: DataFrame, keys: list[str], order: str, value: str, n: int = 4096) -> DataFrame:
-    """df with before_max: the largest value of earlier rows of the key.
-
-    The order is cut into n cells of equal width: maxima inside each cell of a key, then over the few maxima of the cells
-    before it, so a store with a third of all events is spread over tasks.
-    """
-    cut = cells(df, order, n)
-    inside = cut.withColumn("_in", F.max(value).over(W.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
-    tops = cells(df, order, n).groupBy(*keys, "_cell").agg(F.max(value).alias("_top"))
-    carry = tops.withColumn("_carry", F.max("_top").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))).drop("_top")
-    carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), "_carry")
-    on = (inside["_cell"] == carry["_c"]) & _all(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))
-    out = inside.join(carry, on, "left")
-    return out.withColumn("before_max", F.greatest("_in", "_carry")).select(*df.columns, "before_max")
-
-
-def _all(conditions) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+def running_max(df: DataFrame, keys: list[str], order: str, value: str, n: int | None = None) -> DataFrame:
+    """df with before_max: the largest value of earlier rows of the key; a store with a third of all events is spread over cells."""
+    return scan(df, keys, [order], {"before_max": Running(value, "max", exclusive=True)}, n)
 
 
 def late_split(events: DataFrame, grace: int) -> DataFrame:
@@ -92,7 +75,7 @@ def late_split(events: DataFrame, grace: int) -> DataFrame:
 
 def released(events: DataFrame, grace: int) -> DataFrame:
     """What the rules see: first of duplicates, on time, at or behind the final watermark, with that watermark as wm."""
-    own = late_split(first_of_duplicates(events), grace).where("not late").drop("late")
+    own = stored(late_split(first_of_duplicates(events), grace).where("not late").drop("late"), "released")
     wm = own.groupBy(*KEY).agg((F.max("t_ms") - grace).alias("wm")).select(F.col("store_id").alias("_s"), F.col("run_id").alias("_r"), "wm")
     return own.join(wm, (F.col("store_id") == F.col("_s")) & F.col("run_id").eqNullSafe(F.col("_r"))).drop("_s", "_r").where("t_ms <= wm")
 

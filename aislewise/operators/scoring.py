@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aislewise.functions.stats import cells, error_summary, nearest_rank, precision_recall_f1, wilson
+from aislewise.functions.scans import Running, scan
+from aislewise.functions.shared import stored
+from aislewise.functions.stats import error_summary, nearest_rank, precision_recall_f1, wilson
 
 from .assignment import in_order
 
@@ -55,6 +57,7 @@ def matches(truth: DataFrame, incidents: DataFrame, before_ms: int = 5_000, max_
 
 def rule_scores(truth: DataFrame, incidents: DataFrame, matched: DataFrame) -> DataFrame:
     """tp, fp, fn, precision, recall, F1, their Wilson intervals and latency percentiles by rule."""
+    matched = stored(matched, "matched")
     n_t = truth.groupBy("rule_id").agg(F.count("*").alias("truths"))
     n_i = incidents.where("kind = 'OPENED'").groupBy("rule_id").agg(F.count("*").alias("opened"))
     tp = matched.groupBy("rule_id").agg(F.count("*").alias("tp"), F.max("latency_ms").alias("latency_max"))
@@ -111,15 +114,11 @@ def worst_drops(base: DataFrame, noisy: DataFrame, keys: list[str], top: int = 5
 def counts_at(changes: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
     """samples (by, t_ms) with the value after every change at or before t; 0 before the first (J6). changes: by, t_ms, seq, value.
 
-    The last change is looked for in a sample's own cell of time, then in the cells before, so no key is one task's.
+    Changes and samples are one order in which the last value runs on over cells, so no key is one task's.
     """
     rows = changes.select(*by, "t_ms", F.lit(0).alias("_kind"), "seq", F.col("value").cast("long")).union(samples.select(*by, "t_ms", F.lit(1), F.lit(0).cast("long"), F.lit(None).cast("long")))
-    w = W.partitionBy(*by, "_cell").orderBy("t_ms", "_kind", "seq").rowsBetween(W.unboundedPreceding, 0)
-    inside = cells(rows, "t_ms", 4096).withColumn("_in", F.last("value", True).over(w)).where("_kind = 1")
-    last = cells(rows, "t_ms", 4096).groupBy(*by, "_cell").agg(F.max_by("value", F.when(F.col("_kind") == 0, F.struct("t_ms", "seq"))).alias("_last"))
-    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # at most 4096 rows a key
-    carried = last.withColumn("_before", F.last("_last", True).over(before)).drop("_last")
-    return inside.join(carried, [*by, "_cell"]).select(*by, "t_ms", F.coalesce("_in", "_before", F.lit(0).cast("long")).alias("count"))
+    last = scan(rows, by, ["t_ms", "_kind", "seq"], {"count": Running("value", "last")}).where("_kind = 1")
+    return last.select(*by, "t_ms", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
 def occupancy_changes(moves: DataFrame, by: list[str]) -> DataFrame:
@@ -129,8 +128,7 @@ def occupancy_changes(moves: DataFrame, by: list[str]) -> DataFrame:
     """
     own = W.partitionBy(*by, "track_id").orderBy("t_ms", "seq")
     step = F.col("inside") - F.coalesce(F.lag("inside").over(own), F.lit(0))
-    total = W.partitionBy(*by).orderBy("t_ms", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return moves.withColumn("_d", step).withColumn("value", F.sum("_d").over(total)).select(*by, "t_ms", "seq", "value")
+    return scan(moves.withColumn("_d", step), by, ["t_ms", "seq"], {"value": Running("_d")}).select(*by, "t_ms", "seq", "value")
 
 
 def count_scores(truth: DataFrame, changes: DataFrame, by: list[str], min_within: float = 0.95, max_mae: float = 0.5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions import buckets as B
 from aislewise.functions.money import round_half_up
+from aislewise.functions.scans import Clamped, scan
 
 from .billing import _ms, in_window
 
@@ -67,10 +68,8 @@ def occupancy(moves: DataFrame, keys: list[str], sign: Column) -> DataFrame:
 
 def clamped_occupancy(moves: DataFrame, keys: list[str], order: list[str], sign: str) -> DataFrame:
     """People inside when every exit of an empty place is ignored (W21): the running sum less its lowest value below 0."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    run = moves.withColumn("_run", F.sum(sign).over(w))
-    last = F.max_by("_run", F.struct(*order))
-    return run.groupBy(*keys).agg((last - F.least(F.lit(0), F.min("_run"))).cast("long").alias("occupancy"))
+    run = scan(moves, keys, order, {"_inside": Clamped(sign)})
+    return run.groupBy(*keys).agg(F.max_by("_inside", F.struct(*order)).cast("long").alias("occupancy"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislewise.functions.buckets import to_ms
+from aislewise.functions.shared import scratch  # noqa: F401
 
 ZONE = "Asia/Kolkata"
 
@@ -17,16 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path for files that a query writes and reads again, in the folder that the cluster names for such data."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="aislewise-")
-    return f"{folder.rstrip('/')}/aislewise/{label}-{uuid.uuid4().hex}"
-
-
 def minor(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from aislewise.functions.buckets import from_ms, local
+from aislewise.functions.scans import Running, scan
 from aislewise.schemas import ENVELOPE
 
 
@@ -150,8 +151,8 @@ def outbox_stats(outbox: DataFrame) -> DataFrame:
 def outbox_evictions(outbox: DataFrame, quota_bytes: int) -> DataFrame:
     """Oldest sent rows whose removal brings each source under its quota."""
     total = outbox.groupBy("source").agg(F.sum("bytes").alias("_total"))
-    sent = outbox.where("state = 'sent'").withColumn("_freed", F.coalesce(F.sum("bytes").over(W.partitionBy("source").orderBy("sequence").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return sent.join(total, "source").where(F.col("_total") - F.col("_freed") > quota_bytes).select("source", "sequence")
+    sent = scan(outbox.where("state = 'sent'"), ["source"], ["sequence"], {"_freed": Running("bytes", exclusive=True)})
+    return sent.join(total, "source").where(F.col("_total") - F.coalesce("_freed", F.lit(0)) > quota_bytes).select("source", "sequence")
 
 
 def outbox_claims(outbox: DataFrame, batch: int = 500, most_tries: int = 10) -> DataFrame:
@@ -162,8 +163,8 @@ def outbox_claims(outbox: DataFrame, batch: int = 500, most_tries: int = 10) ->
     """
     dead = outbox.where((F.col("state") == "pending") & (F.col("tries") >= most_tries)).groupBy("source").agg(F.min("sequence").alias("_dead"))
     ready = outbox.where("state = 'pending'").join(dead, "source", "left").where(F.col("_dead").isNull() | (F.col("sequence") < F.col("_dead"))).drop("_dead")
-    place = F.row_number().over(W.partitionBy("source").orderBy("sequence")) - 1
-    return ready.withColumn("batch_no", F.floor(place / batch))
+    counted = scan(ready.withColumn("_one", F.lit(1)), ["source"], ["sequence"], {"_upto": Running("_one")})
+    return counted.withColumn("batch_no", F.floor((F.col("_upto") - 1) / batch)).drop("_one", "_upto")
 
 
 def after_relay(outbox: DataFrame, answers: DataFrame) -> DataFrame:
