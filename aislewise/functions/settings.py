@@ -6,6 +6,9 @@ import re
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _DURATION = re.compile(r"P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?")
 _VERSION = re.compile(r"(\d+)\.(\d+)\.(\d+)")
 _ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._:-]{0,63}")
@@ -60,5 +63,25 @@ def checked_window(store_id: str, start: datetime, end: datetime, zone: str, buc
         raise ValueError(f"at most {SPANS[bucket].days} days by {bucket}")
 
 
+def duration_ms_of(text: Column) -> Column:
+    """duration_ms() of a column; null where a text is no duration."""
+    form = f"^{_DURATION.pattern}$"
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, form, i), F.lit("")).cast("decimal(20,6)"), F.lit(0))
+    known = text.rlike(form) & text.rlike(r"\d")
+    return F.when(known, F.bround((part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4)) * 1000, 0).cast("long"))
+
+
+def version_of(text: Column) -> Column:
+    """Major, minor and patch of a version as a struct, which orders as versions do; null where a text is none."""
+    form = f"^{_VERSION.pattern}$"
+    numbers = [F.regexp_extract(text, form, i).try_cast("long").alias(n) for i, n in enumerate(("major", "minor", "patch"), 1)]
+    return F.when(text.rlike(form), F.struct(*numbers))
+
+
+def limit_of(limit: Column, least: int = 1, most: int = 1000) -> Column:
+    """checked_limit() of a column."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), limit)).cast("long")
+
+
 def checked_limit(limit: int, least: int = 1, most: int = 1000) -> int:
     return max(least, min(most, limit))

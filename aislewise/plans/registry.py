@@ -12,9 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislewise.plans import billing_queries, event_queries, import_queries, report_queries, source_queries, vision_queries
+from aislewise.plans import billing_queries, event_queries, import_queries, live_queries, report_queries, source_queries, vision_queries
 
-_MODULES = (billing_queries, event_queries, vision_queries, import_queries, source_queries, report_queries)
+_MODULES = (billing_queries, event_queries, vision_queries, import_queries, source_queries, report_queries, live_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
