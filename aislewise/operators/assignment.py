@@ -82,9 +82,13 @@ def in_order(a: np.ndarray, b: np.ndarray, before: int, after: int) -> tuple[np.
 
     It has as many pairs as possible and of those the least sum of distances. Crossing pairs can be swapped without a
     loss, as every row has the same window, so a table over both in order is enough, and row i of it only changes for the
-    partners in i's window. Totals must stay under 2**40.
+    partners in i's window. ValueError where the totals of so many pairs and so wide a window exceed 62 bits.
     """
-    pair = np.int64(1) << 40  # one pair more goes before any distance
+    pairs = min(len(a), len(b))
+    weight = pairs * max(before, after, 0) + 1  # one pair more goes before any distances
+    if pairs * weight >= 1 << 62:
+        raise ValueError(f"{pairs} pairs in one cluster are too many for windows of {max(before, after)}")
+    pair = np.int64(weight)
     low, high = np.searchsorted(b, a - before, "left"), np.searchsorted(b, a + after, "right")
     best, first = np.zeros(1, np.int64), 0  # best[k]: value of the rows so far with the partners before first + k
     taken: list[np.ndarray] = []

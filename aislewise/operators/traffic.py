@@ -119,3 +119,17 @@ def floor_rows(state: DataFrame, zones: DataFrame, alerts: DataFrame) -> DataFra
     """A row per zone of the layout: people inside and alert."""
     people = state.where("kind = 'zone'").select(F.col("id").alias("zone_id"), F.col("value").alias("people"))
     return zones.join(people, "zone_id", "left").join(alerts, "zone_id", "left").select("zone_id", F.coalesce("people", F.lit(0)).alias("people"), F.col("severity").alias("alert"))
+
+
+def queue_rows(queues: DataFrame, zones: DataFrame, registers: DataFrame, lengths: DataFrame, alerts: DataFrame) -> DataFrame:
+    """A row per queue of the layout (R12): its zone, people waiting, open registers, registers that serve it, alert of its zone.
+
+    queues: queue_id, zone_id, position; zones: zone_id, name; registers: register_id, queue_id (null: the first queue);
+    lengths: queue_id, t_ms, arrival, length, open_registers (events; the last of a queue counts); alerts: zone_id, severity.
+    A queue without events has nobody waiting; a zone without a name is shown by its id.
+    """
+    now = latest(lengths, ["queue_id"], ["t_ms", "arrival"], ["length", "open_registers"])
+    serving = registers_of_queues(queues.select("queue_id", "position"), registers).groupBy("queue_id").agg(F.count("*").alias("registers"))
+    rows = queues.join(zones, "zone_id", "left").join(now, "queue_id", "left").join(serving, "queue_id", "left").join(alerts, "zone_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.select("queue_id", F.coalesce("name", "zone_id").alias("zone"), zero("length").alias("waiting"), zero("open_registers").alias("open_registers"), zero("registers").alias("registers"), F.col("severity").alias("alert"))

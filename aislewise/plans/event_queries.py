@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions import buckets as B
 from aislewise.functions import money, stats
+from aislewise.functions.shared import stored
 from aislewise.operators import billing, fold, incidents, ingest, rules, scoring, traffic
 from aislewise.plans import proxies as P
 from aislewise.plans.proxies import ZONE, table
@@ -95,14 +96,15 @@ def rule_fold(spark, d):
 
 def incident_upsert(spark, d):
     actions = P.events(spark, d).where("event_type = 'error'").select(F.col("event_id"), F.col("t_ms").alias("at_ms"), F.when(F.col("k") % 2 == 0, "ACKNOWLEDGED").otherwise("CONFIRMED").alias("status"))
-    log = rules.queue_alerts(P.rule_events(spark, d), RULES)
+    log = stored(rules.queue_alerts(P.rule_events(spark, d), RULES), "alerts")
     ids = log.select("incident_id", "onset_ms").distinct()
-    touched = ids.join(actions, ids["onset_ms"] % 1000 == F.col("event_id") % 1000).select("incident_id", "at_ms", "status")
+    first = ids.groupBy((F.col("onset_ms") % 1000).alias("turn")).agg(F.min("incident_id").alias("incident_id"))  # an action is of one incident
+    touched = first.join(actions, F.col("turn") == F.col("event_id") % 1000).select("incident_id", "at_ms", "status")
     return incidents.incident_table(log, touched)
 
 
 _UPSERT = f"""WITH log AS ({_QUEUE}), act AS (SELECT i.incident_id, (epoch_us(ts) // 1000) AS at_ms, CASE WHEN (props->>'k')::INT % 2 = 0 THEN 'ACKNOWLEDGED' ELSE 'CONFIRMED' END AS status
- FROM (SELECT DISTINCT incident_id, onset_ms FROM log) i JOIN events ON i.onset_ms % 1000 = event_id % 1000 WHERE event_type = 'error'),
+ FROM (SELECT onset_ms % 1000 AS turn, min(incident_id) AS incident_id FROM log GROUP BY 1) i JOIN events ON i.turn = event_id % 1000 WHERE event_type = 'error'),
 f AS (SELECT incident_id, min(onset_ms) FILTER (kind = 'OPENED') AS onset_ms, min(detected_ms) FILTER (kind = 'OPENED') AS detected_ms, min(detected_ms) FILTER (kind = 'RESOLVED') AS resolved_ms FROM log GROUP BY 1),
 a AS (SELECT incident_id, arg_max(status, (at_ms, status)) AS st, count(*) AS n FROM act GROUP BY 1),
 j AS (SELECT f.*, coalesce(st, 'OPEN') AS s, coalesce(n, 0) AS n FROM f LEFT JOIN a USING (incident_id) WHERE detected_ms IS NOT NULL)
@@ -192,7 +194,7 @@ def incident_timeline(spark, d):
     e = P.events(spark, d).where("event_type = 'click'")
     tills = e.select(F.lit("s1").alias("store_id"), P.null_run(), "t_ms", F.concat(F.lit("r"), F.col("user_id") % 5).alias("till_id"), F.when(F.col("k") % 2 == 0, "void").otherwise("open").alias("kind"), F.col("k").alias("amount_minor"))
     serving = spark.range(16).select(F.concat(F.lit("q"), "id").alias("queue_id"), F.concat(F.lit("r"), F.col("id") % 5).alias("register_id"))
-    return incidents.timeline(_some_incidents(spark, d), P.rule_events(spark, d), cap=40, tills=tills, serving=serving)
+    return incidents.timeline(_some_incidents(spark, d), P.rule_events(spark, d), tills=tills, serving=serving)
 
 
 _TIMELINE = f"""WITH {_EV.split(',' + chr(10) + 'late')[0]}, i0 AS (SELECT event_id::VARCHAR AS incident_id, (epoch_us(ts) // 1000) AS o, (epoch_us(ts) // 1000) + 60000 AS dt, CASE WHEN (props->>'k')::INT % 2 = 0 THEN (epoch_us(ts) // 1000) + (props->>'k')::INT * 120000 END AS r,
@@ -205,7 +207,7 @@ g AS (SELECT incident_id, a, unnest(generate_series(a, b, 60000)) AS t_ms, z, b
 n AS (SELECT g.incident_id, 'zone' AS kind, g.t_ms, (SELECT count(*) FROM e WHERE ty = 'view' AND 'z' || (u % 3) = g.z AND t >= g.t_ms AND t < g.t_ms + 60000 AND t <= g.b)::BIGINT AS value FROM g),
 y AS (SELECT incident_id, 'till.' || CASE WHEN (props->>'k')::INT % 2 = 0 THEN 'void' ELSE 'open' END AS kind, epoch_us(ts) // 1000 AS t_ms, (props->>'k')::BIGINT AS value FROM i JOIN events ON event_type = 'click' AND user_id % 5 = substr(q, 2)::INT % 5 AND epoch_us(ts) // 1000 BETWEEN a AND b),
 x AS (SELECT * FROM c UNION ALL SELECT * FROM s UNION ALL SELECT * FROM m UNION ALL SELECT * FROM n UNION ALL SELECT * FROM y)
-SELECT *, count(*) OVER (PARTITION BY incident_id, kind IN ('queue', 'zone')) > 40 AS truncated FROM x QUALIFY row_number() OVER (PARTITION BY incident_id, kind IN ('queue', 'zone') ORDER BY t_ms, kind, value) <= 40"""
+SELECT *, count(*) OVER (PARTITION BY incident_id, kind IN ('queue', 'zone')) > 500 AS truncated FROM x QUALIFY row_number() OVER (PARTITION BY incident_id, kind IN ('queue', 'zone') ORDER BY t_ms, kind, value) <= 500"""
 
 
 def processing_latency(spark, d):

@@ -146,16 +146,34 @@ def floor_table(spark, d):
     e = P.events(spark, d)
     zone = F.concat(F.lit("z"), F.col("user_id") % 40)
     people = traffic.occupancy(e.where("event_type in ('view', 'click')").withColumn("zone_id", zone), ["zone_id"], F.when(F.col("event_type") == "view", 1).otherwise(-1))
-    alerts = traffic.alerting_zones(e.where("event_type = 'error' and k % 50 = 0").select(zone.alias("zone_id"), F.element_at(F.array(*map(F.lit, traffic.SEVERITIES)), (F.col("event_id") % 3 + 1).cast("int")).alias("severity")))
+    alerts = traffic.alerting_zones(e.where("event_type = 'error'").select(zone.alias("zone_id"), F.element_at(F.array(*map(F.lit, traffic.SEVERITIES)), (F.col("event_id") % 3 + 1).cast("int")).alias("severity")))
     zones = table(spark, d, "nation").select(F.concat(F.lit("z"), F.col("n_nationkey") * 2).alias("zone_id"))
     return traffic.floor_rows(people.select(F.lit("zone").alias("kind"), F.col("zone_id").alias("id"), F.col("occupancy").alias("value")), zones, alerts)
 
 
 _FLOOR = """WITH z AS (SELECT 'z' || (n_nationkey * 2) AS zone_id FROM nation), p AS (SELECT 'z' || (user_id % 40) AS zone_id, greatest(0, sum(CASE event_type WHEN 'view' THEN 1 ELSE -1 END))::BIGINT AS people FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
-a AS (SELECT 'z' || (user_id % 40) AS zone_id, max(event_id % 3) AS r FROM events WHERE event_type = 'error' AND (props->>'k')::INT % 50 = 0 GROUP BY 1)
+a AS (SELECT 'z' || (user_id % 40) AS zone_id, max(event_id % 3) AS r FROM events WHERE event_type = 'error' GROUP BY 1)
 SELECT zone_id, coalesce(people, 0) AS people, ['low', 'medium', 'high'][r + 1] AS alert FROM z LEFT JOIN p USING (zone_id) LEFT JOIN a USING (zone_id)"""
 
 
+def floor_queues(spark, d):
+    """Waiting people, registers and alerts of each queue of the layout."""
+    e = P.events(spark, d)
+    queues = table(spark, d, "nation").select(F.concat(F.lit("q"), "n_nationkey").alias("queue_id"), F.concat(F.lit("z"), F.col("n_nationkey") % 7).alias("zone_id"), (F.col("n_nationkey") * 7 % 25).alias("position"))
+    zones = table(spark, d, "region").select(F.concat(F.lit("z"), "r_regionkey").alias("zone_id"), F.col("r_name").alias("name"))
+    registers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("register_id"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("q"), "s_nationkey")).alias("queue_id"))
+    lengths = e.where("event_type = 'purchase'").select(F.concat(F.lit("q"), F.col("user_id") % 20).alias("queue_id"), "t_ms", F.col("event_id").alias("arrival"), F.floor(F.col("value") / 10).alias("length"), (F.col("k") % 4).alias("open_registers"))
+    errors = e.where("event_type = 'error'").select(F.concat(F.lit("z"), F.col("user_id") % 6).alias("zone_id"), F.element_at(F.array(*map(F.lit, traffic.SEVERITIES)), (F.col("user_id") % 3 + 1).cast("int")).alias("severity"))
+    return traffic.queue_rows(queues, zones, registers, lengths, traffic.alerting_zones(errors))
+
+
+_QUEUES = f"""WITH q AS (SELECT 'q' || n_nationkey AS queue_id, 'z' || (n_nationkey % 7) AS zone_id, n_nationkey * 7 % 25 AS position FROM nation), f AS (SELECT arg_min(queue_id, position) AS first FROM q),
+z AS (SELECT 'z' || r_regionkey AS zone_id, r_name AS name FROM region), g AS (SELECT CASE WHEN s_suppkey % 3 > 0 THEN 'q' || s_nationkey ELSE (SELECT first FROM f) END AS queue_id, count(*) AS registers FROM supplier GROUP BY 1),
+l AS (SELECT 'q' || (user_id % 20) AS queue_id, arg_max(floor(value / 10)::BIGINT, ({_MS}, event_id)) AS length, arg_max((props->>'k')::BIGINT % 4, ({_MS}, event_id)) AS open_registers FROM events WHERE event_type = 'purchase' GROUP BY 1),
+a AS (SELECT 'z' || (user_id % 6) AS zone_id, ['low', 'medium', 'high'][max(user_id % 3) + 1] AS alert FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT queue_id, coalesce(name, zone_id) AS zone, coalesce(length, 0) AS waiting, coalesce(open_registers, 0) AS open_registers, coalesce(registers, 0) AS registers, alert FROM q LEFT JOIN z USING (zone_id) LEFT JOIN g USING (queue_id) LEFT JOIN l USING (queue_id) LEFT JOIN a USING (zone_id)"""
+
+
 def queue_registers(spark, d):
     """Registers that serve each queue; those that name none serve the first."""
     queues = table(spark, d, "nation").select(F.concat(F.lit("q"), "n_nationkey").alias("queue_id"), (F.col("n_nationkey") * 7 % 25).alias("position"))
@@ -186,41 +204,6 @@ _PR = """WITH m AS (SELECT 't' || toxic AS sequence, doc_id * 7919 % 1000 / 1000
 SELECT sequence, threshold::DOUBLE AS threshold, round(sum(tp) / count(*), 9) AS precision, round(sum(tp) / max(n), 9) AS recall FROM m JOIN n USING (sequence), (VALUES (0.0), (0.25), (0.5), (0.9)) v(threshold) WHERE score >= threshold GROUP BY 1, 2"""
 
 
-def parameter_checks(spark, d):
-    """What the driver's checks say: durations, versions, rules documents, windows, profiles and row types."""
-    from datetime import datetime
-
-    from pyspark.sql.types import StructType
-
-    from aislewise.functions import settings
-    from aislewise.operators import importer
-
-    def tried(check, *given) -> str:
-        try:
-            return str(check(*given))
-        except ValueError as e:
-            return f"refused: {e}"
-
-    old = {"R-1": {"version": "1.2.0", "limit": 5}, "R-2": {"version": "1.0.0"}}
-    day = lambda n: datetime(2024, 1, n)
-    was, now = StructType.fromDDL("a int not null, b string, c struct<x: int, y: int>"), StructType.fromDDL("a bigint not null, b string not null, c struct<x: int>, d int not null")
-    rows = [
-        ("duration", "P1DT2H", tried(settings.duration_ms, "P1DT2H")), ("duration", "PT0.5S", tried(settings.duration_ms, "PT0.5S")), ("duration", "day", tried(settings.duration_ms, "day")[:23]),
-        ("version", "1.20.3", tried(settings.version, "1.20.3")), ("version", "1.2", tried(settings.version, "1.2")[:22]),
-        ("rules", "same", "; ".join(settings.replaced_rules(old, old))), ("rules", "changed", "; ".join(settings.replaced_rules(old, {"R-1": {"version": "1.2.0", "limit": 6}}))), ("rules", "back", "; ".join(settings.replaced_rules(old, {**old, "R-2": {"version": "0.9.0"}}))),
-        ("window", "good", tried(settings.checked_window, "s1", day(1), day(3), "Asia/Kolkata")), ("window", "long", tried(settings.checked_window, "s1", day(1), day(9), "Asia/Kolkata", "hour")), ("window", "id", tried(settings.checked_window, "s 1", day(1), day(3), "UTC")),
-        ("limit", "5000", str(settings.checked_limit(5000))), ("profile", "columns", "; ".join(f"{k}={v}" for k, v in importer.guessed_profile(["Bill No", "Item Code", "QTY", "Total", "Remarks"]).items())),
-        ("schema", "next", "; ".join(importer.breaking_changes(was, now))), ("tiles", "70x50", str(len(T.tiles(70, 50, 32)))), ("regions", "z", str(T.regions_of_zones({"z": [(10, 10), (20, 10), (20, 20)]}, 100, 100)["z"])),
-    ]
-    return spark.createDataFrame(rows, "checked string, given string, result string")
-
-
-_CHECKS = """SELECT * FROM (VALUES ('duration', 'P1DT2H', '93600000'), ('duration', 'PT0.5S', '500'), ('duration', 'day', 'refused: not a duration'), ('version', '1.20.3', '(1, 20, 3)'), ('version', '1.2', 'refused: not a version'),
- ('rules', 'same', ''), ('rules', 'changed', 'R-2: removed; R-1: parameters change without a new version'), ('rules', 'back', 'R-2: version goes back from 1.0.0 to 0.9.0'),
- ('window', 'good', 'None'), ('window', 'long', 'refused: at most 7 days by hour'), ('window', 'id', 'refused: store id'), ('limit', '5000', '1000'), ('profile', 'columns', 'bill_no=Bill No; sku=Item Code; qty=QTY; amount=Total'),
- ('schema', 'next', 'a: int becomes bigint; b: now required; c.y: removed; d: new and required'), ('tiles', '70x50', '6'), ('regions', 'z', '(9, 9, 21, 21)')) v(checked, given, result)"""
-
-
 def zone_stays(spark, d):
     """Entries and exits of all users in the zone of 64 cameras: hysteresis, back-dating and losses."""
     m = T.Membership(margin=1.0, enter_s=1800.0, exit_s=3600.0, lost_s=86_400.0, handover_s=0)
@@ -247,7 +230,7 @@ UNION ALL SELECT 'cam-' || cam, begun, 'zone.exited', u, 'crossed' FROM k WHERE
 
 QUERIES = {
     f.__name__: f
-    for f in (source_health, edge_agents, heartbeat_upsert, gated_scores, noise_report, best_setting, incident_list, occupancy_errors, ignored_tracks, queue_lengths, clock_ticks, routed_rules, floor_table, queue_registers, dropped_late, precision_recall_at, zone_stays, parameter_checks)
+    for f in (source_health, edge_agents, heartbeat_upsert, gated_scores, noise_report, best_setting, incident_list, occupancy_errors, ignored_tracks, queue_lengths, clock_ticks, routed_rules, floor_table, floor_queues, queue_registers, dropped_late, precision_recall_at, zone_stays)
 }
 SQL = {
     "source_health": _HEALTH, "edge_agents": _AGENTS,
@@ -259,5 +242,5 @@ SQL = {
     "routed_rules": f"SELECT 'enforce' AS mode, 'R-QUEUE-001' AS rule_id, count(*) AS n FROM ({_QUEUE}) UNION ALL SELECT 'shadow', 'R-DWELL-001', count(*) FROM ({_DWELL})",
     "occupancy_errors": _OCC, "ignored_tracks": _IGNORED, "queue_lengths": _LENGTHS,
     "clock_ticks": f"WITH s AS (SELECT user_id % 3 AS c, min({_MS}) AS a, max({_MS}) AS b FROM events GROUP BY 1) SELECT 'c' || c AS sequence, i::INT AS seq, (a + i * 3600000) AS t_ms FROM (SELECT c, a, unnest(range(0, (b - a) // 3600000 + 1)) AS i FROM s)",
-    "floor_table": _FLOOR, "queue_registers": _REGISTERS, "precision_recall_at": _PR, "zone_stays": _STAYS, "parameter_checks": _CHECKS,
+    "floor_table": _FLOOR, "floor_queues": _QUEUES, "queue_registers": _REGISTERS, "precision_recall_at": _PR, "zone_stays": _STAYS,
 }
