@@ -69,11 +69,11 @@ def clear_mot(spark, d):
 
 
 def identity_f1(spark, d):
-    return T.identity_f1(*_truth_and_tracks(spark, d))
+    return T.identity_f1(*_truth_and_tracks(spark, d)).withColumn("idf1", F.round("idf1", 9))
 
 
 def hota(spark, d):
-    return T.hota(*_truth_and_tracks(spark, d))
+    return T.hota(*_truth_and_tracks(spark, d)).withColumns({c: F.round(c, 9) for c in ("hota", "det_a", "ass_a")})
 
 
 def sequence_noise(spark, d):
@@ -113,6 +113,31 @@ _BEST = f"""WITH {_BOXES}, c AS (SELECT frame, least(4, floor(x1 * 5 / 100))::IN
 q AS (SELECT a.v AS x0, c.v AS y0, b.v AS x1, d.v AS y1 FROM i a JOIN i b ON a.v <= b.v CROSS JOIN i c JOIN i d ON c.v <= d.v),
 n AS (SELECT x0, y0, x1, y1, frame, count(*) AS n FROM c JOIN q ON cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 GROUP BY ALL)
 SELECT * FROM (SELECT x0, y0, x1, y1, count(*) FILTER (n BETWEEN 2 AND 4) AS good FROM n GROUP BY ALL) ORDER BY good DESC, (x1 - x0 + 1) * (y1 - y0 + 1), x0, y0, x1, y1 LIMIT 1"""
+_TRACKS = f"""{_BOXES}, t AS (SELECT *, det_id % 8 AS track_id FROM b), m AS (SELECT sequence, frame, CASE WHEN frame > 20 AND track_id = 3 THEN 30 ELSE track_id END AS track_id, x1 + 2 AS x1, y1, x2 + 2 AS x2, y2 FROM t WHERE (frame + track_id) % 6 <> 0),
+p AS (SELECT a.sequence, a.frame, a.track_id AS gt, q.track_id AS tr, {_AREA.format('a', 'q')} / ({_SIZE.format('a')} + {_SIZE.format('q')} - {_AREA.format('a', 'q')}) AS iou FROM t a JOIN m q ON a.sequence = q.sequence AND a.frame = q.frame),
+gn AS (SELECT sequence, track_id AS gt, count(*) AS gt_n FROM t GROUP BY 1, 2), tn AS (SELECT sequence, track_id AS tr, count(*) AS tr_n FROM m GROUP BY 1, 2)"""
+
+
+def _assigned(name: str, key: str, weight: str) -> str:
+    """CTEs that end in {name}8: for each key and set of used tracks the heaviest choice, the eight true persons one after the other."""
+    first = f"{name}0 AS (SELECT DISTINCT {key}, 0 AS used, 0.0::DOUBLE AS total, []::STRUCT(gt BIGINT, tr BIGINT, iou DOUBLE)[] AS picks FROM {name})"
+    step = f"""{{n}} AS (SELECT {key}, used, max(total) AS total, arg_max(picks, total) AS picks FROM (SELECT * FROM {{b}} UNION ALL
+ SELECT {key}, used + bit, total + {weight}, list_append(picks, {{{{'gt': gt, 'tr': tr, 'iou': iou}}}}) FROM {{b}} JOIN (SELECT *, 1 << CASE WHEN tr = 30 THEN 8 ELSE tr::INT END AS bit FROM {name} WHERE gt = {{g}}) c USING ({key}) WHERE used & bit = 0) GROUP BY {key}, used)"""
+    return ", ".join([first, *[step.format(n=f"{name}{g + 1}", b=f"{name}{g}", g=g) for g in range(8)]])
+
+
+_IDENTITY = f"""WITH {_TRACKS}, w AS (SELECT sequence, gt, tr, count(*)::DOUBLE AS iou FROM p WHERE iou >= 0.5 - 1e-9 GROUP BY 1, 2, 3), {_assigned('w', 'sequence', 'iou')},
+i AS (SELECT sequence, max(total)::BIGINT AS idtp FROM w8 GROUP BY 1), g AS (SELECT sequence, sum(gt_n) AS g FROM gn GROUP BY 1), h AS (SELECT sequence, sum(tr_n) AS h FROM tn GROUP BY 1)
+SELECT sequence, round(2 * coalesce(idtp, 0)::DOUBLE / greatest(g + h, 1), 9) AS idf1, coalesce(idtp, 0) AS idtp, (h - coalesce(idtp, 0))::BIGINT AS idfp, (g - coalesce(idtp, 0))::BIGINT AS idfn FROM g JOIN h USING (sequence) LEFT JOIN i USING (sequence)"""
+_HOTA = f"""WITH {_TRACKS}, o AS (SELECT * FROM p WHERE iou > 0), f AS (SELECT *, sum(iou) OVER (PARTITION BY sequence, frame, gt) + sum(iou) OVER (PARTITION BY sequence, frame, tr) - iou AS u FROM o),
+al AS (SELECT sequence, gt, tr, sum(iou / u) AS s, any_value(gt_n) AS gt_n, any_value(tr_n) AS tr_n FROM f JOIN gn USING (sequence, gt) JOIN tn USING (sequence, tr) GROUP BY 1, 2, 3),
+w AS (SELECT sequence, frame, gt, tr, iou, s / (gt_n + tr_n - s) * iou AS score FROM o JOIN al USING (sequence, gt, tr)), {_assigned('w', 'sequence, frame', 'score')},
+x AS (SELECT sequence, unnest(arg_max(picks, total)) AS k FROM w8 GROUP BY sequence, frame), l AS (SELECT (i * 0.05)::DOUBLE AS alpha FROM range(1, 20) r(i)),
+hm AS (SELECT sequence, alpha, k.gt AS gt, k.tr AS tr, count(*) AS n FROM x JOIN l ON k.iou >= alpha - 1e-9 GROUP BY 1, 2, 3, 4),
+ha AS (SELECT sequence, alpha, sum(n) AS tp, sum(n::DOUBLE * n / greatest(1, gt_n + tr_n - n)) AS s FROM hm JOIN gn USING (sequence, gt) JOIN tn USING (sequence, tr) GROUP BY 1, 2),
+tt AS (SELECT sequence, alpha, g, h FROM (SELECT sequence, sum(gt_n) AS g FROM gn GROUP BY 1) JOIN (SELECT sequence, sum(tr_n) AS h FROM tn GROUP BY 1) USING (sequence) CROSS JOIN l),
+v AS (SELECT sequence, coalesce(tp, 0)::DOUBLE / greatest(1, g + h - coalesce(tp, 0)) AS det, coalesce(s, 0) / greatest(1, coalesce(tp, 0)) AS ass FROM tt LEFT JOIN ha USING (sequence, alpha))
+SELECT sequence, round(avg(sqrt(det * ass)), 9) AS hota, round(avg(det), 9) AS det_a, round(avg(ass), 9) AS ass_a FROM v GROUP BY 1"""
 QUERIES = {f.__name__: f for f in (iou_pairs, nms, point_in_polygon_counts, edge_distances, average_precision, clear_mot, identity_f1, hota, sequence_noise, byte_track, best_zone, zone_events)}
 SQL = {
     "iou_pairs": f"""WITH {_BOXES}, p AS (SELECT a.sequence, a.frame, a.det_id AS a, b.det_id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
@@ -125,5 +150,7 @@ SQL = {
     "nms": _NMS,
     "sequence_noise": _NOISE,
     "best_zone": _BEST,
+    "identity_f1": _IDENTITY,
+    "hota": _HOTA,
 }
 SQL = {k: v for k, v in SQL.items() if v}
