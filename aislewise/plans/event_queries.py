@@ -52,13 +52,13 @@ def _island_sql(name: str, holds: str) -> str:
 {name} AS (SELECT k, g, min(t) AS st, arg_max(coalesce(nx, -1), rn) AS nx, max(wm) AS wm FROM {name}1 WHERE p GROUP BY k, g)"""
 
 
-_QUEUE = f"""WITH {_EV}, q AS (SELECT 'q' || (u % 16) AS k, t, id, floor(value / 10)::INT AS len, wm FROM rel WHERE ty = 'purchase'),
+_QUEUE_ROWS = f"""q AS (SELECT 'q' || (u % 16) AS k, t, id, floor(value / 10)::INT AS len, wm FROM rel WHERE ty = 'purchase'),
 {_island_sql('hi', 'len >= 6')}, {_island_sql('lo', 'len <= 4')},
 c AS (SELECT k, 'OPENED' AS kind, st, st + 1200000 AS at_ms FROM hi WHERE CASE WHEN nx >= 0 THEN st + 1200000 < nx ELSE st + 1200000 <= wm END
  UNION ALL SELECT k, 'RESOLVED', st, st + 600000 FROM lo WHERE CASE WHEN nx >= 0 THEN st + 600000 < nx ELSE st + 600000 <= wm END),
 s AS (SELECT * FROM c QUALIFY kind <> coalesce(lag(kind) OVER (PARTITION BY k ORDER BY at_ms, kind DESC), 'RESOLVED')),
-o AS (SELECT kind, k AS key, at_ms AS detected_ms, last_value(CASE WHEN kind = 'OPENED' THEN st END IGNORE NULLS) OVER (PARTITION BY k ORDER BY at_ms, kind DESC) AS onset_ms FROM s)
-""" + _with_id("R-QUEUE-001", "SELECT * FROM o", "'queue:' || key")
+o AS (SELECT kind, k AS key, at_ms AS detected_ms, last_value(CASE WHEN kind = 'OPENED' THEN st END IGNORE NULLS) OVER (PARTITION BY k ORDER BY at_ms, kind DESC) AS onset_ms FROM s)"""
+_QUEUE = f"WITH {_EV}, {_QUEUE_ROWS}\n" + _with_id("R-QUEUE-001", "SELECT * FROM o", "'queue:' || key")
 
 
 def rule_dwell(spark, d):
@@ -94,6 +94,25 @@ def rule_fold(spark, d):
     return fold.fold_incidents(P.rule_events(spark, d), replace(RULES, stitch=30_000))
 
 
+#: Absence: what a store sees in order (register events before deadlines of an instant; queues that calm before queues that
+#: grow long), walked row by row. Slot: queue, onset and whether it was reported; a row may report it and may end it.
+_ABSENCE = f"""it AS (SELECT row_number() OVER (ORDER BY t, place, key) AS n, * FROM (SELECT t, 0 AS place, '' AS key FROM rel WHERE ty = 'signup' UNION ALL SELECT detected_ms, CASE kind WHEN 'RESOLVED' THEN 1 ELSE 2 END, key FROM o)),
+sl AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS q, NULL::BIGINT AS onset, false AS rep, NULL::VARCHAR AS oq, NULL::BIGINT AS oo, NULL::VARCHAR AS rq, NULL::BIGINT AS ro, NULL::BIGINT AS rt
+ UNION ALL SELECT n, CASE WHEN ends THEN NULL WHEN starts THEN key ELSE q END, CASE WHEN ends THEN NULL WHEN starts THEN t ELSE onset END, NOT ends AND NOT starts AND seen,
+  CASE WHEN seen AND NOT rep THEN q END, CASE WHEN seen AND NOT rep THEN onset END, CASE WHEN ends AND seen THEN q END, CASE WHEN ends AND seen THEN onset END, CASE WHEN ends AND seen THEN t END
+ FROM (SELECT it.n, t, it.key, q, onset, rep, q IS NOT NULL AND (rep OR onset + 3600000 < t) AS seen, q IS NOT NULL AND (place = 0 OR (place = 1 AND it.key = q)) AS ends, q IS NULL AND place = 2 AS starts FROM sl JOIN it ON it.n = sl.n + 1)),
+ab AS (SELECT 'OPENED' AS kind, oq AS key, oo AS onset_ms, oo + 3600000 AS detected_ms FROM sl WHERE oq IS NOT NULL UNION ALL SELECT 'RESOLVED', rq, ro, rt FROM sl WHERE rq IS NOT NULL
+ UNION ALL SELECT 'OPENED', q, onset, onset + 3600000 FROM sl WHERE n = (SELECT max(n) FROM sl) AND q IS NOT NULL AND NOT rep AND onset + 3600000 <= (SELECT max(wm) FROM rel))"""
+#: Dwell as in rule_dwell, but a late exit ends a visit that is not reported when it arrives.
+_REPAIRED = """le AS (SELECT u, t, w FROM (SELECT *, max(t) OVER (ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000 AS w FROM e) WHERE t <= w AND ty = 'click' AND u % 3 IN (0, 1)),
+z AS (SELECT *, lead(t) OVER (PARTITION BY u ORDER BY t, lpad(id::VARCHAR, 12, '0')) AS nx FROM rel WHERE ty IN ('view', 'click') AND u % 3 IN (0, 1)),
+v AS (SELECT z.* FROM z WHERE ty = 'view' AND NOT EXISTS (SELECT 1 FROM le WHERE le.u = z.u AND le.t >= z.t AND le.w >= z.t AND le.w < z.t + 43200000 AND (z.nx IS NULL OR le.w < z.nx))),
+dw AS (SELECT 'trk-' || u || '|z' || (u % 3) AS key, t AS onset_ms, t + 43200000 AS op, CASE WHEN (nx IS NULL AND t + 172800000 <= wm) OR t + 172800000 < nx THEN t + 172800000 ELSE nx END AS en FROM v WHERE CASE WHEN nx IS NULL THEN t + 43200000 <= wm ELSE t + 43200000 < nx END)"""
+_FOLD = f"""WITH RECURSIVE {_EV}, {_QUEUE_ROWS}, {_ABSENCE}, {_REPAIRED}
+SELECT rule, kind, 's1' AS store_id, NULL::VARCHAR AS run_id, key, onset_ms, detected_ms FROM (SELECT 'R-QUEUE-001' AS rule, kind, key, onset_ms, detected_ms FROM o UNION ALL SELECT 'R-ABS-001', kind, key, onset_ms, detected_ms FROM ab
+ UNION ALL SELECT 'R-DWELL-001', 'OPENED', key, onset_ms, op FROM dw UNION ALL SELECT 'R-DWELL-001', 'RESOLVED', key, onset_ms, en FROM dw WHERE en IS NOT NULL)"""
+
+
 def incident_upsert(spark, d):
     actions = P.events(spark, d).where("event_type = 'error'").select(F.col("event_id"), F.col("t_ms").alias("at_ms"), F.when(F.col("k") % 2 == 0, "ACKNOWLEDGED").otherwise("CONFIRMED").alias("status"))
     log = stored(rules.queue_alerts(P.rule_events(spark, d), RULES), "alerts")
@@ -291,6 +310,19 @@ def band_candidates(spark, d):
     return scoring.candidates(truth, inc, 300_000, 1_200_000).select("gt_id", "incident_id", (F.col("detected_ms") - F.col("at_ms")).alias("delta_ms"))
 
 
+#: All matchings in order of both sides, truth by truth in each cluster; of each cluster the one with most pairs, then the least distance.
+_MATCHES = f"""WITH RECURSIVE x AS (SELECT user_id % 8 AS key, {{ms}} AS t, event_type = 'view' AS tr, event_id AS id FROM events WHERE event_type IN ('view', 'click')),
+c AS (SELECT *, sum((t - p > 1500000)::INT) OVER (PARTITION BY key ORDER BY t) AS cl FROM (SELECT *, coalesce(lag(t) OVER (PARTITION BY key ORDER BY t), t) AS p FROM x)),
+g AS (SELECT *, row_number() OVER (PARTITION BY key, cl ORDER BY t, id) AS i, count(*) OVER (PARTITION BY key, cl) AS n FROM c WHERE tr), d AS (SELECT *, row_number() OVER (PARTITION BY key, cl ORDER BY t, id) AS j FROM c WHERE NOT tr),
+op AS (SELECT g.key, g.cl, g.i, d.j, d.t - g.t AS delta FROM g JOIN d ON d.key = g.key AND d.cl = g.cl AND d.t - g.t BETWEEN -300000 AND 1200000 UNION ALL SELECT key, cl, i, NULL, NULL FROM g),
+m AS (SELECT DISTINCT key, cl, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS pairs, 0::BIGINT AS far, []::BIGINT[] AS lat FROM g
+ UNION ALL SELECT m.key, m.cl, op.i, coalesce(op.j, m.j), pairs + (op.j IS NOT NULL)::INT, far + coalesce(abs(delta), 0), CASE WHEN op.j IS NULL THEN lat ELSE list_append(lat, delta) END
+ FROM m JOIN op ON op.key = m.key AND op.cl = m.cl AND op.i = m.i + 1 WHERE op.j IS NULL OR op.j > m.j),
+b AS (SELECT arg_max(lat, (pairs, -far)) AS lat FROM m JOIN (SELECT DISTINCT key, cl, n FROM g) q USING (key, cl) WHERE m.i = q.n GROUP BY key, cl), l AS (SELECT unnest(lat) AS v FROM b),
+s AS (SELECT (SELECT count(*) FROM g) AS nt, (SELECT count(*) FROM d) AS ni, count(*) AS tp, max(v) AS latency_max, list(v ORDER BY v) AS vs FROM l),
+r AS (SELECT *, ni - tp AS fp, nt - tp AS fn, tp::DOUBLE / ni AS p, tp::DOUBLE / nt AS rc FROM s)
+SELECT 'R-1' AS rule_id, tp, latency_max, fp, fn, round(p, 9) AS precision, round(rc, 9) AS recall, round(2 * p * rc / (p + rc), 9) AS f1, round({_LOW('tp', 'ni')}, 9) AS precision_low, round({_HIGH('tp', 'ni')}, 9) AS precision_high,
+ round({_LOW('tp', 'nt')}, 9) AS recall_low, round({_HIGH('tp', 'nt')}, 9) AS recall_high, vs[round_even(0.5 * (tp - 1), 0)::INT + 1] AS p50, vs[round_even(0.95 * (tp - 1), 0)::INT + 1] AS p95 FROM r""".replace("{ms}", "(epoch_us(ts) // 1000)")
 _BAND = """SELECT g.event_id::VARCHAR AS gt_id, i.event_id::VARCHAR AS incident_id, (epoch_us(i.ts) // 1000) - (epoch_us(g.ts) // 1000) AS delta_ms FROM events g JOIN events i ON g.event_type = 'view' AND i.event_type = 'click' AND g.user_id % 8 = i.user_id % 8
  AND (epoch_us(i.ts) // 1000) - (epoch_us(g.ts) // 1000) BETWEEN -300000 AND 1200000"""
 
@@ -483,6 +515,7 @@ SQL = {
     "rule_dwell": _DWELL,
     "footfall_windows": f"WITH {_WINDOWS} SELECT start_ms, zone_id, n FROM win",
     "rule_footfall_spike": _FOOT,
+    "rule_fold": _FOLD,
     "incident_upsert": _UPSERT,
     "traffic_bins": f"WITH {_BINS}, {_VISITS} SELECT bin_start, coalesce(n, 0) AS visitors FROM bins LEFT JOIN v USING (bin_start)",
     "queue_time_weighted": f"WITH {_BINS}, {_STEPS} SELECT key, bin_start, mean, peak FROM qs",
@@ -500,6 +533,7 @@ SQL = {
     "dismissal_reasons": _REASONS,
     "rule_scores_wilson": _READY,
     "band_candidates": _BAND,
+    "match_incidents": _MATCHES,
     "asof_counts": _ASOF,
     "count_score": _COUNT,
     "ks_two_sample": _KS,
