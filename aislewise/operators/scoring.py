@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,8 @@ def matches(truth: DataFrame, incidents: DataFrame, before_ms: int = 5_000, max_
 
     As many pairs as possible, of those sets one with the least sum of distances. Rows further apart than the window
     can't compete, so a key is divided at such gaps. Inside a cluster the window is the same for all, so an optimal
-    matching that keeps the order of both sides exists, and in_order() finds it with memory of rows times partners.
+    matching that keeps the order of both sides exists, and in_order() finds it with memory of rows times partners. Tasks
+    stream their clusters, a batch of rows at a time.
     """
     key = ["rule_id", "store_id", "key"]
     rows = truth.select(*key, F.col("at_ms").alias("t"), F.col("gt_id").cast("string").alias("id"), F.lit(0).alias("side"))
@@ -44,15 +47,48 @@ def matches(truth: DataFrame, incidents: DataFrame, before_ms: int = 5_000, max_
     gap = (F.col("t") - F.lag("t").over(w) > before_ms + max_latency_ms).cast("int")
     clusters = rows.withColumn("cluster", F.sum(F.coalesce(gap, F.lit(0))).over(w))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "id"], kind="stable")
-        gts, incs = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        a, b = gts["t"].to_numpy(np.int64), incs["t"].to_numpy(np.int64)
-        i, j = in_order(a, b, before_ms, max_latency_ms)
-        found = pd.DataFrame({"gt_id": gts["id"].to_numpy()[i], "incident_id": incs["id"].to_numpy()[j], "latency_ms": b[j] - a[i]})
-        return found.assign(**{c: frame[c].iloc[0] for c in key})
-
-    return clusters.groupBy(*_GROUP).applyInPandas(one, "gt_id string, incident_id string, latency_ms long, rule_id string, store_id string, key string")
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of whole clusters, which follow each other."""
+        t, side, ids = rows["t"].to_numpy(np.int64), rows["side"].to_numpy(), rows["id"].to_numpy()
+        starts = np.flatnonzero(_changes(rows))
+        truths, incs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            gts, own = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+            if len(gts) and len(own):
+                i, j = in_order(t[gts], t[own], before_ms, max_latency_ms)
+                truths.append(gts[i]), incs.append(own[j])
+        i, j = np.concatenate(truths), np.concatenate(incs)
+        return pd.DataFrame({"gt_id": ids[i], "incident_id": ids[j], "latency_ms": t[j] - t[i], **{c: rows[c].to_numpy()[i] for c in key}})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the last cluster, until its end has come
+        for frame in frames:
+            ends = np.flatnonzero(_changes(frame))
+            same = held and len(frame) and all(_equal(held[-1][c].iloc[-1], frame[c].iloc[0]) for c in _GROUP)
+            if not len(ends) or (len(ends) == 1 and same):
+                held.append(frame)
+                continue
+            yield found(pd.concat([*held, frame.iloc[: ends[-1]]]) if held else frame.iloc[: ends[-1]])
+            held = [frame.iloc[ends[-1] :]]
+        if held:
+            yield found(pd.concat(held))
+
+    dealt = clusters.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "t", "id")
+    return dealt.mapInPandas(run, "gt_id string, incident_id string, latency_ms long, rule_id string, store_id string, key string")
+
+
+def _equal(a, b) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))
+
+
+def _changes(rows: pd.DataFrame) -> np.ndarray:
+    """Whether each row begins a cluster, the first row always."""
+    out = np.zeros(len(rows), bool)
+    out[:1] = True
+    for c in _GROUP:
+        v = rows[c].to_numpy()
+        out[1:] |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+    return out
 
 
 def rule_scores(truth: DataFrame, incidents: DataFrame, matched: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -137,3 +139,30 @@ def test_tiles_cover_the_image():
 def test_empty_tables(spark):
     none = spark.createDataFrame([], BOX)
     assert T.clear_mot(none, none).count() == T.identity_f1(none, none).count() == T.hota(none, none).count() == T.sequence_noise(none, none).count() == 0
+
+
+def test_matches_of_many_clusters_over_many_batches(spark):
+    """Clusters that lie over the ends of batches, hot keys and null stores: the pairs that one general assignment a key finds."""
+    from aislewise.operators.assignment import most_pairs_least_distance
+    from aislewise.operators.scoring import matches
+
+    rng = random.Random(6)
+    key = lambda: ("R", rng.choice([None, "s"]), rng.choice("aaab"))
+    truth = [(*key(), f"g{i}", rng.randrange(6000)) for i in range(220)]
+    seen = [(*key(), f"i{i}", "OPENED" if i % 9 else "RESOLVED", rng.randrange(6000)) for i in range(240)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = matches(spark.createDataFrame(truth, "rule_id string, store_id string, key string, gt_id string, at_ms long"), spark.createDataFrame(seen, "rule_id string, store_id string, key string, incident_id string, kind string, detected_ms long"), 5, 30).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    pairs = distance = 0
+    for k in {t[:3] for t in truth}:
+        a, b = np.array([t[4] for t in truth if t[:3] == k]), np.array([i[5] for i in seen if i[:3] == k and i[4] == "OPENED"])
+        delta = b[None, :] - a[:, None] if len(b) else np.zeros((len(a), 0))
+        best = most_pairs_least_distance(np.abs(delta).astype(float), (delta >= -5) & (delta <= 30))
+        pairs, distance = pairs + len(best), distance + sum(abs(delta[i, j]) for i, j in best)
+    assert len(got) == pairs > 20 and sum(abs(r.latency_ms) for r in got) == distance
+    assert len({r.gt_id for r in got}) == len({r.incident_id for r in got}) == len(got)
+    at = {t[3]: t for t in truth} | {i[3]: i for i in seen}
+    assert all(at[r.gt_id][:3] == at[r.incident_id][:3] == (r.rule_id, r.store_id, r.key) and at[r.incident_id][5] - at[r.gt_id][4] == r.latency_ms for r in got)
