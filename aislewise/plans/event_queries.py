@@ -19,9 +19,9 @@ _F, _T = "epoch_ms(TIMESTAMP '2024-01-03')", "epoch_ms(TIMESTAMP '2024-01-06')"
 HOUR = 3_600_000
 #: Rules whose times fit the sparse events of the driver's tables.
 RULES = rules.Rules(grace=10 * 60_000, threshold=6, sustain=20 * 60_000, hysteresis=2, clear_sustain=10 * 60_000, dwell_zones=("z0", "z1"), limit=12 * HOUR, ttl=48 * HOUR, stitch=0, within=HOUR, footfall_zones=("z0", "z1", "z2"), window=HOUR, history=12, factor=1.5, min_count=3)
-_EV = """e AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS t, user_id AS u, event_type AS ty, value, ((epoch_us(ts) // 1000) + CASE WHEN event_id % 11 = 0 THEN (event_id * 7919 % 40) * 60000 ELSE 0 END) * 100000 + event_id AS arr FROM events),
-late AS (SELECT *, coalesce(t <= max(t) OVER (ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000, false) AS late FROM e),
-rel AS (SELECT *, (SELECT max(t) FROM late WHERE NOT late) - 600000 AS wm FROM late WHERE NOT late AND t <= (SELECT max(t) FROM late WHERE NOT late) - 600000)"""
+_EV = """e AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS t, user_id AS u, 's' || (user_id % 4) || '|' || CASE WHEN user_id % 5 = 0 THEN 'run-1' ELSE 'null' END AS who, event_type AS ty, value, ((epoch_us(ts) // 1000) + CASE WHEN event_id % 11 = 0 THEN (event_id * 7919 % 40) * 60000 ELSE 0 END) * 100000 + event_id AS arr FROM events),
+late AS (SELECT *, coalesce(t <= max(t) OVER (PARTITION BY who ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000, false) AS late FROM e),
+rel AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY who) - 600000 AS wm FROM late WHERE NOT late) WHERE t <= wm)"""
 
 
 # ---- rules --------------------------------------------------------------------------------------------------------
@@ -43,21 +43,21 @@ _UUID = "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) |
 
 
 def _with_id(rule: str, rows: str, subject: str) -> str:
-    return f"SELECT {_UUID} AS incident_id, kind, key, {subject} AS subject, onset_ms, detected_ms FROM (SELECT *, md5('{rule}|1|s1|null|' || key || '|' || onset_ms) AS m FROM ({rows}))"
+    return f"SELECT {_UUID} AS incident_id, kind, key, {subject} AS subject, onset_ms, detected_ms FROM (SELECT *, md5('{rule}|1|' || who || '|' || key || '|' || onset_ms) AS m FROM ({rows}))"
 
 
 def _island_sql(name: str, holds: str) -> str:
-    return f"""{name}0 AS (SELECT *, {holds} AS p, lead(t) OVER w AS nx, row_number() OVER w AS rn FROM q WINDOW w AS (PARTITION BY k ORDER BY t, id)),
-{name}1 AS (SELECT *, sum(CASE WHEN p AND NOT coalesce(lp, false) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY rn) AS g FROM (SELECT *, lag(p) OVER (PARTITION BY k ORDER BY rn) AS lp FROM {name}0)),
-{name} AS (SELECT k, g, min(t) AS st, arg_max(coalesce(nx, -1), rn) AS nx, max(wm) AS wm FROM {name}1 WHERE p GROUP BY k, g)"""
+    return f"""{name}0 AS (SELECT *, {holds} AS p, lead(t) OVER w AS nx, row_number() OVER w AS rn FROM q WINDOW w AS (PARTITION BY who, k ORDER BY t, id)),
+{name}1 AS (SELECT *, sum(CASE WHEN p AND NOT coalesce(lp, false) THEN 1 ELSE 0 END) OVER (PARTITION BY who, k ORDER BY rn) AS g FROM (SELECT *, lag(p) OVER (PARTITION BY who, k ORDER BY rn) AS lp FROM {name}0)),
+{name} AS (SELECT who, k, g, min(t) AS st, arg_max(coalesce(nx, -1), rn) AS nx, max(wm) AS wm FROM {name}1 WHERE p GROUP BY who, k, g)"""
 
 
-_QUEUE_ROWS = f"""q AS (SELECT 'q' || (u % 16) AS k, t, id, floor(value / 10)::INT AS len, wm FROM rel WHERE ty = 'purchase'),
+_QUEUE_ROWS = f"""q AS (SELECT who, 'q' || (u % 16) AS k, t, id, floor(value / 10)::INT AS len, wm FROM rel WHERE ty = 'purchase'),
 {_island_sql('hi', 'len >= 6')}, {_island_sql('lo', 'len <= 4')},
-c AS (SELECT k, 'OPENED' AS kind, st, st + 1200000 AS at_ms FROM hi WHERE CASE WHEN nx >= 0 THEN st + 1200000 < nx ELSE st + 1200000 <= wm END
- UNION ALL SELECT k, 'RESOLVED', st, st + 600000 FROM lo WHERE CASE WHEN nx >= 0 THEN st + 600000 < nx ELSE st + 600000 <= wm END),
-s AS (SELECT * FROM c QUALIFY kind <> coalesce(lag(kind) OVER (PARTITION BY k ORDER BY at_ms, kind DESC), 'RESOLVED')),
-o AS (SELECT kind, k AS key, at_ms AS detected_ms, last_value(CASE WHEN kind = 'OPENED' THEN st END IGNORE NULLS) OVER (PARTITION BY k ORDER BY at_ms, kind DESC) AS onset_ms FROM s)"""
+c AS (SELECT who, k, 'OPENED' AS kind, st, st + 1200000 AS at_ms FROM hi WHERE CASE WHEN nx >= 0 THEN st + 1200000 < nx ELSE st + 1200000 <= wm END
+ UNION ALL SELECT who, k, 'RESOLVED', st, st + 600000 FROM lo WHERE CASE WHEN nx >= 0 THEN st + 600000 < nx ELSE st + 600000 <= wm END),
+s AS (SELECT * FROM c QUALIFY kind <> coalesce(lag(kind) OVER (PARTITION BY who, k ORDER BY at_ms, kind DESC), 'RESOLVED')),
+o AS (SELECT who, kind, k AS key, at_ms AS detected_ms, last_value(CASE WHEN kind = 'OPENED' THEN st END IGNORE NULLS) OVER (PARTITION BY who, k ORDER BY at_ms, kind DESC) AS onset_ms FROM s)"""
 _QUEUE = f"WITH {_EV}, {_QUEUE_ROWS}\n" + _with_id("R-QUEUE-001", "SELECT * FROM o", "'queue:' || key")
 
 
@@ -66,8 +66,8 @@ def rule_dwell(spark, d):
 
 
 _DWELL = f"""WITH {_EV}, z AS (SELECT *, lead(t) OVER (PARTITION BY u ORDER BY t, lpad(id::VARCHAR, 12, '0')) AS nx FROM rel WHERE ty IN ('view', 'click') AND u % 3 IN (0, 1)),
-o AS (SELECT 'trk-' || u || '|z' || (u % 3) AS key, t AS onset_ms, t + 43200000 AS op, CASE WHEN (nx IS NULL AND t + 172800000 <= wm) OR t + 172800000 < nx THEN t + 172800000 ELSE nx END AS en FROM z WHERE ty = 'view' AND CASE WHEN nx IS NULL THEN t + 43200000 <= wm ELSE t + 43200000 < nx END)
-""" + _with_id("R-DWELL-001", "SELECT 'OPENED' AS kind, key, onset_ms, op AS detected_ms FROM o UNION ALL SELECT 'RESOLVED', key, onset_ms, en FROM o WHERE en IS NOT NULL", "'zone:' || split_part(key, '|', 2)")
+o AS (SELECT who, 'trk-' || u || '|z' || (u % 3) AS key, t AS onset_ms, t + 43200000 AS op, CASE WHEN (nx IS NULL AND t + 172800000 <= wm) OR t + 172800000 < nx THEN t + 172800000 ELSE nx END AS en FROM z WHERE ty = 'view' AND CASE WHEN nx IS NULL THEN t + 43200000 <= wm ELSE t + 43200000 < nx END)
+""" + _with_id("R-DWELL-001", "SELECT who, 'OPENED' AS kind, key, onset_ms, op AS detected_ms FROM o UNION ALL SELECT who, 'RESOLVED', key, onset_ms, en FROM o WHERE en IS NOT NULL", "'zone:' || split_part(key, '|', 2)")
 
 
 def rule_footfall_spike(spark, d):
@@ -78,13 +78,13 @@ def footfall_windows(spark, d):
     return rules.footfall_windows(P.rule_events(spark, d), RULES).select("start_ms", "zone_id", "n")
 
 
-_WINDOWS = f"""{_EV}, w AS (SELECT *, t - t % 3600000 AS st, greatest(t, coalesce(max(t) OVER (ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t)) AS seen FROM e),
-win AS (SELECT st AS start_ms, zone_id, count(*) FILTER (ty = 'view' AND 'z' || (u % 3) = zone_id) AS n FROM (SELECT * FROM w WHERE st + 4200000 > seen), (VALUES ('z0'), ('z1'), ('z2')) v(zone_id)
- WHERE st + 4200000 <= (SELECT max(t) FROM e) GROUP BY 1, 2)"""
-_FOOT = f"""WITH {_WINDOWS}, h AS (SELECT *, count(*) OVER p AS c, coalesce(sum(n) OVER p, 0) AS s FROM win WINDOW p AS (PARTITION BY zone_id ORDER BY start_ms ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
-k AS (SELECT *, c = 12 AND n >= 3 AND n * 12 > 1.5 * s AS spike FROM h), l AS (SELECT *, coalesce(lag(spike) OVER (PARTITION BY zone_id ORDER BY start_ms), false) AS was FROM k),
-o AS (SELECT *, last_value(CASE WHEN spike AND NOT was THEN start_ms END IGNORE NULLS) OVER (PARTITION BY zone_id ORDER BY start_ms) AS onset_ms FROM l)
-""" + _with_id("R-FOOT-001", "SELECT CASE WHEN spike THEN 'OPENED' ELSE 'RESOLVED' END AS kind, zone_id AS key, onset_ms, start_ms + 3600000 AS detected_ms FROM o WHERE spike <> was", "'zone:' || key")
+_WINDOWS = f"""{_EV}, w AS (SELECT *, t - t % 3600000 AS st, max(t) OVER (PARTITION BY who) AS top, greatest(t, coalesce(max(t) OVER (PARTITION BY who ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t)) AS seen FROM e),
+win AS (SELECT who, st AS start_ms, zone_id, count(*) FILTER (ty = 'view' AND 'z' || (u % 3) = zone_id) AS n FROM (SELECT * FROM w WHERE st + 4200000 > seen), (VALUES ('z0'), ('z1'), ('z2')) v(zone_id)
+ WHERE st + 4200000 <= top GROUP BY 1, 2, 3)"""
+_FOOT = f"""WITH {_WINDOWS}, h AS (SELECT *, count(*) OVER p AS c, coalesce(sum(n) OVER p, 0) AS s FROM win WINDOW p AS (PARTITION BY who, zone_id ORDER BY start_ms ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, c = 12 AND n >= 3 AND n * 12 > 1.5 * s AS spike FROM h), l AS (SELECT *, coalesce(lag(spike) OVER (PARTITION BY who, zone_id ORDER BY start_ms), false) AS was FROM k),
+o AS (SELECT *, last_value(CASE WHEN spike AND NOT was THEN start_ms END IGNORE NULLS) OVER (PARTITION BY who, zone_id ORDER BY start_ms) AS onset_ms FROM l)
+""" + _with_id("R-FOOT-001", "SELECT who, CASE WHEN spike THEN 'OPENED' ELSE 'RESOLVED' END AS kind, zone_id AS key, onset_ms, start_ms + 3600000 AS detected_ms FROM o WHERE spike <> was", "'zone:' || key")
 
 
 def rule_fold(spark, d):
@@ -96,21 +96,22 @@ def rule_fold(spark, d):
 
 #: Absence: what a store sees in order (register events before deadlines of an instant; queues that calm before queues that
 #: grow long), walked row by row. Slot: queue, onset and whether it was reported; a row may report it and may end it.
-_ABSENCE = f"""it AS (SELECT row_number() OVER (ORDER BY t, place, key) AS n, * FROM (SELECT t, 0 AS place, '' AS key FROM rel WHERE ty = 'signup' UNION ALL SELECT detected_ms, CASE kind WHEN 'RESOLVED' THEN 1 ELSE 2 END, key FROM o)),
-sl AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS q, NULL::BIGINT AS onset, false AS rep, NULL::VARCHAR AS oq, NULL::BIGINT AS oo, NULL::VARCHAR AS rq, NULL::BIGINT AS ro, NULL::BIGINT AS rt
- UNION ALL SELECT n, CASE WHEN ends THEN NULL WHEN starts THEN key ELSE q END, CASE WHEN ends THEN NULL WHEN starts THEN t ELSE onset END, NOT ends AND NOT starts AND seen,
+_ABSENCE = f"""it AS (SELECT row_number() OVER (PARTITION BY who ORDER BY t, place, key) AS n, * FROM (SELECT who, t, 0 AS place, '' AS key FROM rel WHERE ty = 'signup' UNION ALL SELECT who, detected_ms, CASE kind WHEN 'RESOLVED' THEN 1 ELSE 2 END, key FROM o)),
+sl AS (SELECT DISTINCT who, 0::BIGINT AS n, NULL::VARCHAR AS q, NULL::BIGINT AS onset, false AS rep, NULL::VARCHAR AS oq, NULL::BIGINT AS oo, NULL::VARCHAR AS rq, NULL::BIGINT AS ro, NULL::BIGINT AS rt FROM it
+ UNION ALL SELECT who, n, CASE WHEN ends THEN NULL WHEN starts THEN key ELSE q END, CASE WHEN ends THEN NULL WHEN starts THEN t ELSE onset END, NOT ends AND NOT starts AND seen,
   CASE WHEN seen AND NOT rep THEN q END, CASE WHEN seen AND NOT rep THEN onset END, CASE WHEN ends AND seen THEN q END, CASE WHEN ends AND seen THEN onset END, CASE WHEN ends AND seen THEN t END
- FROM (SELECT it.n, t, it.key, q, onset, rep, q IS NOT NULL AND (rep OR onset + 3600000 < t) AS seen, q IS NOT NULL AND (place = 0 OR (place = 1 AND it.key = q)) AS ends, q IS NULL AND place = 2 AS starts FROM sl JOIN it ON it.n = sl.n + 1)),
-ab AS (SELECT 'OPENED' AS kind, oq AS key, oo AS onset_ms, oo + 3600000 AS detected_ms FROM sl WHERE oq IS NOT NULL UNION ALL SELECT 'RESOLVED', rq, ro, rt FROM sl WHERE rq IS NOT NULL
- UNION ALL SELECT 'OPENED', q, onset, onset + 3600000 FROM sl WHERE n = (SELECT max(n) FROM sl) AND q IS NOT NULL AND NOT rep AND onset + 3600000 <= (SELECT max(wm) FROM rel))"""
+ FROM (SELECT it.who, it.n, t, it.key, q, onset, rep, q IS NOT NULL AND (rep OR onset + 3600000 < t) AS seen, q IS NOT NULL AND (place = 0 OR (place = 1 AND it.key = q)) AS ends, q IS NULL AND place = 2 AS starts FROM sl JOIN it ON it.who = sl.who AND it.n = sl.n + 1)),
+la AS (SELECT who, max(n) AS n FROM sl GROUP BY 1), wms AS (SELECT who, max(wm) AS wm FROM rel GROUP BY 1),
+ab AS (SELECT who, 'OPENED' AS kind, oq AS key, oo AS onset_ms, oo + 3600000 AS detected_ms FROM sl WHERE oq IS NOT NULL UNION ALL SELECT who, 'RESOLVED', rq, ro, rt FROM sl WHERE rq IS NOT NULL
+ UNION ALL SELECT who, 'OPENED', q, onset, onset + 3600000 FROM sl JOIN la USING (who, n) JOIN wms USING (who) WHERE q IS NOT NULL AND NOT rep AND onset + 3600000 <= wm)"""
 #: Dwell as in rule_dwell, but a late exit ends a visit that is not reported when it arrives.
-_REPAIRED = """le AS (SELECT u, t, w FROM (SELECT *, max(t) OVER (ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000 AS w FROM e) WHERE t <= w AND ty = 'click' AND u % 3 IN (0, 1)),
+_REPAIRED = """le AS (SELECT u, t, w FROM (SELECT *, max(t) OVER (PARTITION BY who ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000 AS w FROM e) WHERE t <= w AND ty = 'click' AND u % 3 IN (0, 1)),
 z AS (SELECT *, lead(t) OVER (PARTITION BY u ORDER BY t, lpad(id::VARCHAR, 12, '0')) AS nx FROM rel WHERE ty IN ('view', 'click') AND u % 3 IN (0, 1)),
 v AS (SELECT z.* FROM z WHERE ty = 'view' AND NOT EXISTS (SELECT 1 FROM le WHERE le.u = z.u AND le.t >= z.t AND le.w >= z.t AND le.w < z.t + 43200000 AND (z.nx IS NULL OR le.w < z.nx))),
-dw AS (SELECT 'trk-' || u || '|z' || (u % 3) AS key, t AS onset_ms, t + 43200000 AS op, CASE WHEN (nx IS NULL AND t + 172800000 <= wm) OR t + 172800000 < nx THEN t + 172800000 ELSE nx END AS en FROM v WHERE CASE WHEN nx IS NULL THEN t + 43200000 <= wm ELSE t + 43200000 < nx END)"""
+dw AS (SELECT who, 'trk-' || u || '|z' || (u % 3) AS key, t AS onset_ms, t + 43200000 AS op, CASE WHEN (nx IS NULL AND t + 172800000 <= wm) OR t + 172800000 < nx THEN t + 172800000 ELSE nx END AS en FROM v WHERE CASE WHEN nx IS NULL THEN t + 43200000 <= wm ELSE t + 43200000 < nx END)"""
 _FOLD = f"""WITH RECURSIVE {_EV}, {_QUEUE_ROWS}, {_ABSENCE}, {_REPAIRED}
-SELECT rule, kind, 's1' AS store_id, NULL::VARCHAR AS run_id, key, onset_ms, detected_ms FROM (SELECT 'R-QUEUE-001' AS rule, kind, key, onset_ms, detected_ms FROM o UNION ALL SELECT 'R-ABS-001', kind, key, onset_ms, detected_ms FROM ab
- UNION ALL SELECT 'R-DWELL-001', 'OPENED', key, onset_ms, op FROM dw UNION ALL SELECT 'R-DWELL-001', 'RESOLVED', key, onset_ms, en FROM dw WHERE en IS NOT NULL)"""
+SELECT rule, kind, split_part(who, '|', 1) AS store_id, nullif(split_part(who, '|', 2), 'null') AS run_id, key, onset_ms, detected_ms FROM (SELECT who, 'R-QUEUE-001' AS rule, kind, key, onset_ms, detected_ms FROM o UNION ALL SELECT who, 'R-ABS-001', kind, key, onset_ms, detected_ms FROM ab
+ UNION ALL SELECT who, 'R-DWELL-001', 'OPENED', key, onset_ms, op FROM dw UNION ALL SELECT who, 'R-DWELL-001', 'RESOLVED', key, onset_ms, en FROM dw WHERE en IS NOT NULL)"""
 
 
 def incident_upsert(spark, d):
@@ -175,7 +176,7 @@ def asof_carry(spark, d):
 
 
 def floor_state(spark, d):
-    e = P.rule_events(spark, d).withColumn("run_id", F.when(F.col("arrival") % 3 == 0, F.lit("run-1")).otherwise(F.col("run_id"))).withColumn("store_id", F.concat(F.lit("s"), F.substring("zone_id", 2, 1)))
+    e = P.rule_events(spark, d).withColumn("run_id", F.when(F.col("arrival") % 3 == 0, F.lit("run-1"))).withColumn("store_id", F.concat(F.lit("s"), F.substring("zone_id", 2, 1)))
     return traffic.floor_state(e.withColumns({"queue_id": F.when(F.col("type").endswith("queue.length"), F.col("queue_id")), "zone_id": F.when(F.col("type").rlike(r"zone\."), F.col("zone_id"))}))
 
 
@@ -213,7 +214,7 @@ def incident_timeline(spark, d):
     e = P.events(spark, d).where("event_type = 'click'")
     tills = e.select(F.lit("s1").alias("store_id"), P.null_run(), "t_ms", F.concat(F.lit("r"), F.col("user_id") % 5).alias("till_id"), F.when(F.col("k") % 2 == 0, "void").otherwise("open").alias("kind"), F.col("k").alias("amount_minor"))
     serving = spark.range(16).select(F.concat(F.lit("q"), "id").alias("queue_id"), F.concat(F.lit("r"), F.col("id") % 5).alias("register_id"))
-    return incidents.timeline(_some_incidents(spark, d), P.rule_events(spark, d), tills=tills, serving=serving)
+    return incidents.timeline(_some_incidents(spark, d), P.rule_events(spark, d).withColumns({"store_id": F.lit("s1"), "run_id": F.lit(None).cast("string")}), tills=tills, serving=serving)
 
 
 _TIMELINE = f"""WITH {_EV.split(',' + chr(10) + 'late')[0]}, i0 AS (SELECT event_id::VARCHAR AS incident_id, (epoch_us(ts) // 1000) AS o, (epoch_us(ts) // 1000) + 60000 AS dt, CASE WHEN (props->>'k')::INT % 2 = 0 THEN (epoch_us(ts) // 1000) + (props->>'k')::INT * 120000 END AS r,

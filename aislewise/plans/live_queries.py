@@ -53,11 +53,11 @@ def footfall_reload(spark, d):
 
 
 _RELOAD = f"""WITH {_WINDOWS}, d AS (SELECT *, start_ms + 3600000 >= {_LATER} AND start_ms + 3600000 < {_BACK} AS new FROM win),
-h AS (SELECT *, count(*) OVER p AS c, coalesce(sum(n) OVER p, 0) AS s FROM d WINDOW p AS (PARTITION BY zone_id ORDER BY start_ms ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, count(*) OVER p AS c, coalesce(sum(n) OVER p, 0) AS s FROM d WINDOW p AS (PARTITION BY who, zone_id ORDER BY start_ms ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
 k AS (SELECT *, c = 12 AND n >= CASE WHEN new THEN 2 ELSE 3 END AND n * 12 > CASE WHEN new THEN 1.2 ELSE 1.5 END * s AS spike FROM h),
-l AS (SELECT *, coalesce(lag(spike) OVER (PARTITION BY zone_id ORDER BY start_ms), false) AS was FROM k),
-o AS (SELECT *, last_value(CASE WHEN spike AND NOT was THEN start_ms END IGNORE NULLS) OVER (PARTITION BY zone_id ORDER BY start_ms) AS onset_ms FROM l),
-r AS (SELECT *, md5('R-FOOT-001|' || CASE WHEN new THEN '2' ELSE '1' END || '|s1|null|' || zone_id || '|' || onset_ms) AS m FROM o WHERE spike <> was)
+l AS (SELECT *, coalesce(lag(spike) OVER (PARTITION BY who, zone_id ORDER BY start_ms), false) AS was FROM k),
+o AS (SELECT *, last_value(CASE WHEN spike AND NOT was THEN start_ms END IGNORE NULLS) OVER (PARTITION BY who, zone_id ORDER BY start_ms) AS onset_ms FROM l),
+r AS (SELECT *, md5('R-FOOT-001|' || CASE WHEN new THEN '2' ELSE '1' END || '|' || who || '|' || zone_id || '|' || onset_ms) AS m FROM o WHERE spike <> was)
 SELECT {_UUID} AS incident_id, CASE WHEN spike THEN 'OPENED' ELSE 'RESOLVED' END AS kind, zone_id AS key, onset_ms, start_ms + 3600000 AS detected_ms,
  CASE WHEN new THEN '2.0.0' ELSE '1.1.0' END AS version, CASE WHEN new THEN 'shadow' ELSE 'enforce' END AS mode, CASE WHEN new THEN 'high' ELSE 'low' END AS severity FROM r"""
 

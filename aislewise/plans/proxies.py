@@ -68,7 +68,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_events(spark: SparkSession, d: str) -> DataFrame:
-    """Store events: views enter and clicks leave a zone, purchases carry a queue length, signups open a register, errors tick.
+    """Events of four stores, live and of a run: views enter and clicks leave a zone, purchases carry a queue length, signups open a register, errors tick.
 
     Arrival is event order put back by a delay that depends on the id, so some events come late.
     """
@@ -76,7 +76,7 @@ def rule_events(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "zone.entered", "click", "zone.exited", "purchase", "queue.length", "signup", "register.opened", "error", "clock.tick")]), F.col("event_type"))
     delay = F.when(F.col("event_id") % 11 == 0, (F.col("event_id") * 7919 % 40) * 60_000).otherwise(0)
     return e.select(
-        F.lit("s1").alias("store_id"), null_run(), ((F.col("t_ms") + delay) * 100_000 + F.col("event_id")).alias("arrival"), F.col("event_id").cast("string").alias("id"), F.concat(F.lit("com.retail.store."), kind).alias("type"), "t_ms",
+        F.concat(F.lit("s"), F.col("user_id") % 4).alias("store_id"), F.when(F.col("user_id") % 5 == 0, "run-1").alias("run_id"), ((F.col("t_ms") + delay) * 100_000 + F.col("event_id")).alias("arrival"), F.col("event_id").cast("string").alias("id"), F.concat(F.lit("com.retail.store."), kind).alias("type"), "t_ms",
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("sequence"), F.concat(F.lit("z"), F.col("user_id") % 3).alias("zone_id"), F.concat(F.lit("trk-"), F.col("user_id")).alias("track_id"), F.lit(None).cast("string").alias("how"),
         F.concat(F.lit("q"), F.col("user_id") % 16).alias("queue_id"), F.floor(F.col("value") / 10).cast("int").alias("length"),
     )

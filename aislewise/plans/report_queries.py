@@ -238,7 +238,7 @@ SQL = {
     "gated_scores": _GATED, "noise_report": _DROPS,
     "best_setting": f"WITH {_SCORES} SELECT scenario, rule_id, n_recall FROM s ORDER BY n_recall < 10, n_recall % 10 DESC, scenario, rule_id LIMIT 1",
     "incident_list": f"SELECT event_id AS incident_id, {_MS} AS detected_ms FROM events WHERE (props->>'k')::INT % 2 = 0 AND event_type IN ('view', 'click') AND user_id % 5 = 3 ORDER BY detected_ms DESC, incident_id LIMIT 200",
-    "dropped_late": f"WITH {_EV} SELECT 's1' AS store_id, count(*) FILTER (late) AS late FROM late",
+    "dropped_late": f"WITH {_EV} SELECT split_part(who, '|', 1) AS store_id, count(*) FILTER (late) AS late FROM late GROUP BY who",
     "routed_rules": f"SELECT 'enforce' AS mode, 'R-QUEUE-001' AS rule_id, count(*) AS n FROM ({_QUEUE}) UNION ALL SELECT 'shadow', 'R-DWELL-001', count(*) FROM ({_DWELL})",
     "occupancy_errors": _OCC, "ignored_tracks": _IGNORED, "queue_lengths": _LENGTHS,
     "clock_ticks": f"WITH s AS (SELECT user_id % 3 AS c, min({_MS}) AS a, max({_MS}) AS b FROM events GROUP BY 1) SELECT 'c' || c AS sequence, i::INT AS seq, (a + i * 3600000) AS t_ms FROM (SELECT c, a, unnest(range(0, (b - a) // 3600000 + 1)) AS i FROM s)",
