@@ -9,9 +9,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from aislewise.functions import settings
-from aislewise.operators import grid, rates, reload, rules
+from aislewise.operators import grid, ingest, rates, reload, rules
 from aislewise.plans import proxies as P
-from aislewise.plans.event_queries import _UUID, _WINDOWS, RULES
+from aislewise.plans.event_queries import _UUID, _VALIDATE, _WINDOWS, RULES, envelopes
 from aislewise.plans.proxies import table
 from aislewise.sources import files, folders, xlsx
 from aislewise.streaming import upserts
@@ -171,6 +171,42 @@ def log_dropped(spark, d):
 _DROPPED = f"SELECT 's' || (user_id % 7) AS store_id, event_type AS type, {_MS} AS t_ms, event_id, ts::DATE AS received_date FROM events WHERE ts >= TIMESTAMP '2024-01-10'"
 
 
+# ---- dead letters and drop folders (S18, S5) ----------------------------------------------------------------------
+
+
+def dead_letters(spark, d):
+    """Invalid and conflicting envelopes: every seventh is sent again with another length, every eleventh unchanged."""
+    e = envelopes(spark, d).drop("t_ms")
+    again = e.where(F.col("arrival") % 7 == 0).withColumns({"data": F.replace("data", F.lit('"openRegisters":1'), F.lit('"openRegisters":2')), "arrival": F.col("arrival") + 10_000_000})
+    same = e.where(F.col("arrival") % 11 == 0).withColumn("arrival", F.col("arrival") + 20_000_000)
+    hashed = ingest.hashed(ingest.validate(e.union(again).union(same), F.lit(1_706_745_600_000).cast("long")))
+    return ingest.dead_letters(ingest.dedup(hashed), 60).select("id", "arrival", "reason", "errors")
+
+
+_LETTERS = f"""WITH v AS ({_VALIDATE}), e AS (SELECT id, id::BIGINT AS arrival, false AS other, errors FROM v
+ UNION ALL SELECT id, id::BIGINT + 10000000, id::BIGINT % 19 <> 0, errors FROM v WHERE id::BIGINT % 7 = 0 UNION ALL SELECT id, id::BIGINT + 20000000, false, errors FROM v WHERE id::BIGINT % 11 = 0)
+SELECT id, arrival, CASE WHEN errors <> '' THEN 'INVALID' ELSE 'CONFLICT' END AS reason, left(errors, 60) AS errors FROM e WHERE errors <> '' OR other"""
+
+
+def drop_folder(spark, d):
+    """Events dropped as files by type: those that match and have settled are taken, read and moved; files of a bad row are set aside."""
+    e = P.events(spark, d).select("event_id", "event_type", "k", F.col("event_type").alias("part"))
+    inbox, work, done, failed = (P.scratch(spark, f"drop-{n}") for n in ("in", "work", "done", "failed"))
+    staged = P.scratch(spark, "drop-staged")
+    e.repartition("part").write.partitionBy("part").json(staged)
+    for part in (f for f in folders.children(spark, staged) if f.startswith("part=")):
+        for name in (f for f in folders.children(spark, f"{staged}/{part}") if f.endswith(".json")):
+            folders.move(spark, f"{staged}/{part}/{name}", f"{inbox}/{part.partition('=')[2]}-{name}")
+    taken = files.take_settled(spark, inbox, "[a-p]*.json", work, min_age_s=0)  # click, error, purchase
+    rows = spark.read.schema("event_id long, event_type string, k long").json(work).withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    good, bad = files.finish_files(spark, taken, rows.where("event_type = 'error'").select("_file"), done, failed)
+    moved = lambda folder, state: spark.read.schema("event_id long, event_type string, k long").json(folder).withColumn("state", F.lit(state))
+    return moved(done, "done").union(moved(failed, "failed")) if good and bad else moved(done if good else failed, "done" if good else "failed")
+
+
+_FOLDER = "SELECT event_id, event_type, (props->>'k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS state FROM events WHERE event_type IN ('click', 'error', 'purchase')"
+
+
 # ---- rates (A23) --------------------------------------------------------------------------------------------------
 
 
@@ -234,9 +270,9 @@ c AS (SELECT setting, any_value(gv) AS gv, any_value(gk) AS gk, q, t, count(*) F
 o AS (SELECT setting, any_value(gv) AS gv, any_value(gk) AS gk, q, avg((abs(x) <= 1)::INT) AS w, avg(abs(x)) AS m FROM c GROUP BY setting, q),
 r AS (SELECT setting, any_value(gv) AS value, any_value(gk) AS k, count(*) FILTER (w >= 0.9 AND m <= 1.0) AS passing, round(avg(w), 4) AS mean_within1, round(avg(m), 4) AS mean_mae FROM o GROUP BY setting)"""
 
-QUERIES = {f.__name__: f for f in (footfall_reload, rule_fold_reload, setting_columns, xlsx_scan, incident_batches, score_batches, outbox_purge, log_dropped, late_ratios, latency_quantiles, grid_settings, grid_choice)}
+QUERIES = {f.__name__: f for f in (footfall_reload, rule_fold_reload, setting_columns, xlsx_scan, incident_batches, score_batches, outbox_purge, log_dropped, dead_letters, drop_folder, late_ratios, latency_quantiles, grid_settings, grid_choice)}
 SQL = {
     "footfall_reload": _RELOAD, "setting_columns": _SETTINGS, "xlsx_scan": _XLSX, "incident_batches": _INCIDENTS, "score_batches": _BATCHES, "outbox_purge": _PURGE, "log_dropped": _DROPPED,
-    "late_ratios": _RATIOS, "latency_quantiles": _QUANTILES, "grid_settings": f"WITH {_SETTING_ROWS} SELECT * FROM r",
+    "dead_letters": _LETTERS, "drop_folder": _FOLDER, "late_ratios": _RATIOS, "latency_quantiles": _QUANTILES, "grid_settings": f"WITH {_SETTING_ROWS} SELECT * FROM r",
     "grid_choice": f"WITH {_SETTING_ROWS} SELECT * FROM r ORDER BY passing DESC, mean_within1 DESC, mean_mae, setting LIMIT 1",
 }

@@ -28,6 +28,14 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file; folders above the target are made."""
+    old, fs = _of(spark, source)
+    new, _ = _of(spark, target)
+    fs.mkdirs(new.getParent())
+    return fs.rename(old, new)
+
+
 def drop_expired_days(spark: SparkSession, path: str, today: date, keep_days: int = 30, column: str = "received_date") -> list[date]:
     """Removes the day partitions of a log that are past their retention, and says which.
 
