@@ -393,6 +393,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back; null html is an empty payload, equal small payloads are no revisits."""
     path = common.new_path(spark, "warc")
     write_pages(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return read_pages(spark, path)

@@ -132,6 +132,7 @@ def count_pieces(docs: DataFrame, pieces: Iterable[bytes], inner: bytes = b"", b
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, pieces and unknown words of every document; null texts count as empty, repeated rows repeat."""
     pieces = byte_level_pieces(public_tokenizers.path("byte_bpe_50k.json"))
     return count_pieces(common.table(spark, sf_dir, "documents").select("doc_id", "text"), pieces).select("doc_id", "n_words", "n_pieces", "n_unknown")
 

@@ -5,7 +5,8 @@ import random
 import corpus_pipeline
 import pytest
 
-from aislewise.llm import near_copies
+from aislewise.llm import common, near_copies
+from tests.compare import SMALL
 
 
 def plain_shingles(text):
@@ -59,3 +60,42 @@ def test_stage_finds_pairs_of_eight_tenths(spark, monkeypatch, block):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_copies.one_of_each_group(docs).count() == 0
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    """Copies of 60,000 words with few changes, and columns called as the stage's own."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(60_000)]
+    near, far = list(words), list(words)
+    for at in rng.sample(range(60_000), 500):  # five shingles each: similarity 0.92
+        near[at] = "x"
+    for at in rng.sample(range(60_000), 5000):  # 0.42
+        far[at] = "y"
+    rows = [(1, " ".join(words), 1, "a", 0.5, 7, 8), (2, " ".join(near), 2, "b", 0.5, 7, 8), (3, " ".join(far), 3, "c", 0.5, 7, 8), (4, "one " * 90_000, 4, "d", 0.5, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, FP long, root string, `bands.x` double, component_id int, n int")
+    kept = near_copies.one_of_each_group(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted((r.doc_id, r.FP, r.root, r["bands.x"], r.component_id, r.n) for r in kept.collect()) == [(1, 1, "a", 0.5, 7, 8), (3, 3, "c", 0.5, 7, 8), (4, 4, "d", 0.5, 7, 8)]
+
+
+def test_recall_over_all_documents(spark):
+    """Every pair of the table's documents at 0.8 or more is found, and no other document goes."""
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    sets = sorted(((d, plain_shingles(t)) for d, t in map(tuple, docs.collect())), key=lambda r: len(r[1]))
+    label = {d: d for d, _ in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, (a, own) in enumerate(sets):
+        for b, other in sets[i + 1 :]:
+            if 5 * len(own) < 4 * len(other):
+                break
+            shared = len(own & other)
+            if 5 * shared >= 4 * (len(own) + len(other) - shared):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in near_copies.one_of_each_group(docs).collect()}
+    assert kept == {d for d in label if label[d] == d} and len(kept) < len(label)
