@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from aislewise.functions.shared import stored
 
 CELL = "_cell"
-_FROM, _TO = W.unboundedPreceding, W.unboundedFollowing
+_FROM, _PLACE = W.unboundedPreceding, "_place"
 
 
 @dataclass(frozen=True)
 class Running:
     """A running value of a column: sum, min, max or last (its last value that is not null).
 
-    exclusive leaves the row itself out; backward runs from the end. Nulls count as nothing.
+    exclusive leaves the row itself out; backward runs from the end. Nulls count as nothing. Windows that run from the end
+    are windows from the start in falling order: Spark adds to these row by row, but counts frames that end with the
+    partition anew for each row.
     """
 
     value: str
@@ -33,9 +35,8 @@ class Running:
     exclusive: bool = False
     backward: bool = False
 
-    def inside(self, w: WindowSpec) -> dict[str, Column]:
-        near = 1 if self.exclusive else 0
-        frame = w.rowsBetween(near, _TO) if self.backward else w.rowsBetween(_FROM, -near)
+    def inside(self, rising: WindowSpec, falling: WindowSpec) -> dict[str, Column]:
+        frame = (falling if self.backward else rising).rowsBetween(_FROM, -1 if self.exclusive else 0)
         return {"in": self._of(self.value, frame)}
 
     def total(self, at: dict[str, Column], place: Column) -> dict[str, Column]:
@@ -44,8 +45,8 @@ class Running:
             return {"all": (F.min_by if self.backward else F.max_by)(self.value, own)}
         return {"all": {"sum": F.sum, "min": F.min, "max": F.max}[self.kind](self.value)}
 
-    def before(self, at: dict[str, Column], w: WindowSpec) -> dict[str, Column]:
-        return {"pre": self._of(at["all"], w.rowsBetween(1, _TO) if self.backward else w.rowsBetween(_FROM, -1))}
+    def before(self, at: dict[str, Column], rising: WindowSpec, falling: WindowSpec) -> dict[str, Column]:
+        return {"pre": self._of(at["all"], (falling if self.backward else rising).rowsBetween(_FROM, -1))}
 
     def result(self, at: dict[str, Column]) -> Column:
         a, b = at["in"], at["pre"]
@@ -55,7 +56,7 @@ class Running:
 
     def _of(self, value, frame: WindowSpec) -> Column:
         if self.kind == "last":
-            return (F.first if self.backward else F.last)(value, True).over(frame)
+            return F.last(value, True).over(frame)
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.kind](value).over(frame)
 
 
@@ -68,8 +69,8 @@ class Clamped:
 
     value: str
 
-    def inside(self, w: WindowSpec) -> dict[str, Column]:
-        return {"run": F.sum(self.value).over(w.rowsBetween(_FROM, 0))}
+    def inside(self, rising: WindowSpec, falling: WindowSpec) -> dict[str, Column]:
+        return {"run": F.sum(self.value).over(rising.rowsBetween(_FROM, 0))}
 
     def second(self, at: dict[str, Column], w: WindowSpec) -> dict[str, Column]:
         return {"low": F.min(at["run"]).over(w.rowsBetween(_FROM, 0))}
@@ -77,8 +78,8 @@ class Clamped:
     def total(self, at: dict[str, Column], place: Column) -> dict[str, Column]:
         return {"sum": F.sum(self.value), "least": F.min(at["run"])}
 
-    def before(self, at: dict[str, Column], w: WindowSpec) -> dict[str, Column]:
-        return {"base": F.coalesce(F.sum(at["sum"]).over(w.rowsBetween(_FROM, -1)), F.lit(0))}
+    def before(self, at: dict[str, Column], rising: WindowSpec, falling: WindowSpec) -> dict[str, Column]:
+        return {"base": F.coalesce(F.sum(at["sum"]).over(rising.rowsBetween(_FROM, -1)), F.lit(0))}
 
     def lowest(self, at: dict[str, Column], w: WindowSpec) -> dict[str, Column]:
         return {"floor": F.min(at["base"] + at["least"]).over(w.rowsBetween(_FROM, -1))}
@@ -102,22 +103,24 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], values
 
 def scan_cells(celled: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: dict[str, Running | Clamped]) -> DataFrame:
     """scan() over rows that in_cells() has dealt by the same key and order; _cell stays."""
-    own = W.partitionBy(CELL, *by).orderBy(*order)
-    rows, parts, needs_place = celled, {}, any(isinstance(v, Running) and v.kind == "last" for v in values.values())
-    if needs_place:
-        rows = rows.withColumn("_place", F.row_number().over(own))
+    own = W.partitionBy(CELL, *by)
+    rising, falling = own.orderBy(*order), own.orderBy(F.desc(_PLACE))
+    rows, parts = celled, {}
+    if any(isinstance(v, Running) and (v.kind == "last" or v.backward) for v in values.values()):
+        rows = rows.withColumn(_PLACE, F.row_number().over(rising))
     for name, value in values.items():
-        at = {k: f"_{name}_{k}" for k in value.inside(own)}
-        rows = rows.withColumns({at[k]: c for k, c in value.inside(own).items()})
+        inside = value.inside(rising, falling)
+        at = {k: f"_{name}_{k}" for k in inside}
+        rows = rows.withColumns({at[k]: c for k, c in inside.items()})
         if isinstance(value, Clamped):
-            rows = rows.withColumns({f"_{name}_{k}": c for k, c in value.second({k: F.col(c) for k, c in at.items()}, own).items()})
+            rows = rows.withColumns({f"_{name}_{k}": c for k, c in value.second({k: F.col(c) for k, c in at.items()}, rising).items()})
         parts[name] = at
-    totals = rows.groupBy(CELL, *by).agg(*[c.alias(f"_{name}_{k}") for name, v in values.items() for k, c in v.total({k: F.col(c) for k, c in parts[name].items()}, F.col("_place")).items()])
-    along = W.partitionBy(*by).orderBy(CELL)  # a row a cell of the key
+    totals = rows.groupBy(CELL, *by).agg(*[c.alias(f"_{name}_{k}") for name, v in values.items() for k, c in v.total({k: F.col(c) for k, c in parts[name].items()}, F.col(_PLACE)).items()])
+    along, back = W.partitionBy(*by).orderBy(CELL), W.partitionBy(*by).orderBy(F.desc(CELL))  # a row a cell of the key
     for name, v in values.items():
         col = lambda k, name=name: F.col(f"_{name}_{k}")
         seen = {k: col(k) for k in v.total({k: F.lit(None) for k in parts[name]}, F.lit(None))}
-        new = v.before(seen, along)
+        new = v.before(seen, along, back)
         totals = totals.withColumns({f"_{name}_{k}": c for k, c in new.items()})
         if isinstance(v, Clamped):
             totals = totals.withColumns({f"_{name}_{k}": c for k, c in v.lowest({**seen, "base": col("base")}, along).items()})
