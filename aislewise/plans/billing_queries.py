@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions import buckets as B
 from aislewise.functions import ids, money
-from aislewise.operators import billing, reconcile, traffic
+from aislewise.operators import billing, reconcile
 from aislewise.plans import proxies as P
 from aislewise.plans.proxies import ZONE, table
 
