@@ -83,7 +83,7 @@ def voucher_scan(spark, d):
     path = P.scratch(spark, "xml")
     s = table(spark, d, "supplier")
     kind = F.element_at(F.array(*map(F.lit, ("Sales", "Credit Note", "Receipt", "Memo"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    item = lambda k: F.struct(F.concat(F.lit(f"item {k} of "), "s_name").alias("STOCKITEMNAME"), F.concat(F.lit(" 1,"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0"), F.lit(".5 kg")).alias("ACTUALQTY"), F.format_string("-%.2f", F.abs("s_acctbal") + k).alias("AMOUNT"))
+    item = lambda k: F.struct(F.concat(F.lit(f"item {k} of "), "s_name").alias("STOCKITEMNAME"), F.concat(F.lit(" 1,"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), F.lit(".5 kg")).alias("ACTUALQTY"), F.format_string("-%.2f", F.abs("s_acctbal") + k).alias("AMOUNT"))
     v = s.select(kind.alias("VOUCHERTYPENAME"), F.col("s_suppkey").cast("string").alias("VOUCHERNUMBER"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 300).cast("int")), "yyyyMMdd").alias("DATE"), F.array(item(1), item(2)).alias("ALLINVENTORYENTRIES.LIST"))
     v.write.option("rowTag", "VOUCHER").option("rootTag", "ENVELOPE").format("xml").save(path)
     return polling.voucher_lines(polling.read_vouchers(spark, path))

@@ -31,3 +31,8 @@ def same(spark, name: str, folder: str) -> bool:
 def test_moments_of_types_with_a_zero_or_a_value_under_it(spark, tmp_path):
     d = tables(tmp_path, events="SELECT * REPLACE (CASE WHEN event_id % 50 = 7 AND event_type <> 'view' THEN 0.0 WHEN event_id % 50 = 8 AND event_type = 'view' THEN -value ELSE value END AS value) FROM events")
     assert same(spark, "moments", d)
+
+
+def test_vouchers_of_suppliers_of_four_digits(spark, tmp_path):
+    d = tables(tmp_path, supplier="SELECT * REPLACE (s_suppkey + c * 997 AS s_suppkey) FROM supplier, range(0, 40, 13) r(c)")
+    assert same(spark, "voucher_scan", d)
