@@ -88,12 +88,15 @@ SELECT event_id, CASE WHEN k % 7 <> 0 THEN (CASE WHEN k % 3 = 0 THEN 86400000 EL
 
 
 def xlsx_scan(spark, d):
-    """All parts written as workbooks and scanned: numbers, texts with blanks at their ends, dates."""
+    """All parts written as workbooks and scanned: numbers, texts with blanks at their ends, dates.
+
+    A task's rows beyond those of a sheet are in its next sheets, so all sheets are read.
+    """
     p = table(spark, d, "part")
     rows = p.select(F.col("p_partkey").alias("Part"), F.concat(F.lit(" "), "p_name", F.lit(" <&>")).alias("Name"), F.col("p_retailprice").alias("Price"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).alias("Day"), (F.col("p_size") > 25).alias("Large"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("Kind"))
     path = P.scratch(spark, "workbooks")
-    xlsx.write_xlsx(rows, path, "Parts")
-    back = xlsx.read_xlsx(spark, path, rows.columns, "Parts")
+    xlsx.write_xlsx(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "Part"), path, "Parts")
+    back = xlsx.read_xlsx(spark, path, rows.columns, "*")
     return back.select(F.col("Part").cast("long").alias("part"), F.col("Name").alias("name"), F.col("Price").cast("double").alias("price"), F.to_date("Day").alias("day"), F.col("Large").cast("boolean").alias("large"), F.col("Kind").alias("kind"))
 
 

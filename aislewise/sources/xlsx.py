@@ -251,38 +251,48 @@ class XlsxReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    paths: list[str]
 
 
 class XlsxWriter(DataSourceWriter):
-    """Each task writes a workbook, of as many sheets as its rows need; it gets its name when the job is committed."""
+    """Each task writes a workbook, of as many sheets as its rows need; it gets its name when the job is committed.
+
+    Another workbook begins where one comes to half of what may be unpacked, so that all can be read again.
+    """
 
     def __init__(self, options: dict[str, str], schema, overwrite: bool):
         self.o, self.names, self.overwrite = options, schema.names, overwrite
         self.rows = min(int(options.get("sheetrows", MAX_ROWS)), MAX_ROWS) - 1
+        self.most = int(options.get("maxunpacked", MAX_UNPACKED)) // 2
 
     def write(self, iterator) -> Written:
         system, folder = _system(self.o["path"])
         system.create_dir(folder, recursive=True)
-        path = f"{folder.rstrip('/')}/_{uuid.uuid4().hex}.xlsx"
-        rows = iter(iterator)
-        with system.open_output_stream(path) as file, zipfile.ZipFile(_Counted(file), "w", zipfile.ZIP_DEFLATED) as book:
-            n = 0
-            row = next(rows, None)
-            while row is not None or n == 0:
-                n += 1
-                with book.open(f"xl/worksheets/sheet{n}.xml", "w", force_zip64=True) as sheet:
-                    sheet.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
-                    sheet.write(_row_xml(1, self.names))
-                    for i in range(self.rows):
-                        if row is None:
-                            break
-                        sheet.write(_row_xml(i + 2, row))
-                        row = next(rows, None)
-                    sheet.write(b"</sheetData></worksheet>")
-            for part, text in _frame(n, self.o.get("sheet", "Sheet")).items():
-                book.writestr(part, text)
-        return Written(path)
+        rows, paths = iter(iterator), []
+        row = next(rows, None)
+        while row is not None or not paths:
+            paths.append(f"{folder.rstrip('/')}/_{uuid.uuid4().hex}.xlsx")
+            with system.open_output_stream(paths[-1]) as file, zipfile.ZipFile(_Counted(file), "w", zipfile.ZIP_DEFLATED) as book:
+                row = self._book(book, row, rows)
+        return Written(paths)
+
+    def _book(self, book: zipfile.ZipFile, row, rows: Iterator):
+        """Writes row and rows as far as the workbook goes; the first row that is left."""
+        n = size = 0
+        while n == 0 or (row is not None and size < self.most):
+            n += 1
+            with book.open(f"xl/worksheets/sheet{n}.xml", "w", force_zip64=True) as sheet:
+                sheet.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
+                sheet.write(_row_xml(1, self.names))
+                for i in range(self.rows):
+                    if row is None or size >= self.most:
+                        break
+                    size += sheet.write(_row_xml(i + 2, row))
+                    row = next(rows, None)
+                sheet.write(b"</sheetData></worksheet>")
+        for part, text in _frame(n, self.o.get("sheet", "Sheet")).items():
+            book.writestr(part, text)
+        return row
 
     def commit(self, messages) -> None:
         from pyarrow import fs
@@ -292,13 +302,13 @@ class XlsxWriter(DataSourceWriter):
             for info in system.get_file_info(fs.FileSelector(folder)):
                 if info.is_file and info.extension == "xlsx" and not info.base_name.startswith("_"):
                     system.delete_file(info.path)
-        for m in filter(None, messages):
-            head, name = m.path.rsplit("/", 1)
-            system.move(m.path, f"{head}/book-{name[1:]}")
+        for path in (p for m in filter(None, messages) for p in m.paths):
+            head, name = path.rsplit("/", 1)
+            system.move(path, f"{head}/book-{name[1:]}")
 
     def abort(self, messages) -> None:
-        for m in filter(None, messages):
-            _system(self.o["path"])[0].delete_file(m.path)
+        for path in (p for m in filter(None, messages) for p in m.paths):
+            _system(self.o["path"])[0].delete_file(path)
 
 
 class _Counted:
@@ -370,7 +380,7 @@ def _frame(sheets: int, title: str) -> dict[str, str]:
 
 
 class XlsxDataSource(DataSource):
-    """Format "xlsx". Options to read: sheet (a name; first by default; "*" for all), maxunpacked; to write: sheet, sheetrows."""
+    """Format "xlsx". Options to read: sheet (a name; first by default; "*" for all), maxunpacked; to write: sheet, sheetrows, maxunpacked."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,7 +7,8 @@ from pathlib import Path
 import duckdb
 
 from aislewise.plans import registry
-from tests.compare import SMALLEST, difference
+from aislewise.sources import xlsx
+from tests.compare import SMALL, SMALLEST, difference
 
 
 def tables(folder: Path, **changed: str) -> str:
@@ -36,3 +37,20 @@ def test_moments_of_types_with_a_zero_or_a_value_under_it(spark, tmp_path):
 def test_vouchers_of_suppliers_of_four_digits(spark, tmp_path):
     d = tables(tmp_path, supplier="SELECT * REPLACE (s_suppkey + c * 997 AS s_suppkey) FROM supplier, range(0, 40, 13) r(c)")
     assert same(spark, "voucher_scan", d)
+
+
+def _written(rows, path, sheet, **options):
+    rows.sparkSession.dataSource.register(xlsx.XlsxDataSource)
+    rows.write.format("xlsx").options(sheet=sheet, **options).mode("append").save(path)
+
+
+def test_workbooks_of_more_rows_than_a_sheet_has(spark, monkeypatch):
+    monkeypatch.setattr(xlsx, "write_xlsx", lambda rows, path, sheet: _written(rows, path, sheet, sheetrows=100))
+    assert same(spark, "xlsx_scan", SMALL)
+
+
+def test_rows_of_a_task_beyond_what_may_be_unpacked_are_further_workbooks(spark, tmp_path):
+    _written(spark.range(3000).selectExpr("id as n", "repeat('x', 100) as text").coalesce(1), str(tmp_path), "S", maxunpacked=200_000)
+    assert len(list(tmp_path.glob("book-*.xlsx"))) > 3
+    rows = spark.read.format("xlsx").options(sheet="*", maxunpacked=200_000).load(str(tmp_path)).selectExpr("cast(cells['n'] as long) as n")
+    assert sorted(r.n for r in rows.collect()) == list(range(3000))
