@@ -21,13 +21,11 @@ def to_minor(text: Column, decimals: int = 2, decimal_sep: str = ".", thousands_
     if thousands_sep:
         digits = F.replace(digits, F.lit(thousands_sep), F.lit(""))
     digits = F.replace(digits, F.lit(decimal_sep), F.lit("."))
-    fits = digits.rlike(r"^(\d+(\.\d*)?|\.\d+)$")
-    value = F.when(fits, digits).try_cast(WIDE)
-    minor = F.bround(value * (10**decimals), 0).try_cast("long")
-    minor = F.when(negative, -minor).otherwise(minor)
+    value = F.regexp_extract(digits, r"^(\d+(\.\d*)?|\.\d+)$", 0).try_cast(WIDE)  # other texts give "", which is no number
+    minor = F.bround(value * (10**decimals), 0).try_cast("long") * F.when(negative, -1).otherwise(1)  # the text is read once
     refused = raw.rlike(r"(?i)\b(dr|cr)\.?$")
     error = F.when(raw == "", "amount is empty").when(refused, "debit or credit mark in amount").when(minor.isNull(), F.concat(F.lit("not an amount: "), raw))
-    return F.when(error.isNull(), minor), error
+    return F.when(~refused, minor), error
 
 
 def basis_points(diff: Column, a: Column, b: Column) -> Column:

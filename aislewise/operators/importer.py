@@ -100,18 +100,19 @@ def bill_lines(rows: DataFrame, profile: Profile, secret: bytes) -> DataFrame:
     amount, amount_error = to_minor(F.col("amount"), profile.decimals)
     tax, tax_error = to_minor(F.col("tax"), profile.decimals)
     unit, unit_error = mapped(profile, "unit", F.col("unit"))
-    place = F.row_number().over(W.partitionBy("bill_no").orderBy("_order"))
-    line = F.coalesce(F.col("line_no").try_cast("int"), F.when(F.col("line_no").isNull(), place))
-    t_ms = event_time(profile, F.col("date"), F.col("time"))
-    errors = [
-        F.when(F.col("bill_no").isNull(), "empty bill number"), F.when(line.isNull() | ~line.between(1, 10000), "line number out of range"), F.when(F.col("sku").isNull(), "no sku"),
-        F.when(t_ms.isNull(), "unreadable time"), qty_error, amount_error, F.when(F.col("tax").isNotNull(), tax_error), unit_error,
-    ]
-    return rows.select(
-        F.when(F.col("bill_no").isNotNull(), reference("bill", F.col("bill_no"), secret)).alias("bill_ref"), F.col("_order"), t_ms.alias("t_ms"), slug(F.coalesce("till", F.lit("till-1"))).alias("till_id"),
-        line.alias("line_no"), sku(F.col("sku")).alias("sku"), qty.alias("qty_milli"), F.coalesce(unit, F.lit("pcs")).alias("unit"), amount.alias("amount_minor"), F.when(F.col("tax").isNotNull(), tax).alias("tax_minor"),
-        F.array_join(F.array_compact(F.array(*errors)), "; ").alias("error"),
+    timed = rows.withColumn("_ms", event_time(profile, F.col("date"), F.col("time")))  # on its own, so that it is read once
+    errors = [F.when(F.col("sku").isNull(), "no sku"), F.when(F.col("_ms").isNull(), "unreadable time"), qty_error, amount_error, F.when(F.col("tax").isNotNull(), tax_error), unit_error]
+    # lines are dealt by their reference, by which bills are grouped afterwards, so they move once
+    parsed = timed.select(
+        F.when(F.col("bill_no").isNotNull(), reference("bill", F.col("bill_no"), secret)).alias("bill_ref"), F.col("_order"), F.col("_ms").alias("t_ms"), slug(F.coalesce("till", F.lit("till-1"))).alias("till_id"),
+        F.col("line_no").alias("_line"), sku(F.col("sku")).alias("sku"), qty.alias("qty_milli"), F.coalesce(unit, F.lit("pcs")).alias("unit"), amount.alias("amount_minor"), F.when(F.col("tax").isNotNull(), tax).alias("tax_minor"),
+        F.array_compact(F.array(*errors)).alias("_errors"),
     )
+    place = F.row_number().over(W.partitionBy("bill_ref").orderBy("_order"))
+    line = F.coalesce(F.col("_line").try_cast("int"), F.when(F.col("_line").isNull(), F.col("_place")))
+    numbered = parsed.withColumn("_place", place).withColumn("line_no", line)
+    first = F.array_compact(F.array(F.when(F.col("bill_ref").isNull(), "empty bill number"), F.when(F.col("line_no").isNull() | ~F.col("line_no").between(1, 10000), "line number out of range")))
+    return numbered.select("bill_ref", "_order", "t_ms", "till_id", "line_no", "sku", "qty_milli", "unit", "amount_minor", "tax_minor", F.array_join(F.concat(first, "_errors"), "; ").alias("error"))
 
 
 def imported_bills(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -84,8 +84,8 @@ def _lines(spark, d):
 
 def bill_line_rows(spark, d):
     """Source lines as canonical lines with what is wrong with each."""
-    out = _lines(spark, d).select("_order", "till_id", "line_no", "sku", "t_ms", "qty_milli", "unit", "amount_minor", (F.col("error") != "").alias("bad"))
-    return out.withColumnRenamed("_order", "place").groupBy(*[c for c in out.columns if c != "_order"], "place").agg(F.count("*").alias("copies"))
+    out = _lines(spark, d).select("bill_ref", F.col("_order").alias("place"), "till_id", "line_no", "sku", "t_ms", "qty_milli", "unit", "amount_minor", (F.col("error") != "").alias("bad"))
+    return out.groupBy(*out.columns).agg(F.count("*").alias("copies")).drop("bill_ref")  # a place has one bill, by which lines lie together
 
 
 _L = """l AS (SELECT l_orderkey AS o, l_orderkey * 8 + l_linenumber AS place, 'till-' || (l_suppkey % 4) AS till_id, l_linenumber::INT AS line_no, 'p-' || l_partkey AS sku, epoch_ms(date_trunc('day', l_shipdate) + INTERVAL 86399 SECOND) - 19800000 AS t_ms,

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import duckdb
 
-from aislewise.plans import registry
+from aislewise.plans import import_queries, registry
 from aislewise.sources import xlsx
 from tests.compare import SMALL, SMALLEST, difference
 
@@ -60,3 +60,9 @@ def test_timelines_of_dense_events(spark, tmp_path):
     """Incidents with more markers than stay, of registers and tills together, and with equal times."""
     dense = f"SELECT * REPLACE (TIMESTAMP '2024-01-02 03:00:00' + to_milliseconds((event_id * 7919 % 9000) * 1000) AS ts, CASE WHEN event_id % 9 = 0 THEN 'error' WHEN event_id % 5 < 3 THEN event_type ELSE 'click' END AS event_type) FROM read_parquet('{SMALL}/events.parquet') WHERE event_id % 9 > 0 OR event_id % 45 = 0"
     assert same(spark, "incident_timeline", tables(tmp_path, events=dense))
+
+
+def test_lines_of_bills_are_shuffled_once(spark):
+    counted = import_queries._lines(spark, SMALLEST).groupBy("bill_ref").count()
+    plans = [counted, import_queries.bill_line_rows(spark, SMALLEST)]
+    assert [p._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for p in plans] == [1, 1]
