@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from aislewise.functions import settings
+from aislewise.functions.shared import stored
 from aislewise.operators import grid, ingest, rates, reload, rules
 from aislewise.plans import proxies as P
 from aislewise.plans.event_queries import _UUID, _VALIDATE, _WINDOWS, RULES, envelopes
@@ -183,7 +184,8 @@ def dead_letters(spark, d):
     again = e.where(F.col("arrival") % 7 == 0).withColumns({"data": F.replace("data", F.lit('"openRegisters":1'), F.lit('"openRegisters":2')), "arrival": F.col("arrival") + 10_000_000})
     same = e.where(F.col("arrival") % 11 == 0).withColumn("arrival", F.col("arrival") + 20_000_000)
     hashed = ingest.hashed(ingest.validate(e.union(again).union(same), F.lit(1_706_745_600_000).cast("long")))
-    return ingest.dead_letters(ingest.dedup(hashed), 60).select("id", "arrival", "reason", "errors")
+    once = stored(hashed.select("source", "id", "arrival", "payload_hash", "errors"), "hashed")  # the first of each id and all copies come from here
+    return ingest.dead_letters(ingest.dedup(once), 60).select("id", "arrival", "reason", "errors")
 
 
 _LETTERS = f"""WITH v AS ({_VALIDATE}), e AS (SELECT id, id::BIGINT AS arrival, false AS other, errors FROM v

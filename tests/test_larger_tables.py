@@ -66,3 +66,13 @@ def test_lines_of_bills_are_shuffled_once(spark):
     counted = import_queries._lines(spark, SMALLEST).groupBy("bill_ref").count()
     plans = [counted, import_queries.bill_line_rows(spark, SMALLEST)]
     assert [p._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for p in plans] == [1, 1]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dead_letters_hash_envelopes_once_and_over_all_tasks(spark):
+    plan = _plan(registry.QUERIES["dead_letters"](spark, SMALLEST))
+    assert "PythonUDF" not in plan and "EvalPython" not in plan  # the stored rows have the hashes
+    assert "RepartitionByExpression [event_id" in _plan(registry.QUERIES["validate_collect_errors"](spark, SMALLEST))
