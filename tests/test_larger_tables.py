@@ -5,7 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
+from aislewise.operators import ingest
 from aislewise.plans import import_queries, registry
 from aislewise.sources import xlsx
 from tests.compare import SMALL, SMALLEST, difference
@@ -76,3 +78,20 @@ def test_dead_letters_hash_envelopes_once_and_over_all_tasks(spark):
     plan = _plan(registry.QUERIES["dead_letters"](spark, SMALLEST))
     assert "PythonUDF" not in plan and "EvalPython" not in plan  # the stored rows have the hashes
     assert "RepartitionByExpression [event_id" in _plan(registry.QUERIES["validate_collect_errors"](spark, SMALLEST))
+
+
+def test_rule_projection_reads_data_once_for_all_checks(spark):
+    plan = _plan(registry.QUERIES["rule_projection"](spark, SMALLEST))
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("json" in line for line in filters) and plan.count("from_json(") == 1
+
+
+def test_data_fields_are_those_of_get_json_object(spark):
+    """Odd objects: doubled and null fields, nested values, numbers of other forms, cut and wrong JSON."""
+    odd = [
+        '{"a":1e2,"b":-1e2,"c":1.50,"d":-0}', '{"a":{"x": 1, "y" : [1, 2]},"b":[1, "z" ],"c":true,"d":null}', "{'a':'x'}", '{"a":"t\tab"}', '{"a":"1"} more', '{"a":"1","b":}', '{"a":"1"', "", "null", '[{"a":1}]',
+        '{"a":"1","a":"2"}', '{"a":null,"a":"2"}', '{"a":"\\u00e9\\n"}', '{"a":012}', '{"a":NaN}', "{a:1}", '{"a":123456789012345678901234567890}', None,
+    ]
+    rows = spark.createDataFrame([(t,) for t in odd], "data string").withColumn("f", ingest._data_fields(F.col("data")))
+    for r in rows.select("data", *[F.struct(F.get_json_object("data", f"$.{c}"), F.col("f")[c]).alias(c) for c in "abcd"]).collect():
+        assert all(r[c][0] == r[c][1] for c in "abcd"), r
