@@ -33,6 +33,16 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def dealt_by(df: DataFrame, *keys: str, rows: int = 500_000) -> DataFrame:
+    """df dealt by keys to so many tasks that one holds about `rows` rows, and no fewer than the session's shuffle partitions.
+
+    For groups of nearly as many keys as rows, which would fill a task's memory before they are dealt and again after. Up
+    to 200 partitions Spark writes a shuffle straight to its files; more would collect the rows in memory to sort them.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200, -(-df.count() // rows)))
+    return df.repartition(n, *keys)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df evaluated once: written to the shared folder and read from there, whichever executor is lost."""
     path = scratch(df.sparkSession, label)

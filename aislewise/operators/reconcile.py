@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.buckets import from_ms, local_date
 from aislewise.functions.money import basis_points
+from aislewise.functions.shared import dealt_by
 
 THRESHOLD_BP = 50
 
@@ -21,10 +22,14 @@ def day_books(lines: DataFrame, voids: DataFrame, payments: DataFrame, zone: str
 
     Every event belongs to its own local day: the top revision of a bill and its void are looked up inside the day.
     """
-    revisions = lines.groupBy("store_id", _day(zone), "bill_ref", "revision").agg(F.sum("amount_minor").alias("amount"))
-    top = revisions.groupBy("store_id", "day", "bill_ref").agg(F.max_by("amount", "revision").alias("amount"), F.max("revision").alias("revision"))
-    voided = voids.where("kind = 'void'").select("store_id", _day(zone), "bill_ref", F.coalesce("revision", F.lit(0)).alias("revision")).distinct()
-    sales = top.join(voided, ["store_id", "day", "bill_ref", "revision"], "left_anti").groupBy("store_id", "day").agg(F.sum("amount").alias("sales"), F.count("*").alias("bills"))
+    key = ["store_id", "day", "bill_ref"]
+    own = lines.select("store_id", _day(zone), "bill_ref", "revision", "amount_minor", F.lit(False).alias("void"))
+    voided = voids.where("kind = 'void'").select("store_id", _day(zone), "bill_ref", F.coalesce("revision", F.lit(0)).alias("revision"), F.lit(None).cast("long").alias("amount_minor"), F.lit(True).alias("void"))
+    rows = dealt_by(own.unionByName(voided.dropna(subset=key)), *key)  # lines and voids of a bill's day in one task
+    revisions = rows.groupBy(*key, "revision").agg(F.sum("amount_minor").alias("amount"), F.bool_or("void").alias("void"), (~F.bool_and("void")).alias("lines"))
+    order = F.when(F.col("lines"), F.col("revision"))
+    top = revisions.groupBy(*key).agg(F.max_by("amount", order).alias("amount"), F.max_by("void", order).alias("void"), F.bool_or("lines").alias("lines"))
+    sales = top.where(F.col("lines") & ~F.coalesce("void", F.lit(False))).groupBy("store_id", "day").agg(F.sum("amount").alias("sales"), F.count("*").alias("bills"))
     paid = payments.groupBy("store_id", _day(zone), "tender").agg(
         F.coalesce(F.sum(F.when(F.col("direction") == "in", F.col("amount_minor"))), F.lit(0)).alias("paid_in"),
         F.coalesce(F.sum(F.when(F.col("direction") != "in", F.col("amount_minor"))), F.lit(0)).alias("paid_out"),

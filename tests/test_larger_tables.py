@@ -7,8 +7,10 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import functions as F
 
-from aislewise.operators import ingest
+from aislewise.functions.shared import dealt_by
+from aislewise.operators import ingest, reconcile
 from aislewise.plans import import_queries, registry
+from aislewise.plans import proxies as P
 from aislewise.sources import xlsx
 from tests.compare import SMALL, SMALLEST, difference
 
@@ -95,3 +97,21 @@ def test_data_fields_are_those_of_get_json_object(spark):
     rows = spark.createDataFrame([(t,) for t in odd], "data string").withColumn("f", ingest._data_fields(F.col("data")))
     for r in rows.select("data", *[F.struct(F.get_json_object("data", f"$.{c}"), F.col("f")[c]).alias(c) for c in "abcd"]).collect():
         assert all(r[c][0] == r[c][1] for c in "abcd"), r
+
+
+def test_bills_of_a_day_meet_their_voids_in_one_shuffle_over_as_many_tasks_as_rows_ask_for(spark):
+    sales, _ = reconcile.day_books(P.sale_lines(spark, SMALLEST), P.till_events(spark, SMALLEST), P.payment_rows(spark, SMALLEST), P.ZONE)
+    assert "Join" not in _plan(sales) and _plan(sales).count("RepartitionByExpression [store_id") == 1
+    assert dealt_by(spark.range(3000), "id", rows=100).rdd.getNumPartitions() == 30 and dealt_by(spark.range(30), "id").rdd.getNumPartitions() == 8
+
+
+def test_days_of_bills_without_revision_or_reference(spark):
+    """A void without revision fits revision 0, one of another day or without a reference fits nothing."""
+    day = 86_400_000
+    lines = [("s", 0, "a", 0, 5), ("s", 0, "b", 1, 7), ("s", 0, "b", 2, 9), ("s", 0, "c", None, 11), ("s", 0, None, 0, 13), ("s", day, "a", 0, 17), ("s", day, "d", 3, 19), ("s", day, "d", 2, 23)]
+    voids = [("s", 0, "a", None, "void"), ("s", 0, "b", 1, "void"), ("s", 0, None, 0, "void"), ("s", day, "d", 3, "void"), ("s", day, "a", 0, "open"), ("s", day, "e", 0, "void")]
+    sales, _ = reconcile.day_books(
+        spark.createDataFrame(lines, "store_id string, t_ms long, bill_ref string, revision int, amount_minor long"), spark.createDataFrame(voids, "store_id string, t_ms long, bill_ref string, revision int, kind string"),
+        spark.createDataFrame([], "store_id string, t_ms long, tender string, direction string, amount_minor long"), "UTC",
+    )
+    assert sorted((r.day.day, r.sales, r.bills) for r in sales.collect()) == [(1, 9 + 13, 3), (2, 17, 1)]
