@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aislewise.functions import buckets as B
+from aislewise.functions.shared import dealt_by
 
 
 def _ms(t: datetime) -> int:
@@ -28,20 +30,22 @@ def latest_bills(lines: DataFrame, till_events: DataFrame, start: datetime, end:
     """One row per bill and currency at the bill's latest revision.
 
     Bills with any line in the window are looked at; their revision and lines come from all time. bill_time is the
-    earliest line of that revision, till_id its smallest; voided if that very revision was voided. Only bills touched
-    in the window are grouped, so the shuffle is bounded by them and their lines.
+    earliest line of that revision, till_id its smallest; voided if that very revision was voided. Lines and voids are
+    dealt once by bill; revisions, voids and windows of a bill meet there.
     """
     key = ["store_id", "run_id", "bill_ref"]
-    touched = lines.where(in_window(start, end)).select(*key).distinct()
-    run = lambda df: df.withColumn("run_id", F.coalesce("run_id", F.lit("")))  # noqa: E731  null-safe equality as an equi-join key
-    own = run(lines).join(run(touched).withColumn("_t", F.lit(1)), key, "left_semi")
-    per_revision = own.groupBy(*key, "revision", "currency").agg(
-        F.min("t_ms").alias("bill_ms"), F.min("till_id").alias("till_id"), F.sum("amount_minor").alias("amount"), F.sum(F.coalesce("tax_minor", F.lit(0))).alias("tax"), F.count("*").alias("lines")
+    run = F.coalesce("run_id", F.lit("")).alias("run_id")  # a null run is a value
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    voids = till_events.where(F.col("kind") == "void").select("store_id", run, "bill_ref", "revision", none("string", "currency"), none("long", "t_ms"), none("string", "till_id"), none("long", "amount_minor"), none("long", "tax_minor"), F.lit(True).alias("void"))
+    own = lines.select("store_id", run, "bill_ref", "revision", "currency", "t_ms", "till_id", "amount_minor", F.coalesce("tax_minor", F.lit(0)).alias("tax_minor"), F.lit(False).alias("void"))
+    rows = dealt_by(own.unionByName(voids).where("store_id is not null and bill_ref is not null"), *key)
+    per_revision = rows.groupBy(*key, "revision", "currency", "void").agg(
+        F.min("t_ms").alias("bill_ms"), F.min("till_id").alias("till_id"), F.sum("amount_minor").alias("amount"), F.sum("tax_minor").alias("tax"), F.count("*").alias("lines"), F.coalesce(F.bool_or(in_window(start, end)), F.lit(False)).alias("_touched")
     )
-    latest = own.groupBy(*key).agg(F.max("revision").alias("revision"))
-    bills = per_revision.join(latest, [*key, "revision"])
-    voids = run(till_events).where((F.col("kind") == "void") & F.col("bill_ref").isNotNull()).select(*key, "revision").distinct().withColumn("voided", F.lit(True))
-    bills = bills.join(voids, [*key, "revision"], "left").withColumn("voided", F.coalesce("voided", F.lit(False)))
+    bill = W.partitionBy(*key)
+    bills = per_revision.withColumn("voided", F.bool_or("void").over(W.partitionBy(*key, "revision")))
+    bills = bills.withColumns({"_touched": F.bool_or("_touched").over(bill), "_latest": F.max(F.when(~F.col("void"), F.col("revision"))).over(bill)})
+    bills = bills.where(~F.col("void") & F.col("_touched") & (F.col("revision") == F.col("_latest"))).drop("void", "_touched", "_latest")
     return bills.withColumn("run_id", F.nullif("run_id", F.lit("")))
 
 

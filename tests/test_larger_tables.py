@@ -8,8 +8,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from aislewise.functions.shared import dealt_by
-from aislewise.operators import ingest, reconcile
-from aislewise.plans import import_queries, registry
+from aislewise.operators import billing, ingest, reconcile
+from aislewise.plans import billing_queries, import_queries, registry
 from aislewise.plans import proxies as P
 from aislewise.sources import xlsx
 from tests.compare import SMALL, SMALLEST, difference
@@ -115,3 +115,9 @@ def test_days_of_bills_without_revision_or_reference(spark):
         spark.createDataFrame([], "store_id string, t_ms long, tender string, direction string, amount_minor long"), "UTC",
     )
     assert sorted((r.day.day, r.sales, r.bills) for r in sales.collect()) == [(1, 9 + 13, 3), (2, 17, 1)]
+
+
+def test_latest_bills_take_one_shuffle_and_no_join(spark):
+    bills = billing.latest_bills(P.sale_lines(spark, SMALLEST), P.till_events(spark, SMALLEST), billing_queries.FROM, billing_queries.TO)
+    plan = bills._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
