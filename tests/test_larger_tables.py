@@ -121,3 +121,8 @@ def test_latest_bills_take_one_shuffle_and_no_join(spark):
     bills = billing.latest_bills(P.sale_lines(spark, SMALLEST), P.till_events(spark, SMALLEST), billing_queries.FROM, billing_queries.TO)
     plan = bills._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_zone_events_find_stays_once(spark):
+    plan = _plan(registry.QUERIES["zone_events"](spark, SMALLEST))
+    assert plan.count("Window [") <= 2  # those that cut a zone's stays into runs; the windows over tracks are in stored facts
